@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from junctura.catalog import reads, sampling
+from junctura.catalog import clusters, learning, reads, sampling, vectors
 
-MODULES = (reads, sampling)
+MODULES = (reads, sampling, vectors, clusters, learning)
 
 
 def all_queries() -> dict:
