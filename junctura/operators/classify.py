@@ -207,7 +207,8 @@ def class_moments(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
                 n, s, o = sums.get(label, (0, np.zeros(d), np.zeros((d, d))))
                 sums[label] = (n + len(x), s + x.sum(axis=0), o + x.T @ x)
         rows = [(int(label), np.concatenate([[n], s, o.ravel()])) for label, (n, s, o) in sums.items()]
-        yield pd.DataFrame(rows, columns=["class", "sums"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["class", "sums"])
 
     partial = train.select("class", "features").mapInPandas(moments, "class int, sums array<double>")
     rows = (

@@ -58,9 +58,9 @@ def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: i
     """
     spark = rows.sparkSession
     # one row per parent: at most n ** depth rows
-    sizes = F.broadcast(rows.groupBy("parent").agg(F.count("*").alias("_size")))
-    large = rows.join(sizes.where(F.col("_size") > min_split), "parent").drop("_size")
-    small = rows.join(sizes.where(F.col("_size") <= min_split), "parent").drop("_size")
+    sizes = {row["parent"]: row["n"] for row in rows.groupBy("parent").agg(F.count("*").alias("n")).collect()}
+    split = [parent for parent, size in sizes.items() if size > min_split]
+    large = rows.where(F.col("parent").isin(split))
     starts = first_shuffled(large, "row_id", n, ["parent"], seed).orderBy("parent", "row_id").collect()
     centers: dict[int, np.ndarray] = {}
     for row in starts:
@@ -89,12 +89,11 @@ def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: i
     def nearest(parent: pd.Series, vec: pd.Series) -> pd.Series:
         out = np.zeros(len(parent), dtype=np.int32)
         for key, at in parent.groupby(parent).indices.items():
-            out[at] = _nearest_center(stack(vec.iloc[at]), shared.value[key])
+            if key in shared.value:
+                out[at] = _nearest_center(stack(vec.iloc[at]), shared.value[key])
         return pd.Series(out)
 
-    return large.withColumn("sub", nearest("parent", "vec")).select(*rows.columns, "sub").unionByName(
-        small.withColumn("sub", F.lit(0))
-    )
+    return rows.withColumn("sub", nearest("parent", "vec"))
 
 
 def _nearest_center(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -115,7 +114,8 @@ def _center_sums(shared):
                     add = np.concatenate([[len(mine)], mine.sum(axis=0)])
                     key = (int(parent), int(one))
                     sums[key] = sums[key] + add if key in sums else add
-        yield pd.DataFrame([(p, s, v) for (p, s), v in sums.items()], columns=["parent", "sub", "sums"])
+        if sums:
+            yield pd.DataFrame([(p, s, v) for (p, s), v in sums.items()], columns=["parent", "sub", "sums"])
 
     return run
 

@@ -23,7 +23,7 @@ def read_table(
     in its order, and files may have others. Without ``schema`` all columns are text.
     Files whose header differs from the first one's raise.
     """
-    text = spark.read.options(header=True, sep=sep, enforceSchema=False, **options).csv(path)
+    text = spark.read.options(**{"header": True, "sep": sep, "enforceSchema": False, **options}).csv(path)
     if schema is None:
         return text
     require_columns(text, *schema.names)
@@ -42,7 +42,8 @@ def read_keyed(
     The index may have no header name, as a data frame's index often has; a stray unnamed
     index column beside the key is dropped.
     """
-    table = read_table(spark, path, sep=sep)
+    # an unnamed index column cannot be compared with the header
+    table = read_table(spark, path, sep=sep, enforceSchema=True)
     first = table.columns[0]
     if key not in table.columns:
         table = table.withColumnRenamed(first, key)
