@@ -20,6 +20,8 @@ from junctura.operators.reads import (
     translate_reads,
     unique_reads,
 )
+from junctura.session import cut_lineage
+from junctura.sources.readers import parse_list
 from junctura.sources.writers import fasta_records
 
 
@@ -90,7 +92,7 @@ def ngram_coverage(spark, sf):
 
 def given_embedding(spark, sf, min_count):
     corpus = build_corpus(t.proteins(spark, sf), 3, text="JUNC_AA")
-    return t.vocabulary_numbers(vocabulary(corpus, min_count))
+    return cut_lineage(t.vocabulary_numbers(vocabulary(corpus, min_count)))
 
 
 def _position_rows(df, *keys):
@@ -173,12 +175,10 @@ def fasta_text(spark, sf):
 
 def list_column(spark, sf):
     """Numbers of each document, written as a list in text and parsed back."""
-    from junctura.sources.readers import parse_list
-
     digits = F.regexp_extract_all(F.col("text"), F.lit("[1-9][0-9]{0,8}"), F.lit(0))
     text = F.concat(F.lit("["), F.array_join(digits, ", "), F.lit("]"))
     return (
-        t.table(spark, sf, "documents")
+        t.documents(spark, sf, "doc_id", "text")
         .select("doc_id", F.posexplode(parse_list(text)).alias("pos", "number"))
         .select("doc_id", "pos", "number")
     )

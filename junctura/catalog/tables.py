@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.session import spread
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 BASES_FOR = "ACGTTGCAACGTCATGGTACTCAGAC----------"
 ACIDS = "ACDEFGHIKLMNPQRSTVWY"
@@ -19,8 +21,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The documents' named columns; one small file is dealt out, as text work is heavy per row."""
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
     plain = F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
     number = lambda c, m: F.pmod(F.col(c), F.lit(m)).cast("string")
     first = F.concat(F.lit("IGHV"), number("n_chars", 7), F.lit("-"), number("n_chars", 50), F.lit("*01"))
@@ -74,7 +81,7 @@ TRANSLATED = f"""translated AS (
 def proteins(spark: SparkSession, sf: str) -> DataFrame:
     """(row_id, FILENAME, JUNC_AA): every document's amino-acid letters."""
     ascii_only = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", "text", "lang", "source").select(
         F.col("doc_id").alias("row_id"),
         F.col("source").alias("FILENAME"),
         "lang",

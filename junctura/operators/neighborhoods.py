@@ -77,30 +77,31 @@ def select_non_overlapping(candidate_rows: DataFrame, neighbours: DataFrame) ->
         .where(better)
         .select(F.col("row_id").alias("src"), "dst")
     )
-    undecided, chosen = nodes.select("row_id"), None
+    rounds = None
     while True:
-        listed = edges.select(F.col("dst").alias("row_id"))
-        fresh = cut_lineage(undecided.join(listed, "row_id", "left_anti"))
-        if fresh.isEmpty():
-            break
-        chosen = fresh if chosen is None else chosen.unionByName(fresh)
+        undecided = nodes.select("row_id")
+        if rounds is not None:
+            undecided = undecided.join(rounds, "row_id", "left_anti")
+        fresh = undecided.join(edges.select(F.col("dst").alias("row_id")), "row_id", "left_anti")
         dropped = (
             edges.join(fresh.select(F.col("row_id").alias("src")), "src", "left_semi")
             .select(F.col("dst").alias("row_id"))
             .distinct()
         )
-        decided = cut_lineage(fresh.unionByName(dropped))
-        undecided = cut_lineage(undecided.join(decided, "row_id", "left_anti"))
-        if undecided.isEmpty():
+        decided = cut_lineage(
+            fresh.withColumn("selected", F.lit(True)).unionByName(dropped.withColumn("selected", F.lit(False)))
+        )
+        if decided.isEmpty():
             break
+        rounds = decided if rounds is None else rounds.unionByName(decided)
         edges = cut_lineage(
             edges.join(decided.select(F.col("row_id").alias("src")), "src", "left_anti").join(
                 decided.select(F.col("row_id").alias("dst")), "dst", "left_anti"
             )
         )
-    if chosen is None:
+    if rounds is None:
         return nodes
-    return nodes.join(chosen, "row_id", "left_semi")
+    return nodes.join(rounds.where("selected"), "row_id", "left_semi")
 
 
 def threshold_sweep(candidate_rows: DataFrame, selected: DataFrame, thresholds: Sequence[float]) -> DataFrame:

@@ -52,6 +52,9 @@ def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _choose_pivots(vectors: DataFrame, key: str, rows: int) -> np.ndarray:
     wanted = max(1, min(MAX_PIVOTS, rows // CELL_ROWS))
+    if wanted == 1:  # a single cell needs no pivot to tell rows apart
+        picked = vectors.limit(1)
+        return np.array([row["vec"] for row in picked.select("vec").collect()], dtype=np.float64)
     picked = vectors.orderBy(F.xxhash64(key), key).limit(wanted).select("vec").collect()
     return np.array([row["vec"] for row in picked], dtype=np.float64)
 
@@ -193,22 +196,20 @@ def _group_lists(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     if rows == 0:
         empty = "array<struct<dist:double,neighbor:bigint>>"
         return queries.select("gid", F.lit(None).cast(empty).alias("near")).limit(0)
-    q = _assign(queries.select("gid", "vec"), pivots)
     if len(pivots) > 1:
-        q = cut_lineage(q)
-    q_rows, reach = _reach(q, len(pivots))
-    cells = Cells(pivots, reach)
-    if cells.count > 1:
-        limit = reach + _bound_kth(cells, cut_lineage(_assign(data, pivots)), k)
+        q = cut_lineage(_assign(queries.select("gid", "vec"), pivots))
+        q_rows, reach = _reach(q, len(pivots))
+        limit = reach + _bound_kth(Cells(pivots, reach), cut_lineage(_assign(data, pivots)), k)
         sent = cut_lineage(_replicate(data, pivots, limit))
-        sizes = np.zeros(cells.count, dtype=np.int64)
+        sizes = np.zeros(len(pivots), dtype=np.int64)
         for row in sent.groupBy("cell").agg(F.count("*").alias("n")).collect():
             sizes[row["cell"]] = row["n"]
-    else:
+    else:  # one cell holds everything: only the cut into blocks remains
+        q, q_rows = queries.select("gid", "vec", F.lit(0).alias("cell")), np.array([queries.count()])
         sent, sizes = data.withColumn("cell", F.lit(0)), np.array([rows])
     q_blocks, d_blocks = _blocks(q_rows, parallelism), _blocks(sizes, parallelism)
     block = ["cell", "qb", "db"]
-    left = _spread(q.drop("pd"), "gid", q_blocks, d_blocks, "qb", "db").groupBy(*block)
+    left = _spread(q.select("gid", "vec", "cell"), "gid", q_blocks, d_blocks, "qb", "db").groupBy(*block)
     right = _spread(sent, "gid", d_blocks, q_blocks, "db", "qb").groupBy(*block)
     found = left.cogroup(right).applyInPandas(_nearest_in_block(k), "gid bigint, neighbor bigint, dist double")
     if d_blocks.max() > 1:

@@ -10,9 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.operators.neighbors import BLOCK_ROWS, TILE_ROWS, knn_self
+from junctura.operators.neighbors import knn_self
 from junctura.operators.ranking import running_totals
 
+BLOCK_ROWS = 8192  # most locations of one side in one task's group
+TILE_ROWS = 512  # locations of a block compared at a time
+TILE_FACTORS = (1, 4, 16, 64)
+CELL_LOCATIONS = 2048
+
 
 def variance_ratio(table: DataFrame, value: str, cluster: str = "cluster") -> DataFrame:
     """(general, pooled, ratio): sample variance, and pooled within clusters of more than one row."""
@@ -45,8 +50,8 @@ def mean_distance(table: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
 def band_sums(points: DataFrame, threshold: float, values: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """For every distinct location: its own and its band's counts and sums.
 
-    Points at one place are added up first. Locations meet through a grid of cells as wide
-    as the threshold, in blocks of bounded size; only sums leave the tasks, never pairs.
+    Points at one place are added up first. Locations meet through a grid of cells at least
+    as wide as the threshold, in blocks of bounded size; only sums leave the tasks, never pairs.
     Columns: x, y, n, s_<v>, q_<v> (sum of squares), band_n, band_<v>; the band includes
     the location itself.
     """
@@ -55,11 +60,13 @@ def band_sums(points: DataFrame, threshold: float, values: Sequence[str], x: str
         *[F.sum(F.col(v).cast("double")).alias(f"s_{v}") for v in values],
         *[F.sum(F.col(v).cast("double") * F.col(v).cast("double")).alias(f"q_{v}") for v in values],
     )
-    width = float(threshold) if threshold > 0 else 1.0
+    reach = float(threshold)
+    width = (reach if reach > 0 else 1.0) * _tile_factor(own, reach)
     cell = own.withColumn("cx", F.floor(F.col("x") / width)).withColumn("cy", F.floor(F.col("y") / width))
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = cell.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-    near = near.withColumn("cx", F.col("cx") + F.col("_dx")).withColumn("cy", F.col("cy") + F.col("_dy")).drop("_dx", "_dy")
+    # every cell a location's band can touch; a little wider, as the exact test follows
+    edge = reach * (1 + 1e-9)
+    touched = lambda c: F.sequence(F.floor((F.col(c) - edge) / width), F.floor((F.col(c) + edge) / width))
+    near = own.withColumn("cx", F.explode(touched("x"))).withColumn("cy", F.explode(touched("y")))
     own_blocks, near_blocks = _block_counts(cell, "_own"), _block_counts(near, "_near")
     sizes = own_blocks.join(near_blocks, ["cx", "cy"])
     spot = F.xxhash64("x", "y")
@@ -101,6 +108,24 @@ def band_sums(points: DataFrame, threshold: float, values: Sequence[str], x: str
     return own.join(bands, ["x", "y"])
 
 
+def _tile_factor(locations: DataFrame, threshold: float) -> int:
+    """How many thresholds wide a cell may be: the most that keeps every cell small.
+
+    Sparse points would otherwise make one tiny group per cell; dense ones keep factor 1.
+    """
+    width = threshold if threshold > 0 else 1.0
+    fine = (
+        locations.groupBy(F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("factor", F.explode(F.array(*[F.lit(f) for f in TILE_FACTORS])))
+    )
+    coarse = fine.groupBy(
+        "factor", F.floor(F.col("cx") / F.col("factor")).alias("cx"), F.floor(F.col("cy") / F.col("factor")).alias("cy")
+    ).agg(F.sum("n").alias("n"))
+    largest = coarse.groupBy("factor").agg(F.max("n").alias("n")).where(F.col("n") <= CELL_LOCATIONS)
+    return largest.agg(F.max("factor")).first()[0] or 1
+
+
 def _block_counts(cells: DataFrame, name: str) -> DataFrame:
     return cells.groupBy("cx", "cy").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
 
