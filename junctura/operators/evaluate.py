@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions.vectors import dense_vector
-from junctura.operators.classify import canonical_name, logistic_regression, make_classifier
+from junctura.operators.classify import canonical_name, make_classifier
 from junctura.operators.metrics import accuracy, binary_scores, class_report, coefficient_sums, confusion_matrix, top_coefficients
 from junctura.operators.reduce import min_max_scale, pca_sweep
+from junctura.operators.ranking import shuffled_rank
 from junctura.operators.sampling import repeated_splits, split_train_test
 from junctura.schemas import SCORES
 from junctura.session import cut_lineage
@@ -29,7 +31,7 @@ def feature_matrix(table: DataFrame, subject: str, features: Sequence | None = N
     order = table.sparkSession.createDataFrame(
         [(f, i) for i, f in enumerate(features)], f"feature {table.schema['feature'].dataType.simpleString()}, _at int"
     )
-    cells = table.join(F.broadcast(order), "feature", "left")  # one row per column of the matrix
+    cells = table.join(order, "feature", "left")
     some = F.col("_at").isNotNull() & F.col("freq").isNotNull()
     grouped = cells.groupBy(subject).agg(
         F.collect_list(F.when(some, F.struct("_at", "freq"))).alias("cells")
@@ -40,10 +42,10 @@ def feature_matrix(table: DataFrame, subject: str, features: Sequence | None = N
 
 
 def labelled_matrix(matrix: DataFrame, labels: str = "labels", classes: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Number the rows (row_id) and the classes (class) of a small matrix with a label column.
+    """Number the rows (row_id) and the classes (class) of a matrix with a label column.
 
-    Row ids follow the sorted order of the other key columns, so they do not depend on how
-    the table is partitioned. One row per subject.
+    Row ids follow from the key columns, one row per key, so they do not depend on how the
+    table is partitioned.
     """
     if classes is None:
         classes = [r[0] for r in matrix.where(F.col(labels).isNotNull()).select(labels).distinct().orderBy(labels).collect()]
@@ -51,7 +53,10 @@ def labelled_matrix(matrix: DataFrame, labels: str = "labels", classes: Sequence
     keys = [c for c in matrix.columns if c not in ("features", labels, "row_id")]
     out = matrix.withColumn("class", number.cast("int")).where(F.col("class") >= 0)
     if "row_id" not in matrix.columns:
-        out = out.withColumn("row_id", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+        key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in keys])
+        keyed = out.withColumn("_row_key", key)
+        ids = shuffled_rank(keyed.select("_row_key"), "_row_key", rank="_rank")
+        out = keyed.join(ids, "_row_key").withColumn("row_id", F.col("_rank") - 1).drop("_row_key", "_rank")
     return out, list(classes)
 
 
@@ -101,20 +106,34 @@ def run_classifier(
     """
     splits = cut_lineage(repeated_splits(table.select("row_id", "features", "class"), repeats, test_share, seed=seed))
     estimator = make_classifier(model, **parameters)
-    pooled = checked = coefs = None
+    pooled, checked, coefs = _Pool(), _Pool(), []
     for number in range(repeats):
         part = splits.where(F.col("split") == number)
         fitted = estimator.fit(part.where(F.col("role") == "train").drop("split", "role"))
-        said = _pairs(fitted.transform(part.where(F.col("role") == "test").drop("split", "role")), number)
-        pooled = said if pooled is None else pooled.unionByName(said)
+        pooled.add(_pairs(fitted.transform(part.where(F.col("role") == "test").drop("split", "role")), number))
         if verify is not None:
-            seen = _pairs(fitted.transform(verify.select("row_id", "features", "class")), number)
-            checked = seen if checked is None else checked.unionByName(seen)
+            checked.add(_pairs(fitted.transform(verify.select("row_id", "features", "class")), number))
         if canonical_name(model) in ("LR", "RLR"):
-            rows = [(number, i, float(c)) for row in fitted.coefficients for i, c in enumerate(row)]
-            these = table.sparkSession.createDataFrame(rows, "split int, position int, coef double")
-            coefs = these if coefs is None else coefs.unionByName(these)
-    return Evaluation(pooled, checked, coefs)
+            coefs += [(number, i, float(c)) for row in fitted.coefficients for i, c in enumerate(row)]
+    coefficients = table.sparkSession.createDataFrame(coefs, "split int, position int, coef double") if coefs else None
+    return Evaluation(pooled.table(), checked.table(), coefficients)
+
+
+class _Pool:
+    """A union of many small tables, written out every few so that its plan stays short."""
+
+    def __init__(self, every: int = 16) -> None:
+        self.every, self.parts, self.written = every, [], []
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) == self.every:
+            self.written.append(cut_lineage(reduce(DataFrame.unionByName, self.parts)))
+            self.parts = []
+
+    def table(self) -> DataFrame | None:
+        every = [*self.written, *self.parts]
+        return reduce(DataFrame.unionByName, every) if every else None
 
 
 def _pairs(predicted: DataFrame, split: int) -> DataFrame:
