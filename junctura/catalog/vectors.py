@@ -79,8 +79,14 @@ def knn_diagnostics(spark, sf):
     return _round(found, "max_distance")
 
 
-def knn_lsh(spark, sf):
-    return _round(knn_approximate(t.vectors(spark, sf), t.K, radius=1.3, bucket_length=2.0), "dist")
+def knn_near_cells(spark, sf):
+    """Approximate neighbours from the 3 nearest of about 22 cells."""
+    return _round(knn_approximate(t.vectors(spark, sf), t.K, probes=3), "dist")
+
+
+def knn_all_cells(spark, sf):
+    """The same with every cell probed, which is exact."""
+    return _round(knn_approximate(t.vectors(spark, sf), t.K, cells=6, probes=6), "dist")
 
 
 def knn_vote(spark, sf):
@@ -278,7 +284,11 @@ QUERIES = {
             body="SELECT row_id // 100 AS batch, round(max(dist), 6) AS max_distance, count(DISTINCT row_id) AS rows FROM nn GROUP BY 1",
         ),
     ),
-    "knn_lsh": (knn_lsh, None),
+    "knn_near_cells": (knn_near_cells, None),
+    "knn_all_cells": (
+        knn_all_cells,
+        t.with_ctes(t.VECTORS, t.knn_sql(), body="SELECT row_id, rank, neighbor, round(dist, 6) AS dist FROM nn"),
+    ),
     "knn_vote": (
         knn_vote,
         t.with_ctes(

@@ -18,8 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +28,7 @@ MAX_PIVOTS = 4096  # pivots and their summaries are held by the driver
 CELL_ROWS = 8192  # aimed rows per cell
 BLOCK_ROWS = 16384  # most rows of one side in one task's group
 TILE_ROWS = 1024  # rows of a block multiplied at a time
+NEAR = "array<struct<dist:double,neighbor:bigint>>"
 BROADCAST_BYTES = 64 * 1024 * 1024  # a feature list up to this size is sent to every task
 
 
@@ -50,8 +49,8 @@ def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(squared + slack[:, None])
 
 
-def _choose_pivots(vectors: DataFrame, key: str, rows: int) -> np.ndarray:
-    wanted = max(1, min(MAX_PIVOTS, rows // CELL_ROWS))
+def _choose_pivots(vectors: DataFrame, key: str, rows: int, wanted: int | None = None) -> np.ndarray:
+    wanted = wanted or max(1, min(MAX_PIVOTS, rows // CELL_ROWS))
     if wanted == 1:  # a single cell needs no pivot to tell rows apart
         picked = vectors.limit(1)
         return np.array([row["vec"] for row in picked.select("vec").collect()], dtype=np.float64)
@@ -189,35 +188,56 @@ def _distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
 def _group_lists(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """(gid, near): for each distinct query vector its k nearest data rows by (dist, id)."""
-    spark = data.sparkSession
-    parallelism = spark.sparkContext.defaultParallelism
     rows = data.count()
     pivots = _choose_pivots(data, "gid", rows)
     if rows == 0:
-        empty = "array<struct<dist:double,neighbor:bigint>>"
-        return queries.select("gid", F.lit(None).cast(empty).alias("near")).limit(0)
+        return queries.select("gid", F.lit(None).cast(NEAR).alias("near")).limit(0)
     if len(pivots) > 1:
         q = cut_lineage(_assign(queries.select("gid", "vec"), pivots))
         q_rows, reach = _reach(q, len(pivots))
         limit = reach + _bound_kth(Cells(pivots, reach), cut_lineage(_assign(data, pivots)), k)
         sent = cut_lineage(_replicate(data, pivots, limit))
-        sizes = np.zeros(len(pivots), dtype=np.int64)
-        for row in sent.groupBy("cell").agg(F.count("*").alias("n")).collect():
-            sizes[row["cell"]] = row["n"]
+        sizes = _cell_sizes(sent, len(pivots))
     else:  # one cell holds everything: only the cut into blocks remains
         q, q_rows = queries.select("gid", "vec", F.lit(0).alias("cell")), np.array([queries.count()])
         sent, sizes = data.withColumn("cell", F.lit(0)), np.array([rows])
+    return _compare(q, q_rows, sent, sizes, k)
+
+
+def _compare(
+    q: DataFrame, q_rows: np.ndarray, sent: DataFrame, sizes: np.ndarray, k: int, one_cell_each: bool = True
+) -> DataFrame:
+    """Block by block, the k nearest of the rows ``sent`` to each query's cell: (gid, near)."""
+    parallelism = q.sparkSession.sparkContext.defaultParallelism
     q_blocks, d_blocks = _blocks(q_rows, parallelism), _blocks(sizes, parallelism)
     block = ["cell", "qb", "db"]
     left = _spread(q.select("gid", "vec", "cell"), "gid", q_blocks, d_blocks, "qb", "db").groupBy(*block)
     right = _spread(sent, "gid", d_blocks, q_blocks, "db", "qb").groupBy(*block)
     found = left.cogroup(right).applyInPandas(_nearest_in_block(k), "gid bigint, neighbor bigint, dist double")
-    if d_blocks.max() > 1:
+    if d_blocks.max() > 1 or not one_cell_each:
         order = Window.partitionBy("gid").orderBy("dist", "neighbor")
         found = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
     return found.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("dist", "neighbor"))).alias("near"))
 
 
+def _cell_sizes(rows: DataFrame, cells: int) -> np.ndarray:
+    sizes = np.zeros(cells, dtype=np.int64)
+    for row in rows.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        sizes[row["cell"]] = row["n"]
+    return sizes
+
+
+def _with_itself_first(rows: DataFrame, listed: DataFrame, k: int) -> DataFrame:
+    """(row_id, rank, neighbor, dist) from the list of each distinct vector."""
+    others = F.slice(F.filter("near", lambda n: n["neighbor"] != F.col("row_id")), 1, k)
+    own = F.array(F.struct(F.lit(0.0).alias("dist"), F.col("row_id").alias("neighbor")))
+    return (
+        rows.join(listed, "vec")
+        .select("row_id", F.posexplode(F.concat(own, others)).alias("rank", "n"))
+        .select("row_id", "rank", F.col("n.neighbor").alias("neighbor"), F.col("n.dist").alias("dist"))
+    )
+
+
 def knn_self(vectors: DataFrame, k: int = 100, row_id: str = "row_id", vec: str = "vec") -> DataFrame:
     """The k nearest other rows of every row, plus the row itself as rank 0.
 
@@ -227,14 +247,7 @@ def knn_self(vectors: DataFrame, k: int = 100, row_id: str = "row_id", vec: str
     rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<double>").alias("vec"))
     groups = cut_lineage(_distinct_vectors(rows, k + 1))
     lists = _group_lists(groups, groups, k + 1)
-    listed = groups.join(lists, "gid").select("vec", "near")
-    others = F.slice(F.filter("near", lambda n: n["neighbor"] != F.col("row_id")), 1, k)
-    own = F.array(F.struct(F.lit(0.0).alias("dist"), F.col("row_id").alias("neighbor")))
-    return (
-        rows.join(listed, "vec")
-        .select("row_id", F.posexplode(F.concat(own, others)).alias("rank", "n"))
-        .select("row_id", "rank", F.col("n.neighbor").alias("neighbor"), F.col("n.dist").alias("dist"))
-    )
+    return _with_itself_first(rows, groups.join(lists, "gid").select("vec", "near"), k)
 
 
 def knn_join(
@@ -257,37 +270,39 @@ def knn_approximate(
     k: int = 100,
     row_id: str = "row_id",
     vec: str = "vec",
-    radius: float = 1.0,
-    bucket_length: float = 1.0,
-    tables: int = 3,
-    seed: int = 0,
+    cells: int | None = None,
+    probes: int = 2,
 ) -> DataFrame:
-    """Approximate k nearest rows by random-projection LSH, the row itself as rank 0.
+    """Approximate k nearest rows, the row itself as rank 0.
 
-    Only pairs that share a bucket and lie within ``radius`` are seen, so a list may be
-    short or miss a neighbour. ``knn_self`` is the exact operator.
+    A row is compared only with the rows of its ``probes`` nearest cells (about the square
+    root of the row count by default), so a list may miss a neighbour across a border or be
+    short. With as many probes as cells the result is exact, as ``knn_self`` always is.
     """
     rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<double>").alias("vec"))
-    points = cut_lineage(_distinct_vectors(rows, k + 1)).withColumn("v", array_to_vector("vec"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(points)
-    pairs = model.approxSimilarityJoin(points.select("gid", "v"), points.select("gid", "ids", "v"), radius, "dist")
-    order = Window.partitionBy("gid").orderBy("dist", "neighbor")
-    near = (
-        pairs.select(F.col("datasetA.gid").alias("gid"), F.explode("datasetB.ids").alias("neighbor"), "dist")
-        .withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= k + 1)
-        .groupBy("gid")
-        .agg(F.sort_array(F.collect_list(F.struct("dist", "neighbor"))).alias("near"))
+    groups = cut_lineage(_distinct_vectors(rows, k + 1))
+    count = groups.count()
+    wanted = max(1, min(MAX_PIVOTS, cells or math.isqrt(count)))
+    pivots = _choose_pivots(groups, "gid", count, wanted)
+    if count == 0:
+        return _with_itself_first(rows, groups.select("vec", F.lit(None).cast(NEAR).alias("near")), k)
+    data = cut_lineage(_assign(groups, pivots)).drop("pd")
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    take = min(probes, len(pivots))
+
+    def probe(batches):
+        for batch in batches:
+            if len(batch):
+                nearest = np.argsort(_pivot_distances(stack(batch["vec"]), shared.value), axis=1, kind="stable")[:, :take]
+                yield batch.iloc[np.repeat(np.arange(len(batch)), take)].assign(cell=nearest.ravel().astype(np.int32))
+
+    queries = cut_lineage(
+        groups.select("gid", "vec").mapInPandas(probe, "gid bigint, vec array<double>, cell int")
     )
-    others = F.slice(F.filter("near", lambda n: n["neighbor"] != F.col("row_id")), 1, k)
-    own = F.array(F.struct(F.lit(0.0).alias("dist"), F.col("row_id").alias("neighbor")))
-    return (
-        rows.join(points.join(near, "gid").select("vec", "near"), "vec")
-        .select("row_id", F.posexplode(F.concat(own, others)).alias("rank", "n"))
-        .select("row_id", "rank", F.col("n.neighbor").alias("neighbor"), F.col("n.dist").alias("dist"))
+    lists = _compare(
+        queries, _cell_sizes(queries, len(pivots)), data, _cell_sizes(data, len(pivots)), k + 1, one_cell_each=take == 1
     )
+    return _with_itself_first(rows, groups.join(lists, "gid").select("vec", "near"), k)
 
 
 def neighbour_radius(neighbours: DataFrame) -> DataFrame:
@@ -348,9 +363,7 @@ def radius_join(vectors: DataFrame, features: DataFrame, broadcast_bytes: int =
     assigned = cut_lineage(_assign(rows, pivots))
     counts, reach = _reach(assigned, len(pivots))
     sent = cut_lineage(_replicate(balls, pivots, reach, extra="max_distance"))
-    sizes = np.zeros(len(pivots), dtype=np.int64)
-    for row in sent.groupBy("cell").agg(F.count("*").alias("n")).collect():
-        sizes[row["cell"]] = row["n"]
+    sizes = _cell_sizes(sent, len(pivots))
     parallelism = rows.sparkSession.sparkContext.defaultParallelism
     row_blocks, ball_blocks = _blocks(counts, parallelism), _blocks(sizes, parallelism)
     block = ["cell", "rb", "fb"]

@@ -78,13 +78,16 @@ def test_join_of_two_tables(spark, small_blocks):
     assert got == expected
 
 
-def test_lsh_is_a_subset_with_itself_first(spark):
-    x = np.random.default_rng(5).normal(size=(80, 4))
-    exact, d = brute_self(x, 79)
-    for r in N.knn_approximate(table(spark, x), 5, radius=2.0).collect():
-        assert r.neighbor in exact[r.row_id] and math.isclose(r.dist, d[r.row_id, r.neighbor], abs_tol=1e-9)
-        if r["rank"] == 0:
-            assert r.neighbor == r.row_id
+def test_approximate_lists(spark, small_blocks):
+    x = clustered(5, 120)
+    expected, d = brute_self(x, 5)
+    assert lists(N.knn_approximate(table(spark, x), 5, cells=4, probes=4)) == expected
+    some = N.knn_approximate(table(spark, x), 5, cells=8, probes=1).collect()
+    for r in some:
+        assert math.isclose(r.dist, d[r.row_id, r.neighbor], abs_tol=1e-9)
+        assert r["rank"] > 0 or r.neighbor == r.row_id
+    assert {r.row_id for r in some} == set(range(120))
+    assert N.knn_approximate(table(spark, x).limit(0), 5).count() == 0
 
 
 @pytest.mark.parametrize("limit", [N.BROADCAST_BYTES, 0])
