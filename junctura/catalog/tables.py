@@ -28,17 +28,17 @@ def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
-    plain = F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
+    plain = F.regexp_replace("text", "[^A-Za-z0-9]", "")
     number = lambda c, m: F.pmod(F.col(c), F.lit(m)).cast("string")
     first = F.concat(F.lit("IGHV"), number("n_chars", 7), F.lit("-"), number("n_chars", 50), F.lit("*01"))
     second = F.concat(F.lit(",IGHV"), number("doc_id", 7), F.lit("-2*03"))
     return (
-        docs.withColumn("JUNCTION", F.translate(plain, LETTERS, BASES_FOR))
+        docs.withColumn("JUNCTION", F.translate(F.lower(plain), LETTERS, BASES_FOR))
         .select(
             F.col("doc_id").alias("row_id"),
             F.concat(F.lit("read"), F.col("doc_id").cast("string")).alias("SEQUENCE_ID"),
             F.when(F.col("lang") == "en", "T").otherwise("F").alias("FUNCTIONAL"),
-            F.length("JUNCTION").cast("int").alias("JUNCTION_LENGTH"),
+            F.length(plain).cast("int").alias("JUNCTION_LENGTH"),
             "JUNCTION",
             (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).cast("int").alias("CONSCOUNT"),
             F.concat(first, F.when(F.col("lang") != "en", second).otherwise("")).alias("V_CALL"),
