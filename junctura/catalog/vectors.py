@@ -11,7 +11,6 @@ from junctura.operators.classify import make_classifier
 from junctura.operators.embedding import mean_vectors
 from junctura.operators.neighborhoods import (
     candidates,
-    feature_list,
     feature_owner,
     label_prevalence,
     label_share,
@@ -19,7 +18,6 @@ from junctura.operators.neighborhoods import (
     neighbour_lists,
     neighbourhood_stats,
     owner_feature_table,
-    radius_feature_table,
     select_non_overlapping,
     subject_count_distribution,
     threshold_sweep,
@@ -27,7 +25,6 @@ from junctura.operators.neighborhoods import (
 from junctura.operators.neighbors import (
     distance_diagnostics,
     knn_approximate,
-    knn_join,
     knn_self,
     nearest_center,
     neighbour_radius,
