@@ -50,7 +50,7 @@ windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM windows
   JOIN (SELECT doc_id, win FROM windows GROUP BY ALL HAVING count(*) > 1) USING (doc_id, win)),
-again AS (SELECT doc_id, count(DISTINCT at) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS at FROM twice) GROUP BY doc_id),
+again AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) AS n_lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {W}) GROUP BY doc_id),
 m AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
