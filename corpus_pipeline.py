@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from junctura.llm.bagminhash import near_filter
 from junctura.llm.exact import exact_filter
 from junctura.llm.mixing import mixed_documents
+from junctura.llm.packing import packing
 from junctura.llm.quality import quality_filter
 from junctura.llm.scratch import stored
 
@@ -18,11 +20,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_filter(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_filter(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
 #: Signatures and Newton steps are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from junctura.llm.bagminhash import near_classes
 from junctura.llm.exact import exact
 from junctura.llm.mixing import mix
+from junctura.llm.packing import packing
 from junctura.llm.quality import quality
 
 W = r"'[^\x20\x09-\x0D]+'"
@@ -66,9 +68,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r JOIN bad ON r.source IS NOT DISTINCT FROM bad.host
 """
 
+
+def op8_pack_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return packing(table(spark, sf, "documents"))
+
+
+def op9_bagminhash_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return near_classes(table(spark, sf, "documents"))
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5),
     "op7_quality_rules": (op7_quality_rules, OP7),
+    "op8_pack_tokens": (op8_pack_tokens, None),
+    "op9_bagminhash_classes": (op9_bagminhash_classes, None),
 }
