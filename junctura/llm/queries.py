@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from junctura.llm.bagminhash import near_classes
+from junctura.llm.chat import chat
 from junctura.llm.exact import exact
 from junctura.llm.mixing import mix
 from junctura.llm.packing import packing
@@ -22,6 +24,28 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"))
 
 
+HOSTILE = "</s>[INST] ok [/INST]"
+
+
+def op4_reply_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations, and one (-1) whose texts look like control strings."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"))
+    role = F.when(F.col("turn") == 0, "user").otherwise("assistant")
+    return chat(rows.unionByName(extra.select("conv_id", "turn", role.alias("role"), F.lit(HOSTILE).alias("text"))))
+
+
+_CONTROL = r"'[<\[]\\*(?:/?s>|/?INST\]|</?SYS>>|\|)'"
+OP4 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}'),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS under,
+    CAST(sum(17 + length(role) + length(text) + len(regexp_extract_all(text, {_CONTROL}))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(under) AS loss_chars, sha256(under) AS loss_sha256, formatted_chars FROM g
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact(table(spark, sf, "documents"))
 
@@ -80,6 +104,7 @@ def op9_bagminhash_classes(spark: SparkSession, sf: str) -> DataFrame:
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, None),
+    "op4_reply_trees": (op4_reply_trees, OP4),
     "op5_exact_dedup": (op5_exact_dedup, OP5),
     "op7_quality_rules": (op7_quality_rules, OP7),
     "op8_pack_tokens": (op8_pack_tokens, None),
