@@ -11,6 +11,7 @@ from junctura.llm.exact import exact
 from junctura.llm.mixing import mix
 from junctura.llm.packing import packing
 from junctura.llm.quality import quality
+from junctura.llm.toxicity import toxicity
 
 W = r"'[^\x20\x09-\x0D]+'"
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,6 +102,10 @@ def op9_bagminhash_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_classes(table(spark, sf, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, None),
@@ -109,4 +114,5 @@ QUERIES = {
     "op7_quality_rules": (op7_quality_rules, OP7),
     "op8_pack_tokens": (op8_pack_tokens, None),
     "op9_bagminhash_classes": (op9_bagminhash_classes, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
