@@ -13,6 +13,7 @@ from junctura.llm.mixing import mix
 from junctura.llm.packing import packing
 from junctura.llm.quality import quality
 from junctura.llm.toxicity import toxicity
+from junctura.llm.warc import archive_round_trip
 
 W = r"'[^\x20\x09-\x0D]+'"
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,6 +74,20 @@ SELECT DISTINCT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t)
 """
 
 
+def op6_warc_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf, "pages"))
+
+
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS keep FROM p GROUP BY html)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN octet_length(encode(html)) >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(html)) >= 1000 AND page_id < keep THEN keep END AS refers_to
+FROM p JOIN g USING (html)
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
 
@@ -127,6 +142,7 @@ QUERIES = {
     "op2_line_spread": (op2_line_spread, OP2),
     "op4_reply_trees": (op4_reply_trees, OP4),
     "op5_exact_dedup": (op5_exact_dedup, OP5),
+    "op6_warc_chain": (op6_warc_chain, OP6),
     "op7_quality_rules": (op7_quality_rules, OP7),
     "op8_pack_tokens": (op8_pack_tokens, None),
     "op9_bagminhash_classes": (op9_bagminhash_classes, None),
