@@ -61,8 +61,8 @@ def diversity_filtered(spark, sf):
 
 def wide_features(spark, sf):
     table = cluster_feature_table(_clustered(spark, sf), _files(spark, sf), "subject")
-    wide = wide_feature_table(table, "subject", list(range(10)))
-    return _round(wide, *[str(i) for i in range(10)])
+    wide = wide_feature_table(table, "subject")
+    return _round(wide, *wide.columns[1:])
 
 
 def two_level(spark, sf):
@@ -208,9 +208,9 @@ QUERIES = {
         wide_features,
         t.with_ctes(
             *TABLE,
-            body="SELECT subject, "
-            + ", ".join(f'round(coalesce(max(freq) FILTER (feature = {i}), 0.0), 6) AS "{i}"' for i in range(10))
-            + " FROM freqs GROUP BY subject",
+            "cells AS (SELECT s.subject, f.feature, coalesce(freq, 0.0) AS freq FROM (SELECT DISTINCT subject FROM freqs) s, "
+            "(SELECT DISTINCT feature FROM freqs) f LEFT JOIN freqs ON freqs.subject = s.subject AND freqs.feature = f.feature)",
+            body="SELECT * FROM (PIVOT cells ON feature USING round(max(freq), 6) GROUP BY subject)",
         ),
     ),
     "kmeans_two_level": (two_level, None),

@@ -27,10 +27,13 @@ from junctura.operators.metrics import (
     score_pivot,
     top_coefficients,
 )
+from junctura.operators.reduce import PCA_SIZES
 from junctura.operators.sampling import split_train_test, subject_folds
 from junctura.plans.flows import classify_mean_vectors, experiment_grid
 from junctura.session import cut_lineage
 
+#: The sizes of a sweep that vectors of 64 values have.
+SIZES = tuple(d for d in PCA_SIZES if d <= 64)
 RATES = ("precision", "recall", "f1")
 
 
@@ -69,7 +72,8 @@ def accuracies(spark, sf):
 
 def pivot(spark, sf):
     docs = t.table(spark, sf, "documents").select("source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
-    return _round(score_pivot(docs, "source", "lang", "n_chars", ["de", "en", "es", "fr"]), "de", "en", "es", "fr")
+    found = score_pivot(docs, "source", "lang", "n_chars")
+    return _round(found, *found.columns[1:])
 
 
 def weights(spark, sf):
@@ -121,7 +125,7 @@ def verified(spark, sf):
     """Naive Bayes on repeated splits of 70 % of the rows, each model also checked on the other 30 %."""
     table = cut_lineage(split_train_test(binary_table(spark, sf), 0.3, seed=9))
     used, unused = (table.where(F.col("role") == r) for r in ("train", "test"))
-    found = run_classifier(used, "NB", 3, verify=unused)
+    found = run_classifier(used, "NB", 1000, verify=unused)
     test = found.scores().select(F.lit("test").alias("role"), "*")
     return _round(test.unionByName(found.verification_scores().select(F.lit("verify").alias("role"), "*")), "accuracy", *RATES)
 
@@ -133,13 +137,13 @@ def two_stage(spark, sf):
 
 
 def compared(spark, sf):
-    said = compare_models(binary_table(spark, sf), ("kNN", "DT", "RF", "NB", "QDA"))
+    said = compare_models(binary_table(spark, sf))
     return _round(accuracy(said, ["model", "role"]), "accuracy")
 
 
 def by_dimension(spark, sf):
     rows = t.vectors(spark, sf).withColumnRenamed("label", "class")
-    return _round(accuracy_by_dimension(rows, (2, 5, 10)), "accuracy")
+    return _round(accuracy_by_dimension(rows, SIZES), "accuracy")
 
 
 def leading(spark, sf):
@@ -174,7 +178,7 @@ def mean_classifier(spark, sf):
 
 def _model(spark, sf):
     corpus = build_corpus(t.proteins(spark, sf), 3, text="JUNC_AA")
-    return train_embedding(corpus, size=16, window=5, min_count=5, iterations=1, partitions=8)
+    return train_embedding(corpus, size=100, window=25, min_count=2, iterations=1)
 
 
 def word2vec(spark, sf):
@@ -217,7 +221,43 @@ NAIVE_BAYES = (
   FROM cells c JOIN moments m USING (p) JOIN priors ON priors.class = m.class WHERE c.test GROUP BY 1, 2, 3)""",
 )
 
-VOCABULARY = (t.PROTEINS, t.FRAMES, t.WORDS, "known AS (SELECT word FROM words GROUP BY word HAVING count(*) >= 5)")
+
+def bayes_sql(by: str) -> tuple[str, ...]:
+    """CTEs from cells (by, row_id, class, role, p, x) to the class said for each tested row of each ``by``."""
+    return (
+        f"overall AS (SELECT {by}, max(v) AS v FROM (SELECT {by}, p, var_pop(x) AS v FROM cells WHERE role = 'train' GROUP BY 1, 2) GROUP BY 1)",
+        f"""moments AS (SELECT {by}, class, p, avg(x) AS m, var_pop(x) + 1e-9 * any_value(overall.v) AS v
+  FROM cells JOIN overall USING ({by}) WHERE role = 'train' GROUP BY 1, 2, 3)""",
+        f"priors AS (SELECT {by}, class, ln(count(*) / sum(count(*)) OVER (PARTITION BY {by})) AS l FROM cells WHERE role = 'train' AND p = 0 GROUP BY 1, 2)",
+        f"""scores AS (SELECT c.{by}, c.role, c.row_id, c.class AS actual, m.class AS predicted, any_value(l) - 0.5 * sum(ln(v) + (x - m) * (x - m) / v) AS s
+  FROM cells c JOIN moments m ON m.{by} = c.{by} AND m.p = c.p JOIN priors ON priors.{by} = c.{by} AND priors.class = m.class
+  WHERE c.role <> 'train' GROUP BY 1, 2, 3, 4, 5)""",
+        f"said AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY {by}, row_id ORDER BY s DESC, predicted) = 1)",
+    )
+
+
+BINARY_ROWS = "rows AS (SELECT row_id, vec, CASE WHEN labels = 'HC' THEN 1 ELSE 0 END AS class, FILENAME FROM vectors JOIN subjects USING (row_id))"
+FOLD_CELLS = """own AS (SELECT FILENAME, CAST(ntile(4) OVER (ORDER BY md5('0:' || FILENAME), FILENAME) - 1 AS INTEGER) AS fold
+  FROM (SELECT DISTINCT FILENAME FROM rows)),
+cells AS (SELECT CAST(f AS INTEGER) AS fold, row_id, class, CASE WHEN f = own.fold THEN 'test' ELSE 'train' END AS role, p, vec[p + 1] AS x
+  FROM rows JOIN own USING (FILENAME), range(4) q(f), range(64) z(p))"""
+SPLIT_CELLS = (
+    ranked("rows", "'9'", name="parted"),
+    "used AS (SELECT row_id, vec, class FROM parted WHERE r > ceil(0.3 * n))",
+    "unused AS (SELECT row_id, vec, class FROM parted WHERE r <= ceil(0.3 * n))",
+    "copies AS (SELECT row_id, vec, class, CAST(s AS INTEGER) AS split FROM used, range(1000) q(s))",
+    ranked("copies", "('0:' || split)", "split", name="drawn"),
+    """cells AS (
+  SELECT split, row_id, class, CASE WHEN r <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS role, p, vec[p + 1] AS x FROM drawn, range(64) z(p)
+  UNION ALL SELECT CAST(s AS INTEGER), row_id, class, 'verify', p, vec[p + 1] FROM unused, range(1000) q(s), range(64) z(p))""",
+)
+ROLE_SCORES = """SELECT role, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  round(coalesce(sum(CAST(actual = 1 AND predicted = 1 AS INT)) / nullif(sum(predicted), 0), 0), 6) AS precision,
+  round(coalesce(sum(CAST(actual = 1 AND predicted = 1 AS INT)) / nullif(sum(actual), 0), 0), 6) AS recall,
+  round(coalesce(2 * sum(CAST(actual = 1 AND predicted = 1 AS INT)) / nullif(sum(predicted) + sum(actual), 0), 0), 6) AS f1
+FROM said GROUP BY role"""
+
+VOCABULARY = (t.PROTEINS, t.FRAMES, t.WORDS, "known AS (SELECT word FROM words GROUP BY word HAVING count(*) >= 2)")
 
 QUERIES = {
     "confusion": (
@@ -249,9 +289,7 @@ FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
     ),
     "score_pivot": (
         pivot,
-        "SELECT source, "
-        + ", ".join(f"round(avg(n_chars) FILTER (lang = '{c}'), 6) AS {c}" for c in ("de", "en", "es", "fr"))
-        + " FROM documents GROUP BY source",
+        "PIVOT (SELECT source, lang, n_chars FROM documents WHERE lang IS NOT NULL) ON lang USING round(avg(n_chars), 6) GROUP BY source",
     ),
     "balanced_weights": (
         weights,
@@ -290,27 +328,30 @@ SELECT lang, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c"
     "ml_random_forest": (_predict("RF", binary_table), None),
     "ml_linear_svm": (_predict("LSVM", binary_table), None),
     "ml_rbf_svm": (_predict("RBF_SVM", binary_table), None),
-    "ml_neural_net": (_predict("MLP", binary_table, iterations=50), None),
-    "ml_adaboost": (_predict("ADA", binary_table, rounds=10), None),
+    "ml_neural_net": (_predict("MLP", binary_table), None),
+    "ml_adaboost": (_predict("ADA", binary_table), None),
     "ml_qda": (_predict("QDA", binary_table), None),
     "ml_lda": (_predict("LDA", labelled_table), None),
-    "verified_scores": (verified, None),
+    "verified_scores": (verified, t.with_ctes(t.VECTORS, t.SUBJECTS, BINARY_ROWS, *SPLIT_CELLS, *bayes_sql("split"), body=ROLE_SCORES)),
     "two_stage_regression": (two_stage, None),
     "model_comparison": (compared, None),
     "accuracy_by_dimension": (by_dimension, None),
     "leading_features": (leading, None),
-    "fold_evaluation": (by_fold, None),
+    "fold_evaluation": (
+        by_fold,
+        t.with_ctes(t.VECTORS, t.SUBJECTS, BINARY_ROWS, FOLD_CELLS, *bayes_sql("fold"), body="SELECT fold, row_id, actual, predicted FROM said"),
+    ),
     "experiment_grid": (grid, None),
     "mean_vector_classifier": (mean_classifier, None),
     "word2vec": (
         word2vec,
-        t.with_ctes(*VOCABULARY, body="SELECT word, CAST(16 AS INTEGER) AS size FROM known"),
+        t.with_ctes(*VOCABULARY, body="SELECT word, CAST(100 AS INTEGER) AS size FROM known"),
     ),
     "word2vec_vectors": (
         word2vec_vectors,
         t.with_ctes(
             *VOCABULARY,
-            body="""SELECT p.row_id, CAST(16 AS INTEGER) AS size FROM proteins p
+            body="""SELECT p.row_id, CAST(100 AS INTEGER) AS size FROM proteins p
 JOIN (SELECT row_id FROM words LEFT JOIN known USING (word) WHERE frame = 1
       GROUP BY row_id HAVING bool_and(known.word IS NOT NULL)) f ON f.row_id = p.row_id""",
         ),

@@ -103,6 +103,16 @@ def seq_vectors_given_vocab(spark, sf):
     return _position_rows(sequence_vectors(t.proteins(spark, sf), given_embedding(spark, sf, 20)), "row_id")
 
 
+def seq_vectors_both_paths(spark, sf):
+    """Both ways to meet a vocabulary, over rows that each share their key with a second one: rows, keys, and rows only one way has."""
+    rows = t.proteins(spark, sf)
+    twice = rows.unionByName(rows)
+    sent, joined = (sequence_vectors(twice, given_embedding(spark, sf, 20), broadcast_bytes=b) for b in (1 << 26, 0))
+    found = sent.select("row_id", "vec", F.lit(1).alias("way")).unionByName(joined.select("row_id", "vec", F.lit(-1).alias("way")))
+    per = found.groupBy("row_id", "vec").agg(F.count("*").alias("n"), F.sum("way").alias("odd"))
+    return per.agg(F.sum("n").alias("n"), F.countDistinct("row_id").alias("keys"), F.sum(F.abs("odd")).alias("odd"))
+
+
 def seq_vectors_zero(spark, sf):
     """The zero-vector rule, and the join path for a vocabulary too large to send around."""
     found = sequence_vectors(
@@ -314,6 +324,10 @@ LEFT JOIN words w ON w.word = a.l || b.l GROUP BY 1""",
         seq_vectors_given_vocab,
         t.with_ctes(*BASE, CODED, _vector_sql(1, 20), body=UNPIVOT.format(keys="row_id", table="summed")),
     ),
+    "seq_vectors_both_paths": (
+        seq_vectors_both_paths,
+        t.with_ctes(*BASE, CODED, _vector_sql(1, 20), body="SELECT CAST(4 * count(*) AS BIGINT) AS n, count(DISTINCT row_id) AS keys, CAST(0 AS BIGINT) AS odd FROM summed"),
+    ),
     "seq_vectors_zero": (
         seq_vectors_zero,
         t.with_ctes(*BASE, CODED, _vector_sql(3, 20, zero=True), body=UNPIVOT.format(keys="row_id", table="summed")),

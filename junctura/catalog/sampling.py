@@ -46,7 +46,7 @@ def with_replacement(spark, sf):
 
 def stratified(spark, sf):
     found = unambiguous(add_family(t.reads(spark, sf)))
-    return family_sample(found, ("IGHV1", "IGHV3", "IGHV4"), 20).select("row_id", "V_FAMILY", "family_number")
+    return family_sample(found, ("IGHV1", "IGHV3", "IGHV4"), 10).select("row_id", "V_FAMILY", "family_number")
 
 
 def train_test(spark, sf):
@@ -122,7 +122,7 @@ QUERIES = {
             "called AS (SELECT row_id, list_distinct(regexp_extract_all(V_CALL, 'IGHV[0-9]+')) AS f FROM reads)",
             "single AS (SELECT row_id, f[1] AS V_FAMILY FROM called WHERE len(f) = 1 AND f[1] IN ('IGHV1', 'IGHV3', 'IGHV4'))",
             ranked("single", "'0'", "V_FAMILY"),
-            body="SELECT row_id, V_FAMILY, CAST(right(V_FAMILY, 1) AS INTEGER) AS family_number FROM ranked WHERE r <= 20",
+            body="SELECT row_id, V_FAMILY, CAST(right(V_FAMILY, 1) AS INTEGER) AS family_number FROM ranked WHERE r <= 10",
         ),
     ),
     "train_test_split": (

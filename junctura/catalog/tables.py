@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.session import spread
-
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 BASES_FOR = "ACGTTGCAACGTCATGGTACTCAGAC----------"
 ACIDS = "ACDEFGHIKLMNPQRSTVWY"
@@ -22,8 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """The documents' named columns; one small file is dealt out, as text work is heavy per row."""
-    return spread(table(spark, sf, "documents").select(*columns))
+    return table(spark, sf, "documents").select(*columns)
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:

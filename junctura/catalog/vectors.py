@@ -30,7 +30,7 @@ from junctura.operators.neighbors import (
     neighbour_radius,
     radius_join,
 )
-from junctura.operators.reduce import fit_pca, min_max_scale, pca_sweep, standardise
+from junctura.operators.reduce import PCA_SIZES, fit_pca, min_max_scale, pca_sweep, standardise
 from junctura.operators.sampling import split_train_test
 from junctura.plans.flows import fit_proximity, proximity_flow, proximity_folds
 from junctura.session import cut_lineage
@@ -175,8 +175,12 @@ def standard_scale(spark, sf):
 
 
 def minmax_scale(spark, sf):
-    """All rows scaled by the range of one condition's rows: fitted on one part, applied to both."""
+    """All rows scaled by the range of one condition's rows: fitted on one part, applied to both.
+
+    A position that is constant in the first part is added at the end.
+    """
     rows = t.vectors(spark, sf).join(t.subjects(spark, sf), "row_id")
+    rows = rows.withColumn("vec", F.concat("vec", F.array(F.when(F.col("labels") == "HC", 2.0).otherwise(5.0))))
     train, test = (rows.where(F.col("labels") == c).select("row_id", "vec") for c in ("HC", "CD"))
     scaled = min_max_scale(train, test)
     return _cells(scaled[0].unionByName(scaled[1]), "row_id")
@@ -213,8 +217,10 @@ def pca_norm(spark, sf):
 
 
 def pca_dims(spark, sf):
-    swept = pca_sweep(t.vectors(spark, sf).select("row_id", "vec"), (2, 5, 10))
-    return swept.groupBy("dims").agg(F.count("*").alias("n"), F.max(F.size("vec")).cast("long").alias("width"))
+    """For every size that the vectors have: rows, widths, and whether the first components' variances fall."""
+    swept = pca_sweep(t.vectors(spark, sf).select("row_id", "vec"), [d for d in PCA_SIZES if d <= 64])
+    first, second = (F.var_pop(F.get("vec", F.lit(k))) for k in (0, 1))
+    return swept.groupBy("dims").agg(F.count("*").alias("n"), F.max(F.size("vec")).cast("long").alias("width"), (first >= second).alias("ordered"))
 
 
 NN = (t.VECTORS, t.SUBJECTS, t.knn_sql())
@@ -405,9 +411,10 @@ FROM vectors JOIN subjects USING (row_id), range(64) q(p) GROUP BY 1, 2""",
         t.with_ctes(
             t.VECTORS,
             t.SUBJECTS,
-            "cells AS (SELECT row_id, labels, CAST(p AS INTEGER) AS pos, vec[p + 1] AS x FROM vectors JOIN subjects USING (row_id), range(64) q(p))",
+            "wide AS (SELECT row_id, labels, list_append(vec, CASE WHEN labels = 'HC' THEN 2.0 ELSE 5.0 END) AS vec FROM vectors JOIN subjects USING (row_id))",
+            "cells AS (SELECT row_id, labels, CAST(p AS INTEGER) AS pos, vec[p + 1] AS x FROM wide, range(65) q(p))",
             "ends AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM cells WHERE labels = 'HC' GROUP BY pos)",
-            body="SELECT row_id, pos, round((x - lo) / (hi - lo), 6) AS value FROM cells JOIN ends USING (pos)",
+            body="SELECT row_id, pos, round((x - lo) / coalesce(nullif(hi - lo, 0), 1), 6) AS value FROM cells JOIN ends USING (pos)",
         ),
     ),
     "column_range": (
@@ -439,6 +446,6 @@ QUALIFY row_number() OVER (PARTITION BY v.row_id ORDER BY list_distance(v.vec, c
     ),
     "pca_sweep": (
         pca_dims,
-        "SELECT CAST(d AS INTEGER) AS dims, (SELECT count(*) FROM embeddings) AS n, CAST(d AS BIGINT) AS width FROM (VALUES (2), (5), (10)) q(d)",
+        "SELECT CAST(d AS INTEGER) AS dims, (SELECT count(*) FROM embeddings) AS n, CAST(d AS BIGINT) AS width, true AS ordered FROM (VALUES (2), (5), (10), (15), (20), (30), (50)) q(d)",
     ),
 }

@@ -72,6 +72,8 @@ def _shape(train: DataFrame) -> tuple[int, int, int]:
     return shape["n"], shape["d"] or 0, int(shape["c"] or 0) + 1
 
 
+#: The depth of the deepest tree Spark grows.
+DEEPEST = 30
 COLUMNS = {"featuresCol": "_v", "labelCol": "_y", "predictionCol": "_prediction"}
 
 
@@ -87,8 +89,17 @@ def logistic_regression(c: float = 1.0) -> SparkEstimator:
     return SparkEstimator(build, weighted=True)
 
 
-def decision_tree(max_depth: int = 5) -> SparkEstimator:
-    return SparkEstimator(lambda n, d, k: DecisionTreeClassifier(maxDepth=min(max_depth, 30), seed=0, **COLUMNS))
+def tree_depth(max_depth: int | None) -> int:
+    """The depth as Spark takes it. None stands for no limit of one's own: Spark's own is DEEPEST."""
+    if max_depth is None:
+        return DEEPEST
+    if max_depth > DEEPEST:
+        raise ValueError(f"a tree of depth {max_depth}; at most {DEEPEST}, or None for as deep as can be")
+    return max_depth
+
+
+def decision_tree(max_depth: int | None = 5) -> SparkEstimator:
+    return SparkEstimator(lambda n, d, k: DecisionTreeClassifier(maxDepth=tree_depth(max_depth), seed=0, **COLUMNS))
 
 
 def random_forest(trees: int = 10, max_depth: int = 5, subset: str = "1") -> SparkEstimator:
@@ -99,15 +110,17 @@ def random_forest(trees: int = 10, max_depth: int = 5, subset: str = "1") -> Spa
     )
 
 
-def linear_svm(c: float = 0.025) -> SparkEstimator:
+def linear_svm(c: float = 0.025, iterations: int = 1000) -> SparkEstimator:
+    """For more than two classes one model per class against the rest, the highest margin winning."""
+
     def build(rows: int, features: int, classes: int):
-        one = LinearSVC(regParam=1.0 / (c * max(rows, 1)), standardization=False, maxIter=50, **COLUMNS)
+        one = LinearSVC(regParam=1.0 / (c * max(rows, 1)), standardization=False, maxIter=iterations, **COLUMNS)
         return one if classes <= 2 else OneVsRest(classifier=one, parallelism=4, **COLUMNS)
 
     return SparkEstimator(build)
 
 
-def neural_net(hidden: int = 100, iterations: int = 200) -> SparkEstimator:
+def neural_net(hidden: int = 100, iterations: int = 1000) -> SparkEstimator:
     """One hidden layer. Spark's network has no L2 term."""
     return SparkEstimator(
         lambda n, d, k: MultilayerPerceptronClassifier(layers=[d, hidden, max(k, 2)], maxIter=iterations, seed=0, **COLUMNS)
@@ -122,11 +135,11 @@ def naive_bayes() -> SparkEstimator:
 class RegressionTree:
     """A regression tree on 0/1 classes, its output rounded to a class."""
 
-    max_depth: int = 30
+    max_depth: int | None = None
 
     def fit(self, train: DataFrame) -> RegressionTreeModel:
         data = train.select(array_to_vector("features").alias("_v"), F.col("class").cast("double").alias("_y"))
-        return RegressionTreeModel(DecisionTreeRegressor(maxDepth=min(self.max_depth, 30), seed=0, **COLUMNS).fit(data))
+        return RegressionTreeModel(DecisionTreeRegressor(maxDepth=tree_depth(self.max_depth), seed=0, **COLUMNS).fit(data))
 
 
 @dataclass

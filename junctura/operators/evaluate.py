@@ -6,19 +6,26 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions.vectors import dense_vector
 from junctura.operators.classify import canonical_name, make_classifier
 from junctura.operators.metrics import accuracy, binary_scores, class_report, coefficient_sums, confusion_matrix, top_coefficients
-from junctura.operators.reduce import min_max_scale, pca_sweep
+from junctura.operators.reduce import PCA_SIZES, min_max_scale, pca_sweep
 from junctura.operators.ranking import shuffled_rank
 from junctura.operators.sampling import repeated_splits, split_train_test
 from junctura.schemas import SCORES
 from junctura.session import cut_lineage
 
 
+# fixed values: the models compared with each other, and those compared over dimensions
+MODELS = ("kNN", "LSVM", "RBF_SVM", "DT", "RF", "ADA", "NB")
+DIMENSION_MODELS = (("DT", {"max_depth": None}), ("kNN", {"k": 5}))
+
+
 def feature_matrix(table: DataFrame, subject: str, features: Sequence | None = None) -> tuple[DataFrame, list]:
     """Long (subject, feature, freq) as (subject, features array); absent cells are 0.
 
@@ -101,9 +108,12 @@ def run_classifier(
 ) -> Evaluation:
     """Fit on ``repeats`` random splits of (row_id, features, class) and pool the predictions.
 
-    The splits are drawn in one job. Fitting is one Spark ML run per split, so ``repeats``
-    is best kept small for models that iterate.
+    The splits are drawn in one job. Naive Bayes without parameters is fitted on all splits in
+    one grouped job. The other models take one Spark ML run per split, so ``repeats`` is best
+    kept small for those that iterate.
     """
+    if canonical_name(model) == "NB" and not parameters:
+        return bayes_on_splits(table, repeats, test_share, verify, seed)
     splits = cut_lineage(repeated_splits(table.select("row_id", "features", "class"), repeats, test_share, seed=seed))
     estimator = make_classifier(model, **parameters)
     pooled, checked, coefs = _Pool(), _Pool(), []
@@ -114,11 +124,47 @@ def run_classifier(
         if verify is not None:
             checked.add(_pairs(fitted.transform(verify.select("row_id", "features", "class")), number))
         if canonical_name(model) in ("LR", "RLR"):
-            coefs += [(number, i, float(c)) for row in fitted.coefficients for i, c in enumerate(row)]
-    coefficients = table.sparkSession.createDataFrame(coefs, "split int, position int, coef double") if coefs else None
+            coefs += [(number, k, i, float(c)) for k, row in enumerate(fitted.coefficients) for i, c in enumerate(row)]
+    coefficients = table.sparkSession.createDataFrame(coefs, "split int, class int, position int, coef double") if coefs else None
     return Evaluation(pooled.table(), checked.table(), coefficients)
 
 
+def bayes_on_splits(
+    table: DataFrame, repeats: int = 1000, test_share: float = 0.2, verify: DataFrame | None = None, seed: int = 0
+) -> Evaluation:
+    """Gaussian naive Bayes on every split at once, in a number of jobs that doesn't depend on ``repeats``.
+
+    Only keys and roles are written per split. Features meet them in a join whose rows are added
+    up by (split, class) before they are shuffled; the models are a row per split and class.
+    """
+    rows = table.select("row_id", "features", "class")
+    splits = cut_lineage(repeated_splits(rows.select("row_id"), repeats, test_share, seed=seed))
+    placed = splits.join(rows, "row_id")
+    vector = array_to_vector("features")
+    train = placed.where(F.col("role") == "train")
+    moments = [vector_to_array(Summarizer.mean(vector)).alias("mean"), vector_to_array(Summarizer.variance(vector)).alias("var"), F.count("*").alias("n")]
+    spread = train.groupBy("split").agg(vector_to_array(Summarizer.variance(vector)).alias("var"), F.count("*").alias("rows"))
+    widest = spread.select("split", "rows", (1e-9 * F.array_max("var") * (F.col("rows") - 1) / F.col("rows")).alias("least"))
+    by_class = train.groupBy("split", "class").agg(*moments).join(widest, "split")
+    variance = F.transform("var", lambda v: v * (F.col("n") - 1) / F.col("n") + F.col("least"))
+    models = by_class.select("split", F.col("class").alias("_class"), "mean", variance.alias("var"), F.log(F.col("n") / F.col("rows")).alias("prior"))
+    models = cut_lineage(models.withColumn("constant", F.col("prior") - 0.5 * F.aggregate("var", F.lit(0.0), lambda t, v: t + F.log(v))))
+
+    def predicted(sample: DataFrame) -> DataFrame:
+        off = F.zip_with(F.zip_with("features", "mean", lambda x, m: (x - m) * (x - m)), "var", lambda q, v: q / v)
+        score = F.col("constant") - 0.5 * F.aggregate(off, F.lit(0.0), lambda t, v: t + v)
+        scored = sample.join(models, "split").select("split", "row_id", "class", "_class", score.alias("score"))
+        best = F.max_by("_class", F.struct("score", -F.col("_class")))
+        return scored.groupBy("split", "row_id").agg(F.first("class").alias("actual"), best.cast("int").alias("predicted"))
+
+    tested = predicted(placed.where(F.col("role") == "test"))
+    checked = None
+    if verify is not None:
+        every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("split")
+        checked = predicted(verify.select("row_id", "features", "class", every))
+    return Evaluation(tested, checked, None)
+
+
 class _Pool:
     """A union of many small tables, written out every few so that its plan stays short."""
 
@@ -149,9 +195,13 @@ def two_stage_regression(
     verify: DataFrame | None = None,
     seed: int = 0,
 ) -> tuple[list[int], Evaluation]:
-    """Logistic regression on all features, then again on those with the largest summed coefficients."""
+    """Logistic regression on all features, then again on those with the largest summed coefficients.
+
+    Two classes have one row of coefficients. Of more classes, whose rows add up to nothing at
+    each position, the first class's row ranks the features.
+    """
     first = run_classifier(table, "RLR", repeats, test_share, seed=seed, c=c)
-    best = top_coefficients(coefficient_sums(first.coefficients), top).collect()
+    best = top_coefficients(coefficient_sums(first.coefficients.where(F.col("class") == 0)), top).collect()
     positions = [row["position"] for row in best]
     second = run_classifier(
         pick_features(table, positions),
@@ -167,19 +217,23 @@ def two_stage_regression(
 
 def compare_models(
     table: DataFrame,
-    models: Sequence[str] = ("kNN", "LSVM", "RBF_SVM", "DT", "RF", "ADA", "NB"),
+    models: Sequence[str | tuple[str, dict]] = MODELS,
     test_share: float = 0.25,
     seed: int = 0,
     scale: bool = True,
 ) -> DataFrame:
-    """(model, role, actual, predicted, row_id): several models on one min-max scaled split."""
+    """(model, role, actual, predicted, row_id): several models on one min-max scaled split.
+
+    A model is a name, or a name and its parameters.
+    """
     split = cut_lineage(split_train_test(table.select("row_id", "features", "class"), test_share, seed=seed))
     train, test = (split.where(F.col("role") == r).drop("role") for r in ("train", "test"))
     if scale:
         train, test = min_max_scale(train, test, vec="features")
     out = None
-    for name in models:
-        fitted = make_classifier(name).fit(train)
+    for model in models:
+        name, parameters = (model, {}) if isinstance(model, str) else model
+        fitted = make_classifier(name, **parameters).fit(train)
         for role, rows in (("train", train), ("test", test)):
             part = fitted.transform(rows).select(
                 F.lit(name).alias("model"), F.lit(role).alias("role"), "row_id", F.col("class").alias("actual"), "predicted"
@@ -190,15 +244,18 @@ def compare_models(
 
 def accuracy_by_dimension(
     vectors: DataFrame,
-    dims: Sequence[int] = (2, 5, 10, 15, 20, 30, 50, 75, 90, 100),
-    models: Sequence[str] = ("DT", "kNN"),
+    dims: Sequence[int] = PCA_SIZES,
+    models: Sequence[str | tuple[str, dict]] = DIMENSION_MODELS,
     test_share: float = 0.25,
     seed: int = 0,
 ) -> DataFrame:
-    """(dims, model, accuracy) on PCA-reduced (row_id, vec, class); one PCA serves all sizes."""
+    """(dims, model, accuracy) on PCA-reduced (row_id, vec, class); one PCA serves all sizes.
+
+    The tree has no depth limit of its own, five neighbours vote.
+    """
     swept = cut_lineage(pca_sweep(vectors, dims))
     out = None
-    for size in [r[0] for r in swept.select("dims").distinct().orderBy("dims").collect()]:
+    for size in sorted(set(dims)):
         table = swept.where(F.col("dims") == size).select("row_id", F.col("vec").alias("features"), "class")
         said = compare_models(table, models, test_share, seed).where(F.col("role") == "test")
         part = accuracy(said, ["model"]).select(F.lit(size).alias("dims"), "model", "accuracy")

@@ -61,6 +61,10 @@ def class_report(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return report.unionByName(means.select(*by, F.lit("macro avg").alias("class"), "precision", "recall", "f1", "support"))
 
 
+#: Columns a pivot may have.
+MOST_METRICS = 1000
+
+
 def coefficient_sums(coefficients: DataFrame) -> DataFrame:
     """Coefficients (split, position, coef) added up over the splits."""
     return coefficients.groupBy("position").agg(F.sum("coef").alias("coef"))
@@ -71,6 +75,14 @@ def top_coefficients(summed: DataFrame, n: int = 20) -> DataFrame:
     return summed.orderBy(F.abs("coef").desc(), "position").limit(n)
 
 
-def score_pivot(scores: DataFrame, method: str, metric: str, value: str, metrics: Sequence[str]) -> DataFrame:
-    """Methods by metrics, mean value in each cell."""
+def score_pivot(scores: DataFrame, method: str, metric: str, value: str, metrics: Sequence[str] | None = None) -> DataFrame:
+    """Methods by metrics, mean value in each cell.
+
+    Without a list, the columns are the metrics that occur; more than MOST_METRICS raise ValueError.
+    """
+    if metrics is None:
+        found = scores.where(F.col(metric).isNotNull()).select(metric).distinct().orderBy(metric).limit(MOST_METRICS + 1).collect()
+        if len(found) > MOST_METRICS:
+            raise ValueError(f"more than {MOST_METRICS} different values of {metric!r}")
+        metrics = [r[0] for r in found]
     return scores.groupBy(method).pivot(metric, list(metrics)).agg(F.avg(value))

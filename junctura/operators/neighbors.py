@@ -282,7 +282,9 @@ def knn_approximate(
     rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<double>").alias("vec"))
     groups = cut_lineage(_distinct_vectors(rows, k + 1))
     count = groups.count()
-    wanted = max(1, min(MAX_PIVOTS, cells or math.isqrt(count)))
+    if cells is not None and cells > MAX_PIVOTS:
+        raise ValueError(f"{cells} cells; at most {MAX_PIVOTS}")
+    wanted = max(1, cells or min(MAX_PIVOTS, math.isqrt(count)))
     pivots = _choose_pivots(groups, "gid", count, wanted)
     if count == 0:
         return _with_itself_first(rows, groups.select("vec", F.lit(None).cast(NEAR).alias("near")), k)

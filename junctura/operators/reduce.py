@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, ElementwiseProduct, MinMaxScaler, StandardScaler
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# fixed values: the sizes compared in a sweep
+PCA_SIZES = (2, 5, 10, 15, 20, 30, 50, 75, 90, 100)
+
+
 @dataclass(frozen=True)
 class Reduction:
     """A fitted standardise-then-PCA chain."""
@@ -59,11 +64,16 @@ def reduce_dimensions(vectors: DataFrame, components: int = 2, method: str = "PC
 
 
 def pca_sweep(
-    vectors: DataFrame, dims: Sequence[int] = (2, 5, 10, 15, 20, 30, 50, 75, 90, 100), vec: str = "vec"
+    vectors: DataFrame, dims: Sequence[int] = PCA_SIZES, vec: str = "vec"
 ) -> DataFrame:
-    """Reduced vectors for many sizes from one fit: leading components do not depend on k."""
-    width = vectors.agg(F.max(F.size(vec))).first()[0]
-    sizes = [d for d in dims if d <= width]
+    """Reduced vectors for many sizes from one fit: leading components do not depend on k.
+
+    Raises ValueError for a size beyond the width of the vectors.
+    """
+    width = vectors.agg(F.max(F.size(vec))).first()[0] or 0
+    sizes = list(dims)
+    if max(sizes) > width:
+        raise ValueError(f"{max(sizes)} components of vectors with {width} values")
     reduced = fit_pca(vectors, max(sizes), vec).transform(vectors, vec=vec)
     return reduced.withColumn("dims", F.explode(F.array(*[F.lit(d) for d in sizes]))).withColumn(
         vec, F.slice(vec, F.lit(1), F.col("dims"))
@@ -73,6 +83,8 @@ def pca_sweep(
 def standardise(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """Each position to mean 0 and population deviation 1; a constant position becomes 0."""
     shape = vectors.agg(F.count(vec).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    if shape["n"] < 2:
+        raise ValueError("standardising needs at least two rows")
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_scaled")
     rows = vectors.withColumn("_raw", array_to_vector(vec))
     scaled = scaler.fit(rows.select("_raw")).transform(rows)
@@ -81,15 +93,17 @@ def standardise(vectors: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def min_max_scale(train: DataFrame, *others: DataFrame, vec: str = "vec") -> list[DataFrame]:
-    """Scale to 0..1 with the range of ``train``; further tables use the same range."""
-    scaler = MinMaxScaler(inputCol="_raw", outputCol="_scaled")
-    model = scaler.fit(train.select(array_to_vector(vec).alias("_raw")))
-    return [
-        model.transform(t.withColumn("_raw", array_to_vector(vec)))
-        .withColumn(vec, vector_to_array("_scaled"))
-        .drop("_raw", "_scaled")
-        for t in (train, *others)
-    ]
+    """Scale to 0..1 with the range of ``train``; further tables use the same range.
+
+    A position that is constant in ``train`` is only shifted: it becomes 0 there.
+    """
+    raw = array_to_vector(vec)
+    ends = train.agg(vector_to_array(Summarizer.min(raw)).alias("lo"), vector_to_array(Summarizer.max(raw)).alias("hi")).first()
+    low, high = ends["lo"] or [], ends["hi"] or []
+    lows = F.array(*[F.lit(float(x)) for x in low])
+    widths = F.array(*[F.lit(float(y - x) or 1.0) for x, y in zip(low, high, strict=True)])
+    scaled = F.zip_with(F.zip_with(vec, lows, lambda x, lo: x - lo), widths, lambda x, w: x / w)
+    return [t.withColumn(vec, scaled) for t in (train, *others)]
 
 
 def percent_scale(df: DataFrame, value: str, out: str = "scaled") -> DataFrame:

@@ -36,12 +36,20 @@ def sample_small_groups(df: DataFrame, group: str, max_rows: int) -> DataFrame:
 def stratified_sample(
     df: DataFrame, group: str, values: Sequence[str], n: int, row_id: str = "row_id", seed: int = 0
 ) -> DataFrame:
-    """``n`` rows of each named class, together in one table."""
+    """``n`` rows of each named class, together in one table. Raises ValueError if a class has fewer."""
+    rows = df.where(F.col(group).isin(list(values))).groupBy(group).count().collect()  # one row per named class
+    sizes = {r[group]: r["count"] for r in rows}
+    for value in values:
+        if sizes.get(value, 0) < n:
+            raise ValueError(f"{n} rows of class {value!r}, which has {sizes.get(value, 0)}")
     return first_shuffled(df.where(F.col(group).isin(list(values))), row_id, n, [group], seed)
 
 
 def sample_rows(df: DataFrame, n: int, row_id: str = "row_id", seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement."""
+    """``n`` rows without replacement. Raises ValueError if there are fewer."""
+    size = df.count()
+    if size < n:
+        raise ValueError(f"{n} rows of a table with {size}")
     return first_shuffled(df, row_id, n, (), seed)
 
 
@@ -52,16 +60,15 @@ def unit_draw(row_id: Column, seed: int | str) -> Column:
 
 def sample_with_replacement(df: DataFrame, n: int, row_id: str = "row_id", seed: int = 0) -> DataFrame:
     """``n`` independent draws; adds ``draw`` 0..n-1. A row may come back many times."""
-    ranked = shuffled_rank(df, row_id, (), seed, rank="_index", total="_n")
-    size = ranked.select("_n").limit(1)
-    total = size.collect()[0]["_n"] if size.take(1) else 0
+    total = df.count()
     if not total:
         return df.limit(0).withColumn("draw", F.lit(None).cast("long"))
     draws = df.sparkSession.range(n).select(
         F.col("id").alias("draw"),
         (F.floor(unit_draw(F.col("id"), f"{seed}:draw") * F.lit(float(total))) + 1).cast("long").alias("_index"),
     )
-    return draws.join(ranked.drop("_n"), "_index").drop("_index").select(*df.columns, "draw")
+    ranked = shuffled_rank(df, row_id, (), seed, rank="_index")
+    return draws.join(ranked, "_index").select(*df.columns, "draw")
 
 
 def split_train_test(

@@ -36,7 +36,8 @@ def variance_ratio(table: DataFrame, value: str, cluster: str = "cluster") -> Da
 def mean_distance(table: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Each row's mean |difference| to all rows (of its group), itself included: adds ``mean_distance``.
 
-    From running counts and sums over the sorted distinct values instead of all pairs.
+    From running counts and sums over the sorted distinct values instead of all pairs. A row
+    whose value or group is NULL stays, with a NULL distance.
     """
     by = list(by)
     totals = running_totals(table, value, {"_c": F.count("*"), "_s": F.sum(F.col(value).cast("double"))}, by)
@@ -44,7 +45,7 @@ def mean_distance(table: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
     below = x * F.col("cum__c") - F.col("cum__s")
     above = (F.col("all__s") - F.col("cum__s")) - x * (F.col("all__c") - F.col("cum__c"))
     per_value = totals.select(*by, value, ((below + above) / F.col("all__c")).alias("mean_distance"))
-    return table.join(per_value, [*by, value])
+    return table.join(per_value, [*by, value], "left")
 
 
 def band_sums(points: DataFrame, threshold: float, values: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:

@@ -15,19 +15,37 @@ from junctura.schemas import EMBEDDING, LABEL_DICTIONARY, MAKEDB_READS, require_
 
 
 def read_table(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, sep: str = ",", **options
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType | None = None,
+    sep: str = ",",
+    malformed: str = "raise",
+    **options,
 ) -> DataFrame:
     """Delimited text with a header.
 
     Columns are found by their name in the header; those of ``schema`` are kept and cast,
     in its order, and files may have others. Without ``schema`` all columns are text.
-    Files whose header differs from the first one's raise.
+    Files whose header differs from the first one's raise. A cell that its column's type can't
+    hold raises when it is read; ``malformed="null"`` makes it NULL instead.
     """
     text = spark.read.options(**{"header": True, "sep": sep, "enforceSchema": False, **options}).csv(path)
     if schema is None:
         return text
     require_columns(text, *schema.names)
-    return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return text.select(*[typed(f.name, f.dataType, malformed).alias(f.name) for f in schema.fields])
+
+
+def typed(name: str, kind: T.DataType | str, malformed: str = "raise") -> Column:
+    """A text column as ``kind``; an empty cell is NULL, another one that doesn't fit raises or is NULL."""
+    if malformed not in ("raise", "null"):
+        raise ValueError("malformed must be 'raise' or 'null'")
+    cell = F.col(f"`{name}`")
+    value = cell.try_cast(kind)
+    if malformed == "null":
+        return value
+    wrong = F.raise_error(F.concat(F.lit(f"column {name!r} can't hold "), cell)).cast(kind)
+    return F.when(value.isNull() & (F.trim(cell) != ""), wrong).otherwise(value)
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, **options) -> DataFrame:
@@ -35,7 +53,13 @@ def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def read_keyed(
-    spark: SparkSession, path: str, key: str, key_type: str = "string", value_type: str = "double", sep: str = ","
+    spark: SparkSession,
+    path: str,
+    key: str,
+    key_type: str = "string",
+    value_type: str = "double",
+    sep: str = ",",
+    malformed: str = "raise",
 ) -> DataFrame:
     """A table with an index column: ``key``, and every other column as ``value_type``.
 
@@ -51,17 +75,19 @@ def read_keyed(
     table = table.drop(*stray)
     return table.select(
         F.col(f"`{key}`").cast(key_type).alias(key),
-        *[F.col(f"`{c}`").try_cast(value_type).alias(c) for c in table.columns if c != key],
+        *[typed(c, value_type, malformed).alias(c) for c in table.columns if c != key],
     )
 
 
-def read_annotated_reads(spark: SparkSession, folder: str, suffix: str = "_collapsed.tab", row_ids: bool = True) -> DataFrame:
+def read_annotated_reads(
+    spark: SparkSession, folder: str, suffix: str = "_collapsed.tab", row_ids: bool = True, malformed: str = "raise"
+) -> DataFrame:
     """All annotated-read files of a folder, with FILENAME (the stem) and, by default, row_id."""
     options = {"header": True, "sep": "\t", "enforceSchema": False, "pathGlobFilter": f"*{suffix}"}
     text = spark.read.options(**options).csv(folder)
     require_columns(text, *MAKEDB_READS.names)
     reads = text.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in MAKEDB_READS.fields],
+        *[typed(f.name, f.dataType, malformed).alias(f.name) for f in MAKEDB_READS.fields],
         file_stem(F.col("_metadata.file_name")).alias("FILENAME"),
         *_position(),
     )
@@ -93,13 +119,15 @@ def with_positions(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     )
 
 
-def read_positional(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",") -> DataFrame:
+def read_positional(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",", malformed: str = "raise"
+) -> DataFrame:
     """A table without a key whose rows are meant by position: adds row_id 0, 1, ..."""
     text = spark.read.options(header=True, sep=sep, enforceSchema=False).csv(path)
     names = schema.names if schema else text.columns
     require_columns(text, *names)
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
-    columns = [F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in names]
+    columns = [typed(c, types[c], malformed).alias(c) if c in types else F.col(f"`{c}`") for c in names]
     return with_positions(text.select(*columns, *_position()))
 
 
@@ -118,19 +146,23 @@ def _as_array(columns) -> Column:
     return F.array(*[F.trim(F.col(f"`{c}`")).cast("double") for c in columns]).alias("vec")
 
 
+def fasta_records(text: Column) -> Column:
+    """The (id, seq) records of FASTA text: of any number of lines; the id ends at the first blank."""
+    parts = F.split(F.regexp_replace(text, "\r", ""), "(?:^|\n)\\s*>")
+    return F.filter(F.transform(parts, fasta_record), lambda r: (r["id"] != "") | (r["seq"] != ""))
+
+
+def fasta_record(record: Column) -> Column:
+    """(id, seq) of one record, with or without its leading sign."""
+    clean = F.regexp_replace(F.regexp_replace(record, "\r", ""), "^[\\s]*>?", "")
+    body = F.regexp_extract(clean, "(?s)^[^\n]*\n?(.*)$", 1)
+    return F.struct(F.regexp_extract(clean, "^([^\\s]*)", 1).alias("id"), F.regexp_replace(body, "\\s", "").alias("seq"))
+
+
 def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(id, seq): records of any number of lines; the id ends at the first blank."""
-    record = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^[\\s]*>?", "")
-    body = F.regexp_extract(record, "(?s)^[^\n]*\n?(.*)$", 1)
-    return (
-        spark.read.option("lineSep", "\n>")
-        .text(path)
-        .select(
-            F.regexp_extract(record, "^([^\\s]*)", 1).alias("id"),
-            F.regexp_replace(body, "\\s", "").alias("seq"),
-        )
-        .where((F.col("id") != "") | (F.col("seq") != ""))
-    )
+    """(id, seq) of FASTA files, read record by record."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(fasta_record(F.col("value")).alias("r"))
+    return records.select("r.id", "r.seq").where((F.col("id") != "") | (F.col("seq") != ""))
 
 
 def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -88,13 +88,20 @@ def _stem(path: str) -> str:
     return path.rstrip("/").rpartition("/")[2].split(".")[0]
 
 
+#: Columns a wide table may have.
+MOST_COLUMNS = 10_000
+
+
 def wide_feature_table(table: DataFrame, subject: str, features: Sequence | None = None) -> DataFrame:
     """One row per subject, one column per feature, 0 where a subject has none.
 
-    A subject without any hit keeps NULLs, as its frequencies are undefined.
+    A subject without any hit keeps NULLs, as its frequencies are undefined. More features than
+    MOST_COLUMNS raise ValueError; such a table stays long.
     """
     if features is None:
-        rows = table.where(F.col("feature").isNotNull()).select("feature").distinct().orderBy("feature").collect()
+        rows = table.where(F.col("feature").isNotNull()).select("feature").distinct().orderBy("feature").limit(MOST_COLUMNS + 1).collect()
+        if len(rows) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} features")
         features = [r[0] for r in rows]
     pivoted = table.groupBy(subject).pivot("feature", list(features)).agg(F.first("freq"))
     undefined = table.groupBy(subject).agg((F.count("freq") == 0).alias("_undefined"))
