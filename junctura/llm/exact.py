@@ -10,6 +10,7 @@ the documents of a digest under which texts differ are grouped anew by their tex
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,21 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _locator(docs: DataFrame) -> Column:
+    """The file a row was read from; empty where rows come from several tables, as after a join."""
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:
+        return F.lit("")
+    return F.input_file_name()
+
+
 def arrivals(docs: DataFrame, digest=sha256) -> DataFrame:
-    """(doc_id, digest, locator, rows) of each document, the locator naming the file it is in.
+    """(doc_id, digest, locator, rows) of each document, the locator naming the file it is in, where known.
 
     Rows with the same doc_id and the same normalised text are one document.
     """
-    found = docs.select("doc_id", digest(ascii_lower(F.col("text"))).alias("digest"), F.input_file_name().alias("locator"))
+    found = docs.select("doc_id", digest(ascii_lower(F.col("text"))).alias("digest"), _locator(docs).alias("locator"))
     return found.groupBy("doc_id", "digest").agg(F.max("locator").alias("locator"), F.count(F.lit(1)).alias("rows"))
 
 
