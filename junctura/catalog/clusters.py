@@ -202,7 +202,7 @@ QUERIES = {
     "diversity_share": (diversity, t.with_ctes(*TABLE, body="SELECT feature, round(top_percent, 6) AS top_percent FROM top")),
     "diversity_filter": (
         diversity_filtered,
-        t.with_ctes(*TABLE, body=FREQ + " WHERE feature NOT IN (SELECT feature FROM top WHERE top_percent > 12.5)"),
+        t.with_ctes(*TABLE, body=FREQ + " WHERE feature NOT IN (SELECT feature FROM top WHERE round(top_percent, 9) > 12.5)"),
     ),
     "wide_feature_table": (
         wide_features,

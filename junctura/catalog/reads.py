@@ -21,7 +21,7 @@ from junctura.operators.reads import (
     unique_reads,
 )
 from junctura.session import cut_lineage
-from junctura.sources.readers import parse_list
+from junctura.sources.readers import parse_fasta, parse_list
 from junctura.sources.writers import fasta_records
 
 
@@ -103,6 +103,14 @@ def seq_vectors_given_vocab(spark, sf):
     return _position_rows(sequence_vectors(t.proteins(spark, sf), given_embedding(spark, sf, 20)), "row_id")
 
 
+def fasta_parse(spark, sf):
+    """Two records from a FASTA text of each document: one on two lines, one with carriage returns."""
+    seq, row = F.col("JUNC_AA"), F.col("row_id").cast("string")
+    one = F.concat(F.lit(">d"), row, F.lit(" more words\n"), F.substring(seq, 1, 60), F.lit("\n"), F.expr("substring(JUNC_AA, 61)"), F.lit("\n"))
+    text = F.concat(one, F.lit("\n >e"), row, F.lit("\r\n"), F.expr("substring(JUNC_AA, 3)"), F.lit("\r\n"))
+    return t.proteins(spark, sf).select(F.inline(parse_fasta(text)))
+
+
 def seq_vectors_both_paths(spark, sf):
     """Both ways to meet a vocabulary, over rows that each share their key with a second one: rows, keys, and rows only one way has."""
     rows = t.proteins(spark, sf)
@@ -324,6 +332,10 @@ LEFT JOIN words w ON w.word = a.l || b.l GROUP BY 1""",
         seq_vectors_given_vocab,
         t.with_ctes(*BASE, CODED, _vector_sql(1, 20), body=UNPIVOT.format(keys="row_id", table="summed")),
     ),
+    "fasta_parse": (
+        fasta_parse,
+        t.with_ctes(t.PROTEINS, body="SELECT 'd' || row_id AS id, JUNC_AA AS seq FROM proteins UNION ALL SELECT 'e' || row_id, substr(JUNC_AA, 3) FROM proteins"),
+    ),
     "seq_vectors_both_paths": (
         seq_vectors_both_paths,
         t.with_ctes(*BASE, CODED, _vector_sql(1, 20), body="SELECT CAST(4 * count(*) AS BIGINT) AS n, count(DISTINCT row_id) AS keys, CAST(0 AS BIGINT) AS odd FROM summed"),

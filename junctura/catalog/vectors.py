@@ -51,6 +51,11 @@ def _neighbours(spark, sf):
     return knn_self(t.vectors(spark, sf), t.K)
 
 
+def knn_many_cells(spark, sf):
+    """The same lists by cells of some thirty rows, so that many cells and blocks meet."""
+    return _round(knn_self(t.vectors(spark, sf), t.K, cell_rows=32), "dist")
+
+
 def _shares(spark, sf):
     return label_share(_neighbours(spark, sf), t.subjects(spark, sf), "HC")
 
@@ -265,6 +270,10 @@ POSITIONS = "SELECT {keys}, CAST(p AS INTEGER) AS pos, round(vec[p + 1], 6) AS v
 
 QUERIES = {
     "knn": (knn, t.with_ctes(t.VECTORS, t.knn_sql(), body="SELECT row_id, rank, neighbor, round(dist, 6) AS dist FROM nn")),
+    "knn_many_cells": (
+        knn_many_cells,
+        t.with_ctes(t.VECTORS, t.knn_sql(), body="SELECT row_id, rank, neighbor, round(dist, 6) AS dist FROM nn"),
+    ),
     "knn_radius": (
         knn_radius,
         t.with_ctes(t.VECTORS, t.knn_sql(), body="SELECT row_id, round(max(dist), 6) AS max_distance FROM nn GROUP BY row_id"),

@@ -140,8 +140,12 @@ def diversity_share(table: DataFrame, subject: str = "subject") -> DataFrame:
 
 
 def diversity_filter(table: DataFrame, threshold: float = 100.0) -> DataFrame:
-    """Drop features whose top subject holds strictly more than ``threshold`` percent."""
-    top = diversity_share(table).where(F.col("top_percent") > threshold)
+    """Drop features whose top subject holds strictly more than ``threshold`` percent.
+
+    Shares are compared to nine decimals, so that the order in which they are added up in
+    different runs can't decide.
+    """
+    top = diversity_share(table).where(F.round("top_percent", 9) > threshold)
     return table.join(top.select("feature"), "feature", "left_anti")
 
 

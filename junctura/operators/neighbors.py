@@ -27,7 +27,8 @@ from junctura.session import cut_lineage
 MAX_PIVOTS = 4096  # pivots and their summaries are held by the driver
 CELL_ROWS = 8192  # aimed rows per cell
 BLOCK_ROWS = 16384  # most rows of one side in one task's group
-TILE_ROWS = 1024  # rows of a block multiplied at a time
+TILE_ROWS = 1024  # rows of a block multiplied at a time, unless that is too much for TILE_BYTES
+TILE_BYTES = 64 * 1024 * 1024  # a matrix of distances, or of the vectors of compared pairs, in a task
 NEAR = "array<struct<dist:double,neighbor:bigint>>"
 BROADCAST_BYTES = 64 * 1024 * 1024  # a feature list up to this size is sent to every task
 
@@ -49,8 +50,26 @@ def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(squared + slack[:, None])
 
 
-def _choose_pivots(vectors: DataFrame, key: str, rows: int, wanted: int | None = None) -> np.ndarray:
-    wanted = wanted or max(1, min(MAX_PIVOTS, rows // CELL_ROWS))
+def _tile_rows(others: int) -> int:
+    """Rows compared at once with ``others`` rows."""
+    return max(1, min(TILE_ROWS, TILE_BYTES // (8 * max(others, 1))))
+
+
+def _row_runs(row: np.ndarray, width: int) -> list[slice]:
+    """Cut pairs, sorted by row, so that the vectors of a run of whole rows stay within TILE_BYTES."""
+    most = max(1, TILE_BYTES // (8 * max(width, 1)))
+    runs, at = [], 0
+    while at < len(row):
+        end = len(row) if len(row) - at <= most else int(np.searchsorted(row, row[at + most], side="left"))
+        if end <= at:  # one row has more pairs than that
+            end = int(np.searchsorted(row, row[at], side="right"))
+        runs.append(slice(at, end))
+        at = end
+    return runs
+
+
+def _choose_pivots(vectors: DataFrame, key: str, rows: int, wanted: int | None = None, cell_rows: int | None = None) -> np.ndarray:
+    wanted = wanted or max(1, min(MAX_PIVOTS, rows // (cell_rows or CELL_ROWS)))
     if wanted == 1:  # a single cell needs no pivot to tell rows apart
         picked = vectors.limit(1)
         return np.array([row["vec"] for row in picked.select("vec").collect()], dtype=np.float64)
@@ -125,13 +144,15 @@ def _replicate(vectors: DataFrame, pivots: np.ndarray, radius: np.ndarray, extra
     def send(batches):
         points, limit = shared.value
         for batch in batches:
-            for at in range(0, len(batch), TILE_ROWS):
-                part = batch.iloc[at : at + TILE_ROWS]
+            tile = _tile_rows(len(points))
+            for at in range(0, len(batch), tile):
+                part = batch.iloc[at : at + tile]
                 squared, slack = rough_squared_distances(stack(part["vec"]), points)
                 nearest = np.sqrt(np.maximum(squared - slack[:, None], 0.0))
                 own = part[extra].to_numpy()[:, None] if extra else 0.0
                 row, cell = np.nonzero(nearest <= (limit[None, :] + own) * (1 + 1e-12))
-                yield part.iloc[row].assign(cell=cell.astype(np.int32))
+                for run in _row_runs(row, len(points[0])):
+                    yield part.iloc[row[run]].assign(cell=cell[run].astype(np.int32))
 
     return vectors.mapInPandas(send, f"{fields}, cell int")
 
@@ -148,15 +169,8 @@ def _nearest_in_block(k: int):
         flat = np.concatenate([np.asarray(i, dtype=np.int64) for i in ids])
         start = np.concatenate([[0], np.cumsum(copies)[:-1]])
         keys = queries["gid"].to_numpy()
-        found = []
-        for at in range(0, len(queries), TILE_ROWS):
-            a = stack(queries["vec"].iloc[at : at + TILE_ROWS])
-            squared, slack = rough_squared_distances(a, b)
-            if len(b) > k:
-                kth = np.partition(squared, k - 1, axis=1)[:, k - 1]
-                row, col = np.nonzero(squared <= (kth + 2 * slack)[:, None])
-            else:
-                row, col = (i.ravel() for i in np.indices(squared.shape))
+
+        def ranked(a: np.ndarray, at: int, row: np.ndarray, col: np.ndarray) -> pd.DataFrame:
             dist = pair_distances(a[row], b[col])
             times = copies[col]
             inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -166,9 +180,19 @@ def _nearest_in_block(k: int):
             row, dist, neighbor = row[order], dist[order], neighbor[order]
             first = np.searchsorted(row, row, side="left")
             keep = np.arange(len(row)) - first < k
-            found.append(
-                pd.DataFrame({"gid": keys[at + row[keep]], "neighbor": neighbor[keep], "dist": dist[keep]})
-            )
+            return pd.DataFrame({"gid": keys[at + row[keep]], "neighbor": neighbor[keep], "dist": dist[keep]})
+
+        found = []
+        tile = _tile_rows(len(b))
+        for at in range(0, len(queries), tile):
+            a = stack(queries["vec"].iloc[at : at + tile])
+            squared, slack = rough_squared_distances(a, b)
+            if len(b) > k:
+                kth = np.partition(squared, k - 1, axis=1)[:, k - 1]
+                row, col = np.nonzero(squared <= (kth + 2 * slack)[:, None])
+            else:
+                row, col = (i.ravel() for i in np.indices(squared.shape))
+            found += [ranked(a, at, row[run], col[run]) for run in _row_runs(row, b.shape[1])]
         return pd.concat(found, ignore_index=True)
 
     return compare
@@ -186,17 +210,20 @@ def _distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _group_lists(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """(gid, near): for each distinct query vector its k nearest data rows by (dist, id)."""
+def _group_lists(queries: DataFrame, data: DataFrame, k: int, cell_rows: int | None = None) -> DataFrame:
+    """(gid, near): for each distinct query vector its k nearest data rows by (dist, id).
+
+    The rows sent to the cells are made twice, once to be counted, rather than written.
+    """
     rows = data.count()
-    pivots = _choose_pivots(data, "gid", rows)
+    pivots = _choose_pivots(data, "gid", rows, cell_rows=cell_rows)
     if rows == 0:
         return queries.select("gid", F.lit(None).cast(NEAR).alias("near")).limit(0)
     if len(pivots) > 1:
         q = cut_lineage(_assign(queries.select("gid", "vec"), pivots))
         q_rows, reach = _reach(q, len(pivots))
         limit = reach + _bound_kth(Cells(pivots, reach), cut_lineage(_assign(data, pivots)), k)
-        sent = cut_lineage(_replicate(data, pivots, limit))
+        sent = _replicate(data, pivots, limit)
         sizes = _cell_sizes(sent, len(pivots))
     else:  # one cell holds everything: only the cut into blocks remains
         q, q_rows = queries.select("gid", "vec", F.lit(0).alias("cell")), np.array([queries.count()])
@@ -238,15 +265,17 @@ def _with_itself_first(rows: DataFrame, listed: DataFrame, k: int) -> DataFrame:
     )
 
 
-def knn_self(vectors: DataFrame, k: int = 100, row_id: str = "row_id", vec: str = "vec") -> DataFrame:
+def knn_self(
+    vectors: DataFrame, k: int = 100, row_id: str = "row_id", vec: str = "vec", cell_rows: int | None = None
+) -> DataFrame:
     """The k nearest other rows of every row, plus the row itself as rank 0.
 
     Returns (row_id, rank, neighbor, dist); ties go to the lower id. With fewer than k
-    other rows, all of them are returned.
+    other rows, all of them are returned. ``cell_rows``: rows aimed at per cell.
     """
     rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<double>").alias("vec"))
     groups = cut_lineage(_distinct_vectors(rows, k + 1))
-    lists = _group_lists(groups, groups, k + 1)
+    lists = _group_lists(groups, groups, k + 1, cell_rows)
     return _with_itself_first(rows, groups.join(lists, "gid").select("vec", "near"), k)
 
 
@@ -320,15 +349,19 @@ def distance_diagnostics(neighbours: DataFrame, batch: Column) -> DataFrame:
 
 
 def _hits(rows: pd.DataFrame, keys: np.ndarray, centers: np.ndarray, limit: np.ndarray, row_id: str):
+    """The (row, feature, dist) within reach: a tile of rows against a slice of features at a time."""
+    wide = max(1, TILE_BYTES // (8 * TILE_ROWS))
     for at in range(0, len(rows), TILE_ROWS):
         part = rows.iloc[at : at + TILE_ROWS]
-        a = stack(part["vec"])
-        squared, slack = rough_squared_distances(a, centers)
-        row, col = np.nonzero(squared <= (limit * limit)[None, :] * (1 + 1e-12) + slack[:, None])
-        dist = pair_distances(a[row], centers[col])
-        inside = dist <= limit[col]
-        row, col, dist = row[inside], col[inside], dist[inside]
-        yield pd.DataFrame({row_id: part[row_id].to_numpy()[row], "feature": keys[col], "dist": dist})
+        a, ids = stack(part["vec"]), part[row_id].to_numpy()
+        for first in range(0, len(centers), wide):
+            here, reach = centers[first : first + wide], limit[first : first + wide]
+            squared, slack = rough_squared_distances(a, here)
+            row, col = np.nonzero(squared <= (reach * reach)[None, :] * (1 + 1e-12) + slack[:, None])
+            for run in _row_runs(row, here.shape[1]):
+                dist = pair_distances(a[row[run]], here[col[run]])
+                inside = dist <= reach[col[run]]
+                yield pd.DataFrame({row_id: ids[row[run][inside]], "feature": keys[first + col[run][inside]], "dist": dist[inside]})
 
 
 def radius_join(vectors: DataFrame, features: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -376,7 +409,8 @@ def radius_join(vectors: DataFrame, features: DataFrame, broadcast_bytes: int =
         if a.empty or b.empty:
             return pd.DataFrame({"row_id": [], "feature": [], "dist": []})
         found = _hits(a, b["feature_index"].to_numpy(), stack(b["vec"]), b["max_distance"].to_numpy(), "row_id")
-        return pd.concat(list(found), ignore_index=True)
+        none = pd.DataFrame({"row_id": [], "feature": [], "dist": []})
+        return pd.concat([none.astype({"row_id": "int64", "feature": "int64"}), *found], ignore_index=True)
 
     return left.cogroup(right).applyInPandas(meet, schema)
 

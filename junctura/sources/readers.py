@@ -146,7 +146,7 @@ def _as_array(columns) -> Column:
     return F.array(*[F.trim(F.col(f"`{c}`")).cast("double") for c in columns]).alias("vec")
 
 
-def fasta_records(text: Column) -> Column:
+def parse_fasta(text: Column) -> Column:
     """The (id, seq) records of FASTA text: of any number of lines; the id ends at the first blank."""
     parts = F.split(F.regexp_replace(text, "\r", ""), "(?:^|\n)\\s*>")
     return F.filter(F.transform(parts, fasta_record), lambda r: (r["id"] != "") | (r["seq"] != ""))

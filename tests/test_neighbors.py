@@ -53,6 +53,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(N, "CELL_ROWS", 25)
     monkeypatch.setattr(N, "BLOCK_ROWS", 16)
     monkeypatch.setattr(N, "TILE_ROWS", 7)
+    monkeypatch.setattr(N, "TILE_BYTES", 4000)
 
 
 def clustered(seed, n=260, d=5):
