@@ -50,8 +50,9 @@ INVISIBLE = "​‌‍⁠﻿­"
 
 _FOLD = str.maketrans(LOOKALIKES | dict.fromkeys(INVISIBLE, ""))
 _SUBSTITUTE = str.maketrans(SUBSTITUTES)
-#: A digit or sign beside letters: inside a word, or a digit at its end.
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!|+]+[^\W\d_]+)+[0-9]*|(?<![^\W_])[0-9@$!|+]+[^\W\d_]+(?:[0-9@$!|+]+[^\W\d_]+)*")
+_HIDDEN = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "]")
+#: A run of digits or signs, and the letter after it if there is one: then they stand for letters.
+_DISGUISED = re.compile(r"([0-9@$!|+]+)([^\W\d_]?)")
 _BETWEEN = re.compile(r"[\W_]+")
 
 
@@ -59,8 +60,10 @@ def folded(text: str) -> str:
     """The words of ``text`` in folded form, one space before and after each."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = text.lower().translate(_FOLD)
-    text = _DISGUISED.sub(lambda m: m[0].translate(_SUBSTITUTE), text)
+    text = text.lower()
+    if _HIDDEN.search(text):
+        text = text.translate(_FOLD)
+    text = _DISGUISED.sub(lambda m: m[0].translate(_SUBSTITUTE) if m[2] else m[0], text)
     return f" {_BETWEEN.sub(' ', text).strip()} "
 
 
