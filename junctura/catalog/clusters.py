@@ -67,13 +67,13 @@ def wide_features(spark, sf):
 
 def two_level(spark, sf):
     """Sizes of the leaves of two levels of k-means."""
-    rows = recursive_kmeans(t.vectors(spark, sf).select("row_id", "vec"), 5, 2)
+    rows = recursive_kmeans(t.vectors(spark, sf).select("row_id", "vec"), 20, 2)
     return rows.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def leaf_spread(spark, sf):
     """Each row's cluster joined back to it: rows per (subject, leaf), as for a feature table."""
-    rows = cut_lineage(recursive_kmeans(t.vectors(spark, sf).select("row_id", "vec"), 5, 2))
+    rows = cut_lineage(recursive_kmeans(t.vectors(spark, sf).select("row_id", "vec"), 20, 2))
     return _round(cluster_feature_table(rows, _files(spark, sf), "subject"), "freq")
 
 

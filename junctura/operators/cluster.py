@@ -19,7 +19,7 @@ MIN_SPLIT = 10  # a cluster is split only if it has more rows than this
 MAX_CENTER_BYTES = 256 * 1024 * 1024  # most bytes of centres: clusters x dimensions x 8
 
 
-def kmeans(vectors: DataFrame, n: int = 20, seed: int = 0, iterations: int = 20) -> DataFrame:
+def kmeans(vectors: DataFrame, n: int = 20, seed: int = 0, iterations: int = 300) -> DataFrame:
     """One level: adds ``cluster``."""
     rows = vectors.withColumn("_v", array_to_vector("vec"))
     model = KMeans(k=n, seed=seed, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(rows)
@@ -27,18 +27,25 @@ def kmeans(vectors: DataFrame, n: int = 20, seed: int = 0, iterations: int = 20)
 
 
 def recursive_kmeans(
-    vectors: DataFrame, n: int = 20, depth: int = 2, seed: int = 0, iterations: int = 20, min_split: int = MIN_SPLIT
+    vectors: DataFrame,
+    n: int = 20,
+    depth: int = 2,
+    seed: int = 0,
+    iterations: int = 300,
+    min_split: int = MIN_SPLIT,
+    center_bytes: int = MAX_CENTER_BYTES,
 ) -> DataFrame:
     """k-means, then k-means inside every cluster of more than ``min_split`` rows, and so on.
 
     Adds ``cluster``, a dense number over all leaves. A cluster too small to split stays
-    whole. All clusters of one level are refined together.
+    whole. All clusters of one level are refined together, until no centre moves or for
+    ``iterations`` rounds; more than ``center_bytes`` of centres raise ValueError.
     """
     if depth < 1:
         raise ValueError("depth must be at least 1")
     rows = cut_lineage(kmeans(vectors, n, seed, iterations).withColumnRenamed("cluster", "parent"))
     for level in range(1, depth):
-        split = _split_all(rows, n, f"{seed}:{level}", iterations, min_split)
+        split = _split_all(rows, n, f"{seed}:{level}", iterations, min_split, center_bytes)
         rows = cut_lineage(_renumber(split, ["parent", "sub"], "_next").drop("parent", "sub").withColumnRenamed("_next", "parent"))
     return rows.withColumnRenamed("parent", "cluster")
 
@@ -49,7 +56,7 @@ def _renumber(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return df.join(F.broadcast(ids), keys)
 
 
-def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: int) -> DataFrame:
+def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: int, center_bytes: int) -> DataFrame:
     """Lloyd's algorithm in every parent at once: adds ``sub``.
 
     The centres (parents x n x dimensions numbers, fixed by the parameters) are held by
@@ -67,7 +74,7 @@ def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: i
         centers.setdefault(row["parent"], []).append(row["vec"])
     centers = {parent: np.array(vecs) for parent, vecs in centers.items()}
     size = sum(c.nbytes for c in centers.values())
-    if size > MAX_CENTER_BYTES:
+    if size > center_bytes:
         raise ValueError(f"{size} bytes of centres: choose a smaller n or depth")
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(centers)
@@ -81,6 +88,7 @@ def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: i
             shift = max(shift, float(((mean - centers[row["parent"]][row["sub"]]) ** 2).sum()))
             moved[row["parent"]][row["sub"]] = mean
         centers = moved
+        shared.destroy()
         if shift <= 1e-8:
             break
     shared = spark.sparkContext.broadcast(centers)

@@ -49,6 +49,7 @@ FEATURE_LIST = T.StructType(
     ]
 )
 
+# fixed values: the columns of a table of scores
 SCORES = T.StructType(
     [
         T.StructField("Inputfile", T.StringType()),

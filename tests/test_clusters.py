@@ -94,15 +94,25 @@ def test_pca_against_numpy(spark):
 
 def test_pca_sweep_prefixes(spark):
     x = vectors(spark, np.random.default_rng(1).normal(size=(30, 6)))
-    rows = R.pca_sweep(x, (2, 4, 50)).collect()
+    rows = R.pca_sweep(x, (2, 4)).collect()
     by = {}
     for r in rows:
         by.setdefault(r.dims, {})[r.row_id] = r.vec
     assert set(by) == {2, 4} and all(by[4][i][:2] == by[2][i] for i in range(30))
+    with pytest.raises(ValueError, match="50 components"):
+        R.pca_sweep(x, (2, 4, 50))
     with pytest.raises(ValueError):
         R.reduce_dimensions(x, 2, "tSNE")
 
 
+def test_min_max_of_a_constant(spark):
+    x = vectors(spark, [[1, 5], [3, 5]])
+    train, other = R.min_max_scale(x, vectors(spark, [[2, 7]]))
+    assert [r.vec for r in train.orderBy("row_id").collect()] == [[0, 0], [1, 0]] and other.first().vec == [0.5, 2]
+    with pytest.raises(ValueError):
+        R.standardise(x.limit(1))
+
+
 def test_scaling(spark):
     x = vectors(spark, [[1, 5], [3, 5], [8, 5]])
     got = np.array([r.vec for r in R.standardise(x).orderBy("row_id").collect()])
@@ -181,3 +191,9 @@ def test_counts(spark):
     data = spark.createDataFrame([(0, "A"), (1, "A"), (2, "B")], "row_id long, s string")
     got = Counter({(r.s, r.feature): r.n for r in C.cluster_counts(clustered, data, "s").collect()})
     assert got == {("A", 1): 2, ("B", 2): 1}
+
+
+def test_mean_distance_keeps_rows_without_value_or_group(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "a", None), (4, None, 2.0)], "row_id long, cluster string, v double")
+    got = {r.row_id: r.mean_distance for r in S.mean_distance(rows, "v", ["cluster"]).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: None, 4: None}

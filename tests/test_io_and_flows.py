@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from junctura.operators import corpus as C
 from junctura.operators import embedding as M
@@ -255,3 +256,12 @@ def test_row_operators_accept_a_stream(spark, tmp_path):
     ).start()
     query.awaitTermination(120)
     assert [(r.JUNC_AA, r.labels) for r in spark.table("translated").collect()] == [("ARD", "HC")]
+
+
+def test_malformed_cells_raise_or_become_null(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("a,b\n1,x\nzwei,y\n,z\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    with pytest.raises(Exception, match="can't hold zwei"):
+        R.read_table(spark, str(tmp_path / "m.csv"), schema).collect()
+    got = R.read_table(spark, str(tmp_path / "m.csv"), schema, malformed="null").collect()
+    assert [r.a for r in got] == [1, None, None]

@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from junctura.functions import sequences as S
 from junctura.operators import corpus as C
 from junctura.operators import families, reads
+from junctura.operators.embedding import ngram_table, sequence_vectors
 
 
 def one(spark, text, expression, name="s"):
@@ -148,5 +150,27 @@ def test_families(spark):
     )
     kept = families.unambiguous(families.add_family(table))
     assert sorted(r.V_FAMILY for r in kept.collect()) == ["IGHV1", "IGHV4"]
-    sample = families.family_sample(kept, ("IGHV1", "IGHV3", "IGHV4"), 5)
+    sample = families.family_sample(kept, ("IGHV1", "IGHV4"), 1)
     assert sorted(r.family_number for r in sample.collect()) == [1, 4]
+    with pytest.raises(ValueError, match="IGHV3"):
+        families.family_sample(kept, ("IGHV1", "IGHV3", "IGHV4"), 1)
+
+
+def test_same_bits_and_rows_on_both_paths(spark):
+    rng = np.random.default_rng(3)
+    letters = "ACD"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    table = spark.createDataFrame([(w, [float(x) for x in rng.normal(size=5) * 10.0 ** rng.integers(-8, 8, 5)]) for w in words[:-2]], "word string, vector array<double>")
+    texts = ["".join(rng.choice(list(letters), int(n))) for n in rng.integers(0, 60, 80)] + [None, ""]
+    rows = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)] + [(0, texts[0]), (0, texts[0])], "row_id long, JUNC_AA string")
+    for unknown in ("drop", "zero"):
+        sent, joined = (sequence_vectors(rows, table, on_unknown=unknown, broadcast_bytes=b) for b in (1 << 20, 0))
+        assert sent.count() == joined.count() == (rows.count() if unknown == "zero" else sent.count())
+        assert sent.exceptAll(joined).count() == 0
+
+
+def test_repeated_ngrams(spark):
+    table = spark.createDataFrame([("ACD", [1.0, 2.0])], "word string, vector array<double>")
+    properties = spark.createDataFrame([("ACD", 1), ("ACD", 2), ("CCC", 3)], "Ngram string, n int")
+    got = sorted((r.n, r.vec) for r in ngram_table(properties, table).collect())
+    assert got == [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [0.0, 0.0])]
