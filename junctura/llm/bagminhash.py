@@ -9,9 +9,10 @@ and stops as soon as it is later than every slot of the document.
 
 Signatures are cut into bands; documents that agree in a band share a bucket. Links are sought
 within buckets without forming all pairs: every member is compared with the bucket's most
-central member, then components are formed, and where a bucket still spans several components
-its members outside the largest star are compared with the rest, in blocks of signatures. Every
-link is verified on the shingle counts themselves. Classes are the connected components.
+central member, then components are formed. Where a bucket still spans several components, its
+members outside the largest one are compared with all members of others, in blocks of longer
+signatures, and only pairs whose estimate is near the threshold go on. Every link is verified on
+the shingle counts themselves. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -30,15 +31,14 @@ BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Signatures of 130 slots are off by 0.035 at a similarity of 0.8; pairs are verified down to four times that.
-MARGIN = 0.14
+#: Longer signatures, of documents that share a bucket only: their estimates are off by 0.0177 at
+#: a similarity of 0.8, and pairs are verified down to four times that.
+FINE_SLOTS, MARGIN = 512, 0.071
 #: Shingles signed at once in a task.
 SIGNED = 400_000
-#: Rounds in which buckets choose a central member before the rest is compared in blocks.
-STARS = 2
 MEMBERS = 64
 BLOCK = 2048
-SIGNATURES = "doc_id long, digest binary, sketch binary, bands array<long>"
+SIGNATURES = "doc_id long, digest binary, bands array<long>"
 GOLD, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -71,8 +71,8 @@ def counted(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(tokens), return_counts=True)
 
 
-def signed(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The signature of each bag (shingles, counts): a row of SLOTS times."""
+def signed(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
+    """The signature of each bag (shingles, counts): a row of times. Those of other lengths are independent."""
     sizes = [len(s) for s, _ in bags]
     doc = np.repeat(np.arange(len(bags)), sizes)
     key, count = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
@@ -82,8 +82,8 @@ def signed(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     low = np.where(level > 0, np.int64(1) << np.maximum(level - 1, 0), 0)
     width = np.maximum(low, 1).astype(np.float64)
     inside = np.minimum(count[row], low + width.astype(np.int64)) - low
-    doc, state = doc[row], scrambled(key[row] + GOLD * (level + 1).astype(np.uint64))
-    time, out = np.zeros(len(row)), np.full(len(bags) * SLOTS, np.inf)
+    doc, state = doc[row], scrambled(scrambled(key[row] + np.uint64(slots)) + GOLD * (level + 1).astype(np.uint64))
+    time, out = np.zeros(len(row)), np.full(len(bags) * slots, np.inf)
     whole = inside == width
     while len(doc):
         state = state + GOLD
@@ -91,18 +91,18 @@ def signed(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         time = time - np.log(((drawn >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)) / width
         unit = (where & np.uint64(0xFFFFFFFF)).astype(np.float64) * width / float(1 << 32)
         use = whole | (unit < inside)
-        slot = ((where >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(out, (doc * SLOTS + slot)[use], time[use])
-        latest = out.reshape(-1, SLOTS).max(axis=1)
+        slot = ((where >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out, (doc * slots + slot)[use], time[use])
+        latest = out.reshape(-1, slots).max(axis=1)
         going = time < latest[doc]
         doc, state, time, width, inside, whole = (x[going] for x in (doc, state, time, width, inside, whole))
-    return out.reshape(-1, SLOTS)
+    return out.reshape(-1, slots)
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, sketch, bands) of each row; all but doc_id NULL for texts without tokens.
+    """(doc_id, digest, bands) of each row; all but doc_id NULL for texts without tokens.
 
-    ``digest`` identifies the token sequence, ``sketch`` has a byte per slot.
+    ``digest`` identifies the token sequence.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +110,11 @@ def sign(docs: DataFrame) -> DataFrame:
 
         def flush(ids: list, digests: list, bags: list) -> pa.RecordBatch:
             times = signed(bags).view(np.uint64)
-            sketch = (scrambled(times) & np.uint64(255)).astype(np.uint8)
             band = np.zeros((len(bags), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for k in range(ROWS):
                 band = scrambled(band + GOLD) + times[:, k::ROWS][:, :BANDS]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(scrambled(band).view(np.int64).ravel()))
-            columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), lists]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sketch", "bands"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "bands"])
 
         for batch in batches:
             ids, digests, bags, size = [], [], [], 0
@@ -138,12 +136,39 @@ def sign(docs: DataFrame) -> DataFrame:
             if bags:
                 yield flush(ids, digests, bags)
             if without:
-                empty = [pa.nulls(len(without), t) for t in (pa.binary(), pa.binary(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(without, pa.int64()), *empty], ["doc_id", "digest", "sketch", "bands"])
+                empty = [pa.nulls(len(without), t) for t in (pa.binary(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(without, pa.int64()), *empty], ["doc_id", "digest", "bands"])
 
     return docs.select("doc_id", token_hashes(F.col("text")).alias("tokens")).mapInArrow(run, SIGNATURES)
 
 
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """(doc_id, sketch): a byte per slot of a signature of FINE_SLOTS; texts without tokens have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(ids: list, bags: list) -> pa.RecordBatch:
+            low = (scrambled(signed(bags, FINE_SLOTS).view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "sketch"])
+
+        for batch in batches:
+            ids, bags, size = [], [], 0
+            values = batch.column(1).values.to_numpy(zero_copy_only=False)
+            ends = batch.column(1).offsets.to_numpy()
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                tokens = values[ends[k] : ends[k + 1]]
+                if len(tokens):
+                    ids.append(doc_id)
+                    bags.append(counted(tokens))
+                    size += len(tokens)
+                if size >= SIGNED:
+                    yield flush(ids, bags)
+                    ids, bags, size = [], [], 0
+            if bags:
+                yield flush(ids, bags)
+
+    return texts.select("doc_id", token_hashes(F.col("text")).alias("tokens")).mapInArrow(run, "doc_id long, sketch binary")
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two bags (sorted shingles, counts)."""
     at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
@@ -188,17 +213,19 @@ def _rest_pairs(rest: DataFrame, sketches: DataFrame, threshold: float) -> DataF
     """Pairs worth verifying in buckets that span components.
 
     ``rest``: (bucket, doc_id, root, inner); members that are not ``inner`` meet all members of
-    another component, a block of signatures against a block at a time.
+    another component, a block of signatures against a block at a time. A pair is emitted in the
+    least bucket that it shares.
     """
-    least = (threshold - MARGIN) * SLOTS
+    least = (threshold - MARGIN) * FINE_SLOTS
     blocks = rest.groupBy("bucket").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"), F.ceil(F.sum((~F.col("inner")).cast("int")) / BLOCK).cast("int").alias("outer")
     )
-    rows = rest.join(blocks, "bucket").join(sketches, "doc_id")
+    shared = rest.groupBy("doc_id").agg(F.collect_set("bucket").alias("shared"))  # at most BANDS each
+    rows = rest.join(blocks, "bucket").join(sketches, "doc_id").join(shared, "doc_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n).cast("long")).cast("int")
-    data = rows.select("bucket", own("all").alias("at"), every("outer").alias("by"), F.lit(0).alias("role"), "doc_id", "root", "inner", "sketch")
-    asked = rows.where("not inner").select("bucket", every("all").alias("at"), own("outer").alias("by"), F.lit(1).alias("role"), "doc_id", "root", "inner", "sketch")
+    data = rows.select("bucket", own("all").alias("at"), every("outer").alias("by"), F.lit(0).alias("role"), "doc_id", "root", "inner", "sketch", "shared")
+    asked = rows.where("not inner").select("bucket", every("all").alias("at"), own("outer").alias("by"), F.lit(1).alias("role"), "doc_id", "root", "inner", "sketch", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, ([], [])
@@ -208,20 +235,20 @@ def _rest_pairs(rest: DataFrame, sketches: DataFrame, threshold: float) -> DataF
                 return []
             ids, roots = (np.array([x[k] for x in held[0]]) for k in (0, 1))
             inner = np.array([x[2] for x in held[0]])
-            table = np.frombuffer(b"".join(x[3] for x in held[0]), np.uint8).reshape(-1, SLOTS)
+            table = np.frombuffer(b"".join(x[3] for x in held[0]), np.uint8).reshape(-1, FINE_SLOTS)
             found = []
-            for doc_id, root, _, sketch in held[1]:
-                other = roots != root
-                other &= inner | (ids > doc_id)
-                if other.any():
+            for doc_id, root, _, sketch, shared in held[1]:
+                other = np.flatnonzero((roots != root) & (inner | (ids > doc_id)))
+                if len(other):
                     alike = (table[other] == np.frombuffer(sketch, np.uint8)).sum(axis=1)
-                    found += [(int(x), doc_id) for x in ids[other][alike >= least]]
+                    own = set(shared)
+                    found += [(int(ids[k]), doc_id) for k in other[alike >= least] if min(own.intersection(held[0][k][4])) == unit[0]]
             return found
 
         for batch in batches:
             out = []
             keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            fields = zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True)
+            fields = zip(*(batch.column(k).to_pylist() for k in range(3, 9)), strict=True)
             for key, (role, *member) in zip(keys, fields, strict=True):
                 if key != unit:
                     out += compared()
@@ -238,9 +265,9 @@ def _rest_pairs(rest: DataFrame, sketches: DataFrame, threshold: float) -> DataF
 
 
 def _spanning(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, doc_id, popularity, root) of the buckets whose members have several roots."""
+    """(bucket, doc_id, root) of the buckets whose members have several roots."""
     rooted = buckets.join(roots.select(F.col("node").alias("_node"), "root"), F.col("doc_id") == F.col("_node"), "left")
-    rooted = rooted.select("bucket", "doc_id", "popularity", F.coalesce("root", "doc_id").alias("root"))
+    rooted = rooted.select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     return stored(rooted.join(several, "bucket"), "spanning")
 
@@ -254,24 +281,14 @@ def near_links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESH
     buckets = stored(shared.join(central, "doc_id").select("bucket", "doc_id", "popularity"), "buckets")
     candidates = buckets.select("doc_id").distinct()
     texts = stored(docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = stored(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
-    spanning = buckets.withColumn("root", F.col("doc_id"))
-    tried = roots = None
-    for _ in range(STARS):
-        # the most central member of each bucket; in later rounds, of those outside the first ones' components
-        place = F.struct("popularity", -F.col("doc_id"))
-        pool = spanning if tried is None else spanning.join(tried, ["bucket", "root"], "left_anti")
-        leader = pool.groupBy("bucket").agg((-F.max(place)["col2"]).alias("a"), F.max_by("root", place).alias("a_root"))
-        star = spanning.join(leader, "bucket").where((F.col("doc_id") != F.col("a")) & (F.col("root") != F.col("a_root")))
-        pairs = stored(star.select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-        links = stored(links.unionByName(verified(pairs, texts, threshold)), "links")
-        roots = components(links)
-        before, spanning = leader.select("bucket", F.col("a").alias("_a")), _spanning(buckets, roots)
-        tops = spanning.join(before, "bucket").where(F.col("doc_id") == F.col("_a")).select("bucket", "root").distinct()
-        tried = stored(tops if tried is None else tried.unionByName(tops).distinct(), "tried")
+    place = F.struct("popularity", -F.col("doc_id"))
+    leader = buckets.groupBy("bucket").agg((-F.max(place)["col2"]).alias("a"))
+    star = buckets.join(leader, "bucket").where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
+    links = stored(verified(stored(star, "pairs"), texts, threshold), "links")
+    spanning = _spanning(buckets, components(links))
     largest = spanning.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
     rest = stored(spanning.join(largest, "bucket").select("bucket", "doc_id", "root", (F.col("root") == F.col("top")).alias("inner")), "rest")
-    sketches = signatures.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    sketches = stored(fine_sketches(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")), "sketches")
     pairs = stored(_rest_pairs(rest, sketches, threshold), "pairs")
     return components(stored(links.unionByName(verified(pairs, texts, threshold)), "links"))
 
