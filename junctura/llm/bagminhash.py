@@ -37,6 +37,8 @@ FINE_SLOTS, MARGIN = 512, 0.071
 #: Shingles signed at once in a task.
 SIGNED = 400_000
 MEMBERS = 64
+#: Ids or pairs up to this many (16 to 24 bytes each) are sent to the texts; more meet them in a shuffle.
+SENT = 2_000_000
 BLOCK = 2048
 SIGNATURES = "doc_id long, digest binary, bands array<long>"
 GOLD, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -176,17 +178,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common) / float(a[1].sum() + b[1].sum() - common)
 
 
+def _sent(rows: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(rows) if size <= SENT else rows
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The distinct ``pairs`` (a, b) whose documents in ``texts`` are at least as similar as that.
 
     A document compared with many (``a``) goes along once per MEMBERS of them.
     """
+    size = pairs.count()
     many = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")), "leaders")
     parted = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), "b")
     body = texts.select(F.col("doc_id").alias("b"), "text")
-    members = parted.join(body, "b").select("a", "part", "b", F.lit(1).alias("role"), "text")
+    members = body.join(_sent(parted, size), "b").select("a", "part", "b", F.lit(1).alias("role"), "text")
     leaders = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    leaders = leaders.join(body.withColumnRenamed("b", "a"), "a").select("a", "part", F.col("a").alias("b"), F.lit(0).alias("role"), "text")
+    leaders = body.withColumnRenamed("b", "a").join(_sent(leaders, size), "a").select("a", "part", F.col("a").alias("b"), F.lit(0).alias("role"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -279,8 +286,8 @@ def near_links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESH
     shared = stored(bands.join(shared, "bucket"), "shared")
     central = shared.groupBy("doc_id").agg(F.sum("n").alias("popularity"))
     buckets = stored(shared.join(central, "doc_id").select("bucket", "doc_id", "popularity"), "buckets")
-    candidates = buckets.select("doc_id").distinct()
-    texts = stored(docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    candidates = stored(buckets.select("doc_id").distinct(), "candidates")
+    texts = stored(docs.select("doc_id", "text").join(_sent(candidates, candidates.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     place = F.struct("popularity", -F.col("doc_id"))
     leader = buckets.groupBy("bucket").agg((-F.max(place)["col2"]).alias("a"))
     star = buckets.join(leader, "bucket").where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
@@ -315,4 +322,4 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def near_filter(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its class, and those without a doc_id."""
     others = stored(near_classes(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_n_id")), "others")
-    return docs.join(others, F.col("doc_id") == F.col("_n_id"), "left_anti").select(*docs.columns)
+    return docs.join(_sent(others, others.count()), F.col("doc_id") == F.col("_n_id"), "left_anti").select(*docs.columns)
