@@ -10,6 +10,9 @@ the documents of a digest under which texts differ are grouped anew by their tex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +20,27 @@ from pyspark.sql import functions as F
 from junctura.llm.scratch import new_path, stored
 from junctura.llm.words import ascii_lower
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: RocksDB would set aside 4 MB a partition for its logs, however small the state.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Copies compared with one copy of the kept text; larger groups get several copies of it.
 PER_KEEPER = 1000
 
 
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -47,28 +65,20 @@ def arrivals(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def keep_state(spark: SparkSession, folder: str, schema: str, checkpoint: str, per_batch: int) -> None:
     """Stream the arrival files of ``folder`` that the state in ``checkpoint`` has not seen into it."""
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKSDB)
-    try:
+    with _state_settings(spark):
         stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", per_batch).parquet(folder)
         entry = F.struct("doc_id", "locator")
         state = stream.groupBy("digest").agg(F.max(entry).alias("keeper"), F.sum("rows").alias("size"), F.count(F.lit(1)).alias("documents"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        spark.conf.set(STORE, before)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(digest, keep_id, keep_locator, group_size, documents) as the state has them."""
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKSDB)
-    try:
+    with _state_settings(spark):
         state = spark.read.format("statestore").load(checkpoint)
         keeper, size, documents = (F.col(f"value.`{x.name}`") for x in state.schema["value"].dataType.fields)
         return stored(state.select("key.digest", keeper["doc_id"].alias("keep_id"), keeper["locator"].alias("keep_locator"), size.alias("group_size"), documents.alias("documents")), "state")
-    finally:
-        spark.conf.set(STORE, before)
 
 
 def _compared(docs: DataFrame, verdicts: DataFrame, digest) -> DataFrame:
