@@ -51,11 +51,22 @@ INVISIBLE = "​‌‍⁠﻿­"
 _FOLD = str.maketrans(LOOKALIKES | dict.fromkeys(INVISIBLE, ""))
 _SUBSTITUTE = str.maketrans(SUBSTITUTES)
 _HIDDEN = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "]")
-#: A run of digits or signs, and the letter after it if there is one: then they stand for letters.
-_DISGUISED = re.compile(r"([0-9@$!|+]+)([^\W\d_]?)")
+#: A run of digits or signs, and the rest of the word if a letter follows: then they stand for letters.
+#: The last group has digits at the word's end; they do too if an earlier run is between letters.
+_DISGUISED = re.compile(r"[0-9@$!|+]+(?:[^\W\d_]+((?:[0-9@$!|+]+[^\W\d_]+)*)([0-9]*))?")
 _BETWEEN = re.compile(r"[\W_]+")
 
 
+def _undone(m: re.Match) -> str:
+    if m[2] is None:
+        return m[0]
+    if m[2] and not m[1]:
+        before = m.string[m.start() - 1 : m.start()]
+        if not before.isalnum() or before.isdecimal():
+            return m[0][: -len(m[2])].translate(_SUBSTITUTE) + m[2]
+    return m[0].translate(_SUBSTITUTE)
+
+
 def folded(text: str) -> str:
     """The words of ``text`` in folded form, one space before and after each."""
     if not text.isascii():
@@ -63,7 +74,7 @@ def folded(text: str) -> str:
     text = text.lower()
     if _HIDDEN.search(text):
         text = text.translate(_FOLD)
-    text = _DISGUISED.sub(lambda m: m[0].translate(_SUBSTITUTE) if m[2] else m[0], text)
+    text = _DISGUISED.sub(_undone, text)
     return f" {_BETWEEN.sub(' ', text).strip()} "
 
 

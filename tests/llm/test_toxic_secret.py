@@ -71,6 +71,11 @@ def test_folding():
     assert tox.folded("") == "  " and math.isclose(tox.curve_score((0.0, 1.0, 1.0), (0.0, 0.0)), 0.5)
 
 
+def test_folding_of_digits_at_the_end():
+    assert tox.folded("w0rthl355 l0s3r5 5tup1d5 l0s3r5! l0s3r!!") == " worthless losers stupids losers loser "
+    assert tox.folded("covid19 h2o2 x1 $tup5 4x4 2015") == " covid19 h2o2 x1 stup5 ax4 2015 "
+
+
 def test_no_labels(spark, documents):
     out = tox.toxicity(documents([(1, "a", "s")]), spark.createDataFrame([], LABEL)).collect()
     assert [(r.doc_id, r.predicted) for r in out] == [(1, 0)]
