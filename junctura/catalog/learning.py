@@ -131,7 +131,7 @@ def verified(spark, sf):
 
 
 def two_stage(spark, sf):
-    positions, found = two_stage_regression(binary_table(spark, sf), repeats=2, top=20)
+    positions, found = two_stage_regression(binary_table(spark, sf), top=20)
     kept = F.lit(len(positions)).alias("features")
     return _round(found.scores().select(kept, "*"), "accuracy", *RATES)
 
@@ -164,14 +164,14 @@ def _dictionary(spark, sf):
 def grid(spark, sf):
     vectors = t.vectors(spark, sf).select("row_id", "vec")
     scores = experiment_grid(
-        vectors, t.subjects(spark, sf), _dictionary(spark, sf), "FILENAME", (2, 8), (4,), ("NB", "DT"), repeats=2, source="embeddings"
+        vectors, t.subjects(spark, sf), _dictionary(spark, sf), "FILENAME", (2, 8), (4,), ("NB", "DT"), source="embeddings"
     )
     return _round(scores, "score")
 
 
 def mean_classifier(spark, sf):
     found = classify_mean_vectors(
-        t.vectors(spark, sf), t.subjects(spark, sf), _dictionary(spark, sf), "DT", "FILENAME", repeats=3
+        t.vectors(spark, sf), t.subjects(spark, sf), _dictionary(spark, sf), "DT", "FILENAME"
     )
     return _round(found.scores(), "accuracy", *RATES)
 

@@ -180,6 +180,35 @@ def test_repeated_evaluation(two):
     assert E.run_classifier(train, "NB", 18).predictions.count() == 18 * 12
 
 
+def test_regression_on_splits_is_sparks(two, monkeypatch):
+    rows = lambda found: {(r.split, r.row_id): (r.actual, r.predicted) for r in found.collect()}
+    train, verify = two.where("row_id < 60"), two.where("row_id >= 60")
+    grouped = E.run_classifier(train, "RLR", 4, verify=verify)
+    monkeypatch.setattr(E, "SPLIT_BYTES", 0)
+    single = E.run_classifier(train, "RLR", 4, verify=verify)
+    assert rows(grouped.predictions) == rows(single.predictions) and rows(grouped.verification) == rows(single.verification)
+    coefs = [{(r.split, r["class"], r.position): r.coef for r in found.coefficients.collect()} for found in (grouped, single)]
+    assert coefs[0].keys() == coefs[1].keys() and all(abs(coefs[0][k] - coefs[1][k]) < 1e-3 for k in coefs[0])
+
+
+def test_a_thousand_splits_without_a_run_for_each(two, monkeypatch):
+    monkeypatch.setattr(E, "make_classifier", None)
+    _, found = E.two_stage_regression(two, top=2)
+    assert found.predictions.select("split").distinct().count() == 1000 and found.predictions.count() == 16_000
+
+
+def test_trees_on_splits_are_sparks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 6)), 2)
+    x[:, 3], x[:, 4] = 1.0, rng.integers(0, 3, 150)
+    y = (x[:, 0] + rng.normal(size=150) > 0).astype(int) + (x[:, 4] > 1)
+    table = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))], "row_id long, features array<double>, class int")
+    rows = lambda found: {(r.split, r.row_id): (r.actual, r.predicted) for r in found.predictions.collect()}
+    grouped = [rows(E.run_classifier(t, "DT", 3)) for t in (table, table.where("row_id < 20"))]
+    monkeypatch.setattr(E, "SPLIT_BYTES", 0)
+    assert grouped == [rows(E.run_classifier(t, "DT", 3)) for t in (table, table.where("row_id < 20"))]
+
+
 def test_two_stage(two):
     positions, found = E.two_stage_regression(two, repeats=2, top=2)
     assert sorted(positions) == [0, 1]  # the two informative ones
