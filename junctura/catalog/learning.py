@@ -147,7 +147,10 @@ def by_dimension(spark, sf):
 
 
 def leading(spark, sf):
-    return _round(leading_feature_sweep(binary_table(spark, sf), (2, 16), ("LR", "DT")), "accuracy")
+    """Accuracy with the first n positions, for every n from 2 to the vectors' width."""
+    table = cut_lineage(binary_table(spark, sf))
+    width = table.agg(F.max(F.size("features"))).first()[0] or 0
+    return _round(leading_feature_sweep(table, range(2, width + 1), ("LR", "DT")), "accuracy")
 
 
 def by_fold(spark, sf):
@@ -164,7 +167,7 @@ def _dictionary(spark, sf):
 def grid(spark, sf):
     vectors = t.vectors(spark, sf).select("row_id", "vec")
     scores = experiment_grid(
-        vectors, t.subjects(spark, sf), _dictionary(spark, sf), "FILENAME", (2, 8), (4,), ("NB", "DT"), source="embeddings"
+        vectors, t.subjects(spark, sf), _dictionary(spark, sf), "FILENAME", source="embeddings"
     )
     return _round(scores, "score")
 

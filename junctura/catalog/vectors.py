@@ -164,8 +164,8 @@ def many_hits(spark, sf):
 
 
 def fold_features(spark, sf):
-    """Features learned on the training subjects of each of two folds, counted for all subjects."""
-    tables = proximity_folds(t.vectors(spark, sf), t.subjects(spark, sf), "HC", folds=2, **SETTINGS)
+    """Features learned on the training subjects of each of five folds, counted for all subjects."""
+    tables = proximity_folds(t.vectors(spark, sf), t.subjects(spark, sf), "HC", folds=5, **SETTINGS)
     return tables.groupBy("fold", "role", "FILENAME").agg(
         F.sum("n").alias("hits"), F.round(F.sum("freq"), 6).alias("total")
     )

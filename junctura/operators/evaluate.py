@@ -438,17 +438,52 @@ def accuracy_by_dimension(
     return out
 
 
+def _leading_on_splits(
+    table: DataFrame, rows: tuple[pd.Index, np.ndarray, np.ndarray], sizes: Sequence[int], models: Sequence[str], repeats: int, seed: int
+) -> DataFrame:
+    """(features, model, accuracy) of regressions of two classes and trees, a group of tasks' rows per split and size."""
+    keys, x, y = rows
+    models = list(models)
+    splits = cut_lineage(repeated_splits(table.select("row_id"), repeats, seed=seed))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        at, test = keys.get_indexer(part["row_id"]), (part["role"] == "test").to_numpy()
+        train, asked = np.sort(at[~test]), at[test]
+        size = int(part["features"].iloc[0])
+        seen, other = x[train, :size], x[asked, :size]
+        found = []
+        for name in models:
+            if canonical_name(name) == "DT":
+                said = grown_tree(seen, y[train], 5, other)
+            else:
+                beta = newton_logistic(seen, y[train].astype(float), 0.9 if canonical_name(name) == "RLR" else 1.0)
+                said = (other @ beta[1:] + beta[0] > 0).astype(int)
+            found.append(pd.DataFrame({"features": size, "model": name, "actual": y[asked], "predicted": said}))
+        return pd.concat(found)
+
+    each = splits.withColumn("features", F.explode(F.lit(list(sizes)).cast("array<int>")))
+    said = each.select("split", "features", "row_id", "role").groupBy("split", "features").applyInPandas(
+        fit, "features int, model string, actual int, predicted int"
+    )
+    return cut_lineage(accuracy(said, ["features", "model"])).select("features", "model", "accuracy")
+
+
 def leading_feature_sweep(
     table: DataFrame, sizes: Iterable[int], models: Sequence[str] = ("LR", "DT"), repeats: int = 1, seed: int = 0
 ) -> DataFrame:
     """(features, model, accuracy) using the first 1..n features for each n."""
-    out = None
+    sizes, grouped = list(sizes), [m for m in models if canonical_name(m) in ("LR", "RLR", "DT")]
+    rows = _small_table(table) if grouped else None
+    pooled = _Pool()
+    if rows is None or rows[2].max() != 1 or len(rows[0]) > UNSAMPLED:
+        grouped = []
+    else:
+        pooled.add(_leading_on_splits(table, rows, sizes, grouped, repeats, seed))
     for size in sizes:
-        for name in models:
+        for name in (m for m in models if m not in grouped):
             said = run_classifier(leading_features(table, size), name, repeats, seed=seed).predictions
-            part = accuracy(said).select(F.lit(size).alias("features"), F.lit(name).alias("model"), "accuracy")
-            out = part if out is None else out.unionByName(part)
-    return out
+            pooled.add(accuracy(said).select(F.lit(size).alias("features"), F.lit(name).alias("model"), "accuracy"))
+    return pooled.table()
 
 
 def fold_evaluation(table: DataFrame, folds: DataFrame, subject: str, model: str, n_folds: int, **parameters) -> DataFrame:

@@ -50,3 +50,9 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     result = entry_module.entry(spark)
     assert result.columns == ["FILENAME", "feature", "n", "freq"] and result.count() > 0
+
+
+def test_learning_settings_are_whole(spark):
+    sizes = {r.features for r in QUERIES["leading_features"](spark, FOLDER).select("features").distinct().collect()}
+    folds = {r.fold for r in QUERIES["fold_features"](spark, FOLDER).select("fold").distinct().collect()}
+    assert sizes == set(range(2, 65)) and folds == set(range(5))

@@ -228,3 +228,10 @@ def test_comparison_and_folds(two):
 def test_leading_features(two):
     got = {(r.features, r.model): r.accuracy for r in E.leading_feature_sweep(two, (1, 4), ("NB",)).collect()}
     assert set(got) == {(1, "NB"), (4, "NB")}
+
+
+def test_leading_features_by_groups(two, monkeypatch):
+    rows = lambda: {(r.features, r.model): round(r.accuracy, 9) for r in E.leading_feature_sweep(two, (2, 4), ("LR", "DT", "NB")).collect()}
+    grouped = rows()
+    monkeypatch.setattr(E, "SPLIT_BYTES", 0)
+    assert len(grouped) == 6 and grouped == rows()
