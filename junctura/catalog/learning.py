@@ -181,7 +181,7 @@ def mean_classifier(spark, sf):
 
 def _model(spark, sf):
     corpus = build_corpus(t.proteins(spark, sf), 3, text="JUNC_AA")
-    return train_embedding(corpus, size=100, window=25, min_count=2, iterations=1)
+    return train_embedding(corpus, size=100, window=25, min_count=2)
 
 
 def word2vec(spark, sf):

@@ -235,3 +235,14 @@ def test_leading_features_by_groups(two, monkeypatch):
     grouped = rows()
     monkeypatch.setattr(E, "SPLIT_BYTES", 0)
     assert len(grouped) == 6 and grouped == rows()
+
+
+def test_registered_embedding_is_trained_whole(monkeypatch):
+    from junctura.catalog import learning
+
+    seen = {}
+    monkeypatch.setattr(learning, "build_corpus", lambda *a, **k: None)
+    monkeypatch.setattr(learning.t, "proteins", lambda *a: None)
+    monkeypatch.setattr(learning, "train_embedding", lambda corpus, **k: seen.update(k))
+    learning._model(None, "")
+    assert seen.get("iterations", 5) == 5
