@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from junctura.llm.bagminhash import near_classes
 from junctura.llm.chat import chat
 from junctura.llm.exact import exact
+from junctura.llm.lattice import near_vectors
 from junctura.llm.lines import line_dedup
 from junctura.llm.mixing import mix
 from junctura.llm.packing import packing
 from junctura.llm.quality import quality
+from junctura.llm.repair import repair
+from junctura.llm.resampling import resample
 from junctura.llm.secret_scan import secret_scan
 from junctura.llm.toxicity import toxicity
 from junctura.llm.warc import archive_round_trip
@@ -141,6 +144,100 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_lattice_links(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
+OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
+
+
+def op12_resample(spark: SparkSession, sf: str) -> DataFrame:
+    return resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+#: crc32 in SQL: the table of the polynomial, then a text's bytes one after the other.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"""
+
+
+def _crc(text: str) -> str:
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT)"
+    everything = f"list_prepend(4294967295, list_transform(range(octet_length(encode({text}))), lambda i: {byte}))"
+    return f"xor(list_reduce({everything}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP12 = f"""
+WITH crc AS ({_CRC_TABLE}),
+w AS (SELECT doc_id, 0 AS aim, unnest(regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+  UNION ALL SELECT NULL, 1, unnest(regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+h AS (SELECT word, {_crc('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), crc),
+f AS (SELECT doc_id, aim, bucket, count(*) AS n FROM w JOIN h USING (word) GROUP BY ALL),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (aim = 0), 0) AS s, coalesce(sum(n) FILTER (aim = 1), 0) AS t FROM f GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE)) AS BIGINT) AS gain FROM c, a),
+d AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE aim = 0 GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score
+  FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM e LEFT JOIN r USING (doc_id)
+"""
+
+
+def op13_repair_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return repair(table(spark, sf, "conversations"))
+
+
+#: Up to two inserts in front of an edit: (state before, state after, letters, inserted rows, price).
+_INSERTS = """(VALUES (0, 0, '', '', 0), (1, 1, '', '', 0), (2, 2, '', '', 0), (3, 3, '', '', 0),
+  (0, 2, 'I', chr(10) || 'user:', 2), (1, 2, 'I', chr(10) || 'user:', 2), (3, 2, 'I', chr(10) || 'user:', 2), (2, 3, 'I', chr(10) || 'assistant:', 2),
+  (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 4), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 4),
+  (3, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 4), (2, 2, 'II', chr(10) || 'assistant:' || chr(10) || 'user:', 4)) ins(before, after, letters, rows_in, price)"""
+#: Edits of a row: (state before, state after, letter, initial of a kept row, new role, price).
+_EDITS = """(VALUES (0, 0, 'D', '', '', 3), (1, 1, 'D', '', '', 3), (2, 2, 'D', '', '', 3), (3, 3, 'D', '', '', 3),
+  (0, 2, 'R', '', 'user', 2), (1, 2, 'R', '', 'user', 2), (3, 2, 'R', '', 'user', 2), (2, 3, 'R', '', 'assistant', 2),
+  (0, 1, 'K', 's', '', 0), (0, 2, 'K', 'u', '', 0), (1, 2, 'K', 'u', '', 0), (3, 2, 'K', 'u', '', 0), (2, 3, 'K', 'a', '', 0)) ed(here, there, letter, kept, new_role, fee)"""
+OP13 = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT k, {_crc('k')} % 20 AS kind FROM (SELECT DISTINCT k FROM given), crc),
+hurt AS (SELECT conv_id, turn, sha256(role || chr(10) || text) AS ord, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM given JOIN kinds USING (k) WHERE kind <> 0),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, ord, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, ord, copy) AS again, substr(role, 1, 1) AS initial,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, ord, copy) || substr(role, 1, 1) AS pair FROM hurt),
+rows_ AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, {W}) THEN 3 WHEN again > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 1 ELSE 0 END AS fault FROM marked),
+best(conv_id, i, state, key, said) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, '000000000', '' FROM rows_
+  UNION ALL
+  SELECT conv_id, any_value(i), there, min(k), arg_min(said, k) FROM (
+    SELECT best.conv_id, rows_.i AS i, there, said || rows_in || CASE letter WHEN 'K' THEN chr(10) || role || ':' || text WHEN 'R' THEN chr(10) || new_role || ':' || text ELSE '' END AS said,
+      printf('%09d', CAST(substr(key, 1, 9) AS INT) + price + fee + CASE WHEN fault = 1 AND letter <> 'D' THEN 1 ELSE 0 END) || substr(key, 10) || letters || letter AS k
+    FROM best JOIN rows_ ON best.conv_id IS NOT DISTINCT FROM rows_.conv_id AND rows_.i = best.i + 1 JOIN {_INSERTS} ON state = before JOIN {_EDITS} ON after = here
+    WHERE letter = 'D' OR (fault < 2 AND (letter = 'R' OR kept = initial))) GROUP BY conv_id, there),
+ends AS (SELECT conv_id, max(i) AS last FROM rows_ GROUP BY conv_id),
+done AS (SELECT best.conv_id, min(printf('%09d', CAST(substr(key, 1, 9) AS INT) + price) || substr(key, 10) || letters) AS k,
+    arg_min(said || rows_in, printf('%09d', CAST(substr(key, 1, 9) AS INT) + price) || substr(key, 10) || letters) AS said
+  FROM best JOIN ends ON best.conv_id IS NOT DISTINCT FROM ends.conv_id AND i = last JOIN {_INSERTS} ON state = before WHERE after IN (0, 3) GROUP BY best.conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(substr(k, 1, 9), '0') AS BIGINT) AS cost, coalesce(substr(k, 10), '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN done ON c.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, None),
@@ -153,4 +250,7 @@ QUERIES = {
     "op8_pack_tokens": (op8_pack_tokens, None),
     "op9_bagminhash_classes": (op9_bagminhash_classes, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_lattice_links": (op11_lattice_links, OP11),
+    "op12_resample": (op12_resample, OP12),
+    "op13_repair_turns": (op13_repair_turns, OP13),
 }
