@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from junctura.catalog import clusters, learning, reads, sampling, vectors
+from junctura.catalog import clusters, files, learning, reads, sampling, vectors
 
-MODULES = (reads, sampling, vectors, clusters, learning)
+MODULES = (reads, sampling, vectors, clusters, learning, files)
 
 
 def all_queries() -> dict:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from junctura.catalog import tables as t
+from junctura.functions.vectors import euclidean
 from junctura.operators.cluster import (
+    cluster_cost,
     cluster_counts,
     cluster_feature_table,
     diversity_share,
@@ -27,6 +31,7 @@ from junctura.session import cut_lineage
 from junctura.sources.writers import wide_feature_table
 
 PROPERTIES = ("GRAVY", "BULK")
+LABELS = 10  # labels of the embeddings: 0 to 9
 
 
 def _round(df, *names):
@@ -71,6 +76,33 @@ def two_level(spark, sf):
     return rows.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def leaf_rules(spark, sf):
+    """What must hold of two levels of k-means with ten starts, for every row.
+
+    Leaves lie within one parent, a row's own leaf has the nearest mean of the parent's leaves,
+    parents of at most ten rows are whole, and ten starts cost no more than the first of them.
+    """
+    rows = t.vectors(spark, sf).select("row_id", "vec")
+    tops = cut_lineage(recursive_kmeans(rows, 20, 1).withColumnRenamed("cluster", "parent"))
+    leaves = cut_lineage(recursive_kmeans(rows, 20, 2).join(tops.select("row_id", "parent"), "row_id"))
+    means = leaves.groupBy("parent", "cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("mean"))
+    parents = leaves.groupBy("cluster").agg(F.countDistinct("parent").alias("parents"))
+    kept = leaves.groupBy("parent").agg(F.count("*").alias("rows"), F.countDistinct("cluster").alias("leaves"))
+    far = euclidean(F.col("vec"), F.col("mean"))
+    near = leaves.join(means.withColumnRenamed("cluster", "_leaf"), "parent").groupBy("row_id").agg(
+        F.min(far).alias("least"), F.min(F.when(F.col("_leaf") == F.col("cluster"), far)).alias("own"), F.first("cluster").alias("cluster"), F.first("parent").alias("parent")
+    )
+    whole = cluster_cost(tops.withColumnRenamed("parent", "cluster"))
+    single = cluster_cost(recursive_kmeans(rows, 20, 1, starts=1))
+    return near.join(parents, "cluster").join(kept, "parent").select(
+        "row_id",
+        (F.col("parents") == 1).alias("in_one_parent"),
+        (F.col("own") <= F.col("least") + 1e-4).alias("nearest"),
+        ((F.col("rows") > 10) | (F.col("leaves") == 1)).alias("small_whole"),
+        F.lit(whole <= single * (1 + 1e-9)).alias("cheapest"),
+    )
+
+
 def leaf_spread(spark, sf):
     """Each row's cluster joined back to it: rows per (subject, leaf), as for a feature table."""
     rows = cut_lineage(recursive_kmeans(t.vectors(spark, sf).select("row_id", "vec"), 20, 2))
@@ -210,10 +242,11 @@ QUERIES = {
             *TABLE,
             "cells AS (SELECT s.subject, f.feature, coalesce(freq, 0.0) AS freq FROM (SELECT DISTINCT subject FROM freqs) s, "
             "(SELECT DISTINCT feature FROM freqs) f LEFT JOIN freqs ON freqs.subject = s.subject AND freqs.feature = f.feature)",
-            body="SELECT * FROM (PIVOT cells ON feature USING round(max(freq), 6) GROUP BY subject)",
+            body="SELECT subject, " + ", ".join(f"round(max(freq) FILTER (feature = {k}), 6) AS \"{k}\"" for k in range(LABELS)) + " FROM cells GROUP BY subject",
         ),
     ),
     "kmeans_two_level": (two_level, None),
+    "kmeans_rules": (leaf_rules, "SELECT vec_id AS row_id, true AS in_one_parent, true AS nearest, true AS small_whole, true AS cheapest FROM embeddings"),
     "kmeans_feature_table": (leaf_spread, None),
     "cluster_centers": (
         centers,

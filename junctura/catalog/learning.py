@@ -292,7 +292,7 @@ FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
     ),
     "score_pivot": (
         pivot,
-        "PIVOT (SELECT source, lang, n_chars FROM documents WHERE lang IS NOT NULL) ON lang USING round(avg(n_chars), 6) GROUP BY source",
+        "SELECT source, " + ", ".join(f"round(avg(n_chars) FILTER (lang = '{k}'), 6) AS {k}" for k in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source",
     ),
     "balanced_weights": (
         weights,

@@ -25,7 +25,10 @@ from junctura.operators.neighborhoods import (
 from junctura.operators.neighbors import (
     distance_diagnostics,
     knn_approximate,
+    knn_hashed,
+    knn_join,
     knn_self,
+    list_recall,
     nearest_center,
     neighbour_radius,
     radius_join,
@@ -91,6 +94,21 @@ def knn_all_cells(spark, sf):
     return _round(knn_approximate(t.vectors(spark, sf), t.K, cells=6, probes=6), "dist")
 
 
+def knn_recall(spark, sf):
+    """Hashed lists of the rows with an id divisible by 50 against all rows, held against exact lists.
+
+    Per asked row the exact list's radius, and whether all hashed lists together have at least
+    nine of ten exact neighbours.
+    """
+    rows = cut_lineage(t.vectors(spark, sf))
+    asked = rows.where("row_id % 50 = 0")
+    exact = cut_lineage(knn_join(asked, rows, t.K + 1).where(F.col("neighbor") != F.col("row_id")).withColumn("rank", F.col("rank") - 1))
+    counted = cut_lineage(list_recall(knn_hashed(rows, t.K, asked=F.col("row_id") % 50 == 0), exact))
+    reached = counted.agg((F.sum("hit") >= 0.9 * F.sum("wanted")).alias("recall_reached"))
+    radius = exact.where(F.col("rank") <= t.K).groupBy("row_id").agg(F.round(F.max("dist"), 6).alias("radius"), F.count("*").alias("listed"))
+    return radius.crossJoin(F.broadcast(reached))  # one row
+
+
 def knn_vote(spark, sf):
     """Labels of a quarter of the vectors by the majority of their 3 nearest others."""
     rows = t.vectors(spark, sf).select("row_id", F.col("vec").alias("features"), F.col("label").alias("class"))
@@ -301,6 +319,14 @@ QUERIES = {
         knn_all_cells,
         t.with_ctes(t.VECTORS, t.knn_sql(), body="SELECT row_id, rank, neighbor, round(dist, 6) AS dist FROM nn"),
     ),
+    "knn_recall": (
+        knn_recall,
+        t.with_ctes(
+            t.VECTORS,
+            t.knn_sql(),
+            body="SELECT row_id, round(max(dist), 6) AS radius, count(*) AS listed, true AS recall_reached FROM nn WHERE row_id % 50 = 0 AND rank > 0 GROUP BY row_id",
+        ),
+    ),
     "knn_vote": (
         knn_vote,
         t.with_ctes(

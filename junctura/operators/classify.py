@@ -191,26 +191,40 @@ class Discriminant:
 
     def fit(self, train: DataFrame) -> DiscriminantModel:
         classes, counts, means, scatter = class_moments(train)
-        d = means.shape[1]
-        priors = np.log(counts / counts.sum())
-        if self.pooled:
-            shared = scatter.sum(axis=0) / max(counts.sum() - len(classes), 1)
-            covariance = np.broadcast_to(shared, scatter.shape)
-        else:
-            covariance = scatter / np.maximum(counts - 1, 1)[:, None, None]
-        scale = np.trace(covariance, axis1=1, axis2=2) / d
-        covariance = covariance + (self.ridge * np.maximum(scale, 1e-300))[:, None, None] * np.eye(d)
-        logdet = np.array([np.linalg.slogdet(c)[1] for c in covariance])
-        # a class with fewer rows than features has no full covariance: use the pseudo-inverse
-        precision = np.array([np.linalg.pinv(c, hermitian=True) for c in covariance])
-        return DiscriminantModel(classes, priors - 0.5 * logdet, means, precision)
+        return DiscriminantModel(classes, *discriminant_rule(counts, scatter, self.pooled, self.ridge), means)
 
 
-def class_moments(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes, row counts, means and centred scatter matrices; rows are first shifted by the overall mean."""
+def discriminant_rule(counts: np.ndarray, scatter: np.ndarray, pooled: bool, ridge: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(constant, precision) of each class from its row count and centred scatter matrix."""
+    d = scatter.shape[1]
+    if pooled:
+        shared = scatter.sum(axis=0) / max(counts.sum() - len(counts), 1)
+        covariance = np.broadcast_to(shared, scatter.shape)
+    else:
+        covariance = scatter / np.maximum(counts - 1, 1)[:, None, None]
+    scale = np.trace(covariance, axis1=1, axis2=2) / d
+    covariance = covariance + (ridge * np.maximum(scale, 1e-300))[:, None, None] * np.eye(d)
+    logdet = np.array([np.linalg.slogdet(c)[1] for c in covariance])
+    # a class with fewer rows than features has no full covariance: use the pseudo-inverse
+    precision = np.array([np.linalg.pinv(c, hermitian=True) for c in covariance])
+    return np.log(counts / counts.sum()) - 0.5 * logdet, precision
+
+
+#: The driver holds a matrix of moments per class, of at most so many bytes together.
+MOMENT_BYTES = 512 * 1024 * 1024
+
+
+def total_moments(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, the overall mean, and per class [rows, sums, sums of outer products] of the rows less that mean.
+
+    More than MOMENT_BYTES of them raise ValueError.
+    """
     mean = train.agg(vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("m")).first()["m"]
     shift = np.array(mean)
     d = len(shift)
+    kinds = train.select("class").distinct().count()
+    if 8 * kinds * d * d > MOMENT_BYTES:
+        raise ValueError(f"{kinds} classes of {d} features: more than {MOMENT_BYTES} bytes of moments")
 
     def moments(batches):
         sums: dict[int, list] = {}
@@ -230,19 +244,25 @@ def class_moments(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         .orderBy("class")
         .collect()
     )
-    sums = np.array([r["sums"] for r in rows])
+    return np.array([r["class"] for r in rows]), shift, np.array([r["sums"] for r in rows])
+
+
+def class_moments(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, row counts, means and centred scatter matrices; rows are first shifted by the overall mean."""
+    classes, shift, sums = total_moments(train)
+    d = len(shift)
     counts, totals = sums[:, 0], sums[:, 1 : 1 + d]
     means = totals / counts[:, None]
-    scatter = sums[:, 1 + d :].reshape(len(rows), d, d) - counts[:, None, None] * means[:, :, None] * means[:, None, :]
-    return np.array([r["class"] for r in rows]), counts, means + shift, scatter
+    scatter = sums[:, 1 + d :].reshape(len(classes), d, d) - counts[:, None, None] * means[:, :, None] * means[:, None, :]
+    return classes, counts, means + shift, scatter
 
 
 @dataclass
 class DiscriminantModel:
     classes: np.ndarray
     constant: np.ndarray
-    means: np.ndarray
     precision: np.ndarray
+    means: np.ndarray
 
     def transform(self, df: DataFrame) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast((self.classes, self.constant, self.means, self.precision))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -12,18 +13,17 @@ from pyspark.sql import functions as F
 
 from junctura.functions.vectors import rough_squared_distances, stack
 from junctura.operators.neighborhoods import subject_frequencies
-from junctura.operators.ranking import first_shuffled
 from junctura.session import cut_lineage
 
 MIN_SPLIT = 10  # a cluster is split only if it has more rows than this
-MAX_CENTER_BYTES = 256 * 1024 * 1024  # most bytes of centres: clusters x dimensions x 8
+STARTS = 10  # runs from different first centres, of which the cheapest is kept
+MAX_CENTER_BYTES = 256 * 1024 * 1024  # most bytes of centres: clusters x starts x dimensions x 8
 
 
-def kmeans(vectors: DataFrame, n: int = 20, seed: int = 0, iterations: int = 300) -> DataFrame:
-    """One level: adds ``cluster``."""
-    rows = vectors.withColumn("_v", array_to_vector("vec"))
-    model = KMeans(k=n, seed=seed, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(rows)
-    return model.transform(rows).drop("_v")
+def kmeans(vectors: DataFrame, n: int = 20, seed: int = 0, iterations: int = 300, starts: int = STARTS) -> DataFrame:
+    """One level: adds ``cluster``, of ``starts`` runs the one of least cost."""
+    whole = vectors.withColumn("parent", F.lit(0))
+    return _split_all(whole, n, f"{seed}:0", iterations, 0, MAX_CENTER_BYTES, starts).drop("parent").withColumnRenamed("sub", "cluster")
 
 
 def recursive_kmeans(
@@ -34,18 +34,20 @@ def recursive_kmeans(
     iterations: int = 300,
     min_split: int = MIN_SPLIT,
     center_bytes: int = MAX_CENTER_BYTES,
+    starts: int = STARTS,
 ) -> DataFrame:
     """k-means, then k-means inside every cluster of more than ``min_split`` rows, and so on.
 
     Adds ``cluster``, a dense number over all leaves. A cluster too small to split stays
-    whole. All clusters of one level are refined together, until no centre moves or for
-    ``iterations`` rounds; more than ``center_bytes`` of centres raise ValueError.
+    whole. All clusters of one level and all ``starts`` are refined together, until no centre
+    moves or for ``iterations`` rounds; each cluster keeps the start of least cost. More than
+    ``center_bytes`` of centres raise ValueError.
     """
     if depth < 1:
         raise ValueError("depth must be at least 1")
-    rows = cut_lineage(kmeans(vectors, n, seed, iterations).withColumnRenamed("cluster", "parent"))
-    for level in range(1, depth):
-        split = _split_all(rows, n, f"{seed}:{level}", iterations, min_split, center_bytes)
+    rows = cut_lineage(vectors.withColumn("parent", F.lit(0)))
+    for level in range(depth):
+        split = _split_all(rows, n, f"{seed}:{level}", iterations, min_split if level else 0, center_bytes, starts)
         rows = cut_lineage(_renumber(split, ["parent", "sub"], "_next").drop("parent", "sub").withColumnRenamed("_next", "parent"))
     return rows.withColumnRenamed("parent", "cluster")
 
@@ -56,10 +58,63 @@ def _renumber(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return df.join(F.broadcast(ids), keys)
 
 
-def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: int, center_bytes: int) -> DataFrame:
-    """Lloyd's algorithm in every parent at once: adds ``sub``.
+def _draws(ids: np.ndarray, salt: str) -> np.ndarray:
+    """A fixed number in (0, 1) for each id and salt."""
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64(int.from_bytes(hashlib.md5(salt.encode(), usedforsecurity=False).digest()[:8], "little"))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53) + 2.0**-54
+
 
-    The centres (parents x n x dimensions numbers, fixed by the parameters) are held by
+def _seeded(large: DataFrame, split: list[int], n: int, seed: str, starts: int) -> dict[tuple[int, int], np.ndarray]:
+    """First centres per (parent, start), one more a pass: a row is drawn in proportion to its squared
+    distance from the centres so far. The row whose exponential time at that rate is over first is
+    the one drawn, so a pass is a minimum and tasks send one row per parent and start.
+    """
+    centers: dict[tuple[int, int], np.ndarray] = {(p, s): np.empty((0, 0)) for p in split for s in range(starts)}
+    for number in range(n):
+        shared = large.sparkSession.sparkContext.broadcast(centers)
+
+        def draw(batches, shared=shared, number=number):
+            best: dict[tuple[int, int], tuple] = {}
+            for batch in batches:
+                for parent, part in batch.groupby("parent"):
+                    x, ids = stack(part["vec"]), part["row_id"].to_numpy()
+                    for start in range(starts):
+                        known = shared.value[int(parent), start]
+                        if len(known) < number:  # no row was left to draw in an earlier pass
+                            continue
+                        rate = pair_least(x, known) if number else np.ones(len(x))
+                        time = np.full(len(x), np.inf)
+                        np.divide(-np.log(_draws(ids, f"{seed}:{start}:{number}")), rate, out=time, where=rate > 0)
+                        at = np.lexsort((ids, time))[0]
+                        if np.isfinite(time[at]):
+                            found = (float(time[at]), int(ids[at]), x[at])
+                            key = (int(parent), start)
+                            best[key] = min(best.get(key, found), found, key=lambda f: f[:2])
+            if best:
+                yield pd.DataFrame([(p, s, *f) for (p, s), f in best.items()], columns=["parent", "start", "time", "id", "vec"])
+
+        found = large.select("parent", "row_id", "vec").mapInPandas(draw, "parent int, start int, time double, id bigint, vec array<double>")
+        first = found.groupBy("parent", "start").agg(F.min_by("vec", F.struct("time", "id")).alias("vec"))
+        centers = dict(centers)
+        for row in first.collect():  # one row per parent and start
+            key = (row["parent"], row["start"])
+            centers[key] = np.array([row["vec"]]) if not number else np.vstack([centers[key], row["vec"]])
+    return centers
+
+
+def pair_least(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest centre; exactly 0 for a centre itself."""
+    squared, slack = rough_squared_distances(vectors, centers)
+    least = squared.min(axis=1)
+    return np.where(least <= 2 * slack, 0.0, least)
+
+
+def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: int, center_bytes: int, starts: int) -> DataFrame:
+    """Lloyd's algorithm in every parent and for every start at once: adds ``sub``.
+
+    The centres (parents x starts x n x dimensions numbers, fixed by the parameters) are held by
     the driver. Tasks add up their own rows per centre, so only those sums are shuffled
     and a parent with most of the rows is still spread over all tasks.
     """
@@ -67,31 +122,32 @@ def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: i
     # one row per parent: at most n ** depth rows
     sizes = {row["parent"]: row["n"] for row in rows.groupBy("parent").agg(F.count("*").alias("n")).collect()}
     split = [parent for parent, size in sizes.items() if size > min_split]
-    large = rows.where(F.col("parent").isin(split))
-    starts = first_shuffled(large, "row_id", n, ["parent"], seed).orderBy("parent", "row_id").collect()
-    centers: dict[int, np.ndarray] = {}
-    for row in starts:
-        centers.setdefault(row["parent"], []).append(row["vec"])
-    centers = {parent: np.array(vecs) for parent, vecs in centers.items()}
-    size = sum(c.nbytes for c in centers.values())
+    width = rows.select(F.max(F.size("vec"))).first()[0] or 0
+    size = 8 * len(split) * starts * n * width
     if size > center_bytes:
-        raise ValueError(f"{size} bytes of centres: choose a smaller n or depth")
+        raise ValueError(f"{size} bytes of centres: choose a smaller n or depth, or fewer starts")
+    large = rows.where(F.col("parent").isin(split))
+    centers = _seeded(large, split, n, seed, starts)
+    active, cost = set(centers), dict.fromkeys(centers, np.inf)
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(centers)
-        moved, shift = {p: c.copy() for p, c in centers.items()}, 0.0
-        partial = large.select("parent", "vec").mapInPandas(_center_sums(shared), "parent int, sub int, sums array<double>")
-        totals = partial.groupBy("parent", "sub").agg(
-            vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
-        )
+        shared = spark.sparkContext.broadcast({key: centers[key] for key in active})
+        partial = large.select("parent", "vec").mapInPandas(_center_sums(shared, starts), "parent int, start int, sub int, sums array<double>")
+        totals = partial.groupBy("parent", "start", "sub").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        moved, shift = {key: centers[key].copy() for key in active}, dict.fromkeys(active, 0.0)
+        spent = dict.fromkeys(active, 0.0)
         for row in totals.collect():  # one row per centre; a centre without rows keeps its place
-            mean = np.array(row["sums"][1:]) / row["sums"][0]
-            shift = max(shift, float(((mean - centers[row["parent"]][row["sub"]]) ** 2).sum()))
-            moved[row["parent"]][row["sub"]] = mean
-        centers = moved
+            key, sums = (row["parent"], row["start"]), np.array(row["sums"])
+            mean = sums[2:] / sums[0]
+            shift[key] = max(shift[key], float(((mean - centers[key][row["sub"]]) ** 2).sum()))
+            spent[key] += sums[1]
+            moved[key][row["sub"]] = mean
+        centers, cost = centers | moved, cost | spent
+        active = {key for key in active if shift[key] > 1e-8}
         shared.destroy()
-        if shift <= 1e-8:
+        if not active:
             break
-    shared = spark.sparkContext.broadcast(centers)
+    best = {parent: min(range(starts), key=lambda s: (cost[parent, s], s)) for parent in split}
+    shared = spark.sparkContext.broadcast({parent: centers[parent, start] for parent, start in best.items()})
 
     @F.pandas_udf("int")
     def nearest(parent: pd.Series, vec: pd.Series) -> pd.Series:
@@ -108,26 +164,38 @@ def _nearest_center(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return rough_squared_distances(vectors, centers)[0].argmin(axis=1)
 
 
-def _center_sums(shared):
-    """Per task: row count and vector sum of every centre, as one array [n, sum...]."""
+def _center_sums(shared, starts: int):
+    """Per task and start: row count, cost and vector sum of every centre, as one array [n, cost, sum...]."""
 
     def run(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
             for parent, part in batch.groupby("parent"):
                 x = stack(part["vec"])
-                sub = _nearest_center(x, shared.value[parent])
-                for one in np.unique(sub):
-                    mine = x[sub == one]
-                    add = np.concatenate([[len(mine)], mine.sum(axis=0)])
-                    key = (int(parent), int(one))
-                    sums[key] = sums[key] + add if key in sums else add
+                for start in range(starts):
+                    centers = shared.value.get((int(parent), start))
+                    if centers is None:  # has come to rest
+                        continue
+                    squared = rough_squared_distances(x, centers)[0]
+                    sub = squared.argmin(axis=1)
+                    least = squared[np.arange(len(x)), sub]
+                    for one in np.unique(sub):
+                        mine = sub == one
+                        add = np.concatenate([[mine.sum(), least[mine].sum()], x[mine].sum(axis=0)])
+                        key = (int(parent), start, int(one))
+                        sums[key] = sums[key] + add if key in sums else add
         if sums:
-            yield pd.DataFrame([(p, s, v) for (p, s), v in sums.items()], columns=["parent", "sub", "sums"])
+            yield pd.DataFrame([(*key, v) for key, v in sums.items()], columns=["parent", "start", "sub", "sums"])
 
     return run
 
 
+def cluster_cost(clustered: DataFrame, vec: str = "vec") -> float:
+    """Sum of squared distances of the rows to their cluster's mean."""
+    spread = clustered.groupBy("cluster").agg(vector_to_array(Summarizer.variance(array_to_vector(vec))).alias("v"), F.count("*").alias("n"))
+    return spread.agg(F.sum(F.aggregate("v", F.lit(0.0), lambda t, x: t + x) * (F.col("n") - 1))).first()[0] or 0.0
+
+
 def cluster_counts(clustered: DataFrame, data: DataFrame, subject: str) -> DataFrame:
     """(subject, feature, n): rows of each subject in each cluster."""
     return (

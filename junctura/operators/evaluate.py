@@ -6,19 +6,18 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions.vectors import dense_vector
-from junctura.operators.classify import canonical_name, make_classifier, tree_depth
+from junctura.operators.classify import NearestNeighbours, canonical_name, make_classifier
 from junctura.operators.metrics import accuracy, binary_scores, class_report, coefficient_sums, confusion_matrix, top_coefficients
 from junctura.operators.reduce import PCA_SIZES, min_max_scale, pca_sweep
 from junctura.operators.ranking import shuffled_rank
 from junctura.operators.sampling import repeated_splits, split_train_test
+from junctura.operators.splits import discriminants_on_splits, fits, fitted_on_splits, held_out, logistic_models, logistic_said, neighbours_on_splits, on_all
 from junctura.schemas import SCORES
 from junctura.session import cut_lineage
 
@@ -26,14 +25,7 @@ from junctura.session import cut_lineage
 # fixed values: the models compared with each other, and those compared over dimensions
 MODELS = ("kNN", "LSVM", "RBF_SVM", "DT", "RF", "ADA", "NB")
 DIMENSION_MODELS = (("DT", {"max_depth": None}), ("kNN", {"k": 5}))
-#: A table up to this size goes to every task, which fits whole splits of it.
-SPLIT_BYTES = 64 * 1024 * 1024
-#: Beyond so many features the Newton step of a split costs more than Spark ML's own solver.
-SPLIT_FEATURES = 2000
-#: Spark ML takes the thresholds of its trees from all rows up to this number, from a sample beyond.
-UNSAMPLED = 10_000
-
-
+COEFFICIENTS = "split int, class int, position int, coef double"
 def feature_matrix(table: DataFrame, subject: str, features: Sequence | None = None) -> tuple[DataFrame, list]:
     """Long (subject, feature, freq) as (subject, features array); absent cells are 0.
 
@@ -116,35 +108,27 @@ def run_classifier(
 ) -> Evaluation:
     """Fit on ``repeats`` random splits of (row_id, features, class) and pool the predictions.
 
-    The splits are drawn in one job. Naive Bayes without parameters is fitted on all splits in
-    one grouped job, and so are trees on a small table and logistic regression on one of two
-    classes. The other models take one Spark ML run per split, so ``repeats`` is best kept small
-    for those that iterate.
+    The splits are drawn in one job. Naive Bayes, discriminants, nearest neighbours and logistic
+    regression of two classes take all splits in the same jobs, however many there are. The other
+    models take a Spark ML run per split, several at a time over one stored table.
     """
-    if canonical_name(model) == "NB" and not parameters:
+    name = canonical_name(model)
+    if name == "NB" and not parameters:
         return bayes_on_splits(table, repeats, test_share, verify, seed)
-    if canonical_name(model) in ("LR", "RLR") and set(parameters) <= {"c"}:
-        rows = _small_table(table)
-        if rows is not None and rows[2].max() == 1:
-            c = parameters.get("c", 0.9 if canonical_name(model) == "RLR" else 1.0)
-            return logistic_on_splits(table, rows, repeats, test_share, verify, seed, c)
-    if canonical_name(model) == "DT" and verify is None and set(parameters) <= {"max_depth"}:
-        rows = _small_table(table)
-        if rows is not None and len(rows[0]) <= UNSAMPLED:
-            return trees_on_splits(table, rows, repeats, test_share, seed, tree_depth(parameters.get("max_depth", 5)))
-    splits = cut_lineage(repeated_splits(table.select("row_id", "features", "class"), repeats, test_share, seed=seed))
-    estimator = make_classifier(model, **parameters)
-    pooled, checked, coefs = _Pool(), _Pool(), []
-    for number in range(repeats):
-        part = splits.where(F.col("split") == number)
-        fitted = estimator.fit(part.where(F.col("role") == "train").drop("split", "role"))
-        pooled.add(_pairs(fitted.transform(part.where(F.col("role") == "test").drop("split", "role")), number))
-        if verify is not None:
-            checked.add(_pairs(fitted.transform(verify.select("row_id", "features", "class")), number))
-        if canonical_name(model) in ("LR", "RLR"):
-            coefs += [(number, k, i, float(c)) for k, row in enumerate(fitted.coefficients) for i, c in enumerate(row)]
-    coefficients = table.sparkSession.createDataFrame(coefs, "split int, class int, position int, coef double") if coefs else None
-    return Evaluation(pooled.table(), checked.table(), coefficients)
+    rows = held_out(table, repeats, test_share, seed)
+    others = None if verify is None else on_all(verify, repeats)
+    if name in ("LDA", "QDA") and not parameters:
+        return Evaluation(*discriminants_on_splits(rows, others, name == "LDA"), None)
+    if name == "kNN" and set(parameters) <= {"k"}:
+        return Evaluation(*neighbours_on_splits(rows, others, parameters.get("k", NearestNeighbours.k), test_share), None)
+    linear = name in ("LR", "RLR")
+    if linear and set(parameters) <= {"c"} and (rows.agg(F.max("class")).first()[0] or 0) <= 1:
+        models = logistic_models(rows, repeats, parameters.get("c", 0.9 if name == "RLR" else 1.0))
+        coefs = [(split, 0, i, float(c)) for split, row in enumerate(models) for i, c in enumerate(row[1:])]
+        coefficients = table.sparkSession.createDataFrame(coefs, COEFFICIENTS)
+        return Evaluation(logistic_said(rows, models), None if others is None else logistic_said(others, models), coefficients)
+    tested, checked, coefs = fitted_on_splits(rows, others, make_classifier(model, **parameters), repeats, linear)
+    return Evaluation(tested, checked, table.sparkSession.createDataFrame(coefs, COEFFICIENTS) if linear else None)
 
 
 def bayes_on_splits(
@@ -183,180 +167,6 @@ def bayes_on_splits(
     return Evaluation(tested, checked, None)
 
 
-def _small_table(table: DataFrame) -> tuple[pd.Index, np.ndarray, np.ndarray] | None:
-    """Keys, features and classes (0, 1, ...) of a table that one task can hold; None for any other."""
-    width = F.size("features")
-    shape = table.agg(
-        F.count("*").alias("n"), F.count_distinct("row_id").alias("keys"), F.min(width).alias("least"), F.max(width).alias("d"),
-        F.count_if((F.col("class") >= 0) & F.col("features").isNotNull()).alias("whole"),
-    ).first()
-    n, d = shape["n"], shape["d"] or 0
-    if not n or shape["whole"] < n or shape["keys"] < n or shape["least"] != d:
-        return None
-    if not 0 < d <= SPLIT_FEATURES or 8 * n * d > SPLIT_BYTES:
-        return None
-    rows = table.select("row_id", F.col("features").cast("array<double>").alias("features"), F.col("class").cast("int").alias("class")).toArrow()
-    values = rows.column("features").combine_chunks().flatten()
-    if values.null_count:
-        return None
-    return pd.Index(rows.column("row_id").to_pandas()), values.to_numpy().reshape(n, d), rows.column("class").to_numpy()
-
-
-def newton_logistic(x: np.ndarray, y: np.ndarray, c: float) -> np.ndarray:
-    """Intercept and coefficients of the model that ``logistic_regression(c)`` tends to, for classes 0 and 1."""
-    if y.min() == y.max():
-        return np.r_[np.inf if y[0] else -np.inf, np.zeros(x.shape[1])]
-    design = np.column_stack([np.ones(len(x)), x])
-    shrink = np.r_[0.0, np.full(x.shape[1], 1 / c)]
-    cost = lambda b: np.logaddexp(0, design @ b).sum() - y @ (design @ b) + 0.5 * shrink @ (b * b)
-    beta = np.zeros(design.shape[1])
-    now = cost(beta)
-    for _ in range(100):
-        p = 0.5 * (1 + np.tanh(0.5 * (design @ beta)))
-        bend = (design * (p * (1 - p))[:, None]).T @ design + np.diag(shrink + 1e-9)
-        step = np.linalg.solve(bend, design.T @ (p - y) + shrink * beta)
-        share = 1.0
-        while (then := cost(beta - share * step)) > now and share > 1e-6:
-            share /= 2
-        if then > now:
-            break
-        beta, now = beta - share * step, then
-        if np.abs(step).max() < 1e-9:
-            break
-    return beta
-
-
-def logistic_on_splits(
-    table: DataFrame,
-    rows: tuple[pd.Index, np.ndarray, np.ndarray],
-    repeats: int = 1000,
-    test_share: float = 0.2,
-    verify: DataFrame | None = None,
-    seed: int = 0,
-    c: float = 1.0,
-) -> Evaluation:
-    """Logistic regression of two classes on every split, in a number of jobs that doesn't depend on ``repeats``.
-
-    The table goes to the tasks once; only keys and roles are written per split. A task fits a
-    whole split and returns its coefficients, which then meet the rows in a join.
-    """
-    keys, x, y = rows
-    data = table.select("row_id", "features", "class")
-    splits = cut_lineage(repeated_splits(data.select("row_id"), repeats, test_share, seed=seed))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(keys.get_indexer(part["row_id"]))
-        beta = newton_logistic(x[at], y[at].astype(float), c)
-        return pd.DataFrame({"split": [part["split"].iloc[0]], "intercept": beta[:1], "coef": [beta[1:]]})
-
-    train = splits.where(F.col("role") == "train").select("split", "row_id")
-    models = cut_lineage(train.groupBy("split").applyInPandas(fit, "split int, intercept double, coef array<double>"))
-
-    def predicted(sample: DataFrame) -> DataFrame:
-        product = F.zip_with("features", "coef", lambda a, b: a * b)
-        margin = F.aggregate(product, F.col("intercept"), lambda t, v: t + v)
-        scored = sample.join(models, "split")
-        return scored.select("split", "row_id", F.col("class").alias("actual"), (margin > 0).cast("int").alias("predicted"))
-
-    tested = predicted(splits.where(F.col("role") == "test").select("split", "row_id").join(data, "row_id"))
-    checked = None
-    if verify is not None:
-        every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("split")
-        checked = predicted(verify.select("row_id", "features", "class", every))
-    coefficients = models.select("split", F.lit(0).alias("class"), F.posexplode("coef").alias("position", "coef"))
-    return Evaluation(tested, checked, coefficients)
-
-
-def _thresholds(values: np.ndarray, bins: int) -> np.ndarray:
-    """Where Spark ML lets a tree cut a feature: between all values, or at about equal counts."""
-    found, counts = np.unique(values, return_counts=True)
-    middles = (found[:-1] + found[1:]) / 2
-    if len(middles) < bins:
-        return middles
-    stride = len(values) / bins
-    cuts, target, total = [], stride, int(counts[0])
-    for k, count in enumerate(counts[1:].tolist()):
-        before, total = total, total + count
-        if abs(before - target) < abs(total - target):
-            cuts.append(middles[k])
-            target += stride
-    return np.array(cuts)
-
-
-def _gini(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-    out = np.ones(total.shape)
-    for k in range(counts.shape[-1]):
-        share = counts[..., k] / np.maximum(total, 1)
-        out = out - share * share
-    return out
-
-
-def grown_tree(x: np.ndarray, y: np.ndarray, depth: int, other: np.ndarray, bins: int = 32) -> np.ndarray:
-    """The classes that Spark ML's tree of ``x`` and ``y`` gives the rows of ``other``."""
-    cuts = [_thresholds(x[:, j], min(bins, len(x))) for j in range(x.shape[1])]
-    places = np.column_stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)])
-    others = np.column_stack([np.searchsorted(c, other[:, j]) for j, c in enumerate(cuts)])
-    d, classes = x.shape[1], int(y.max()) + 1
-    exists = np.arange(bins - 1) < np.array([len(c) for c in cuts])[:, None]
-    offset = np.arange(d) * bins
-    said = np.zeros(len(other), int)
-    todo = [(np.arange(len(x)), np.arange(len(other)), 0)]
-    while todo:
-        rows, asked, level = todo.pop()
-        counts = np.bincount(y[rows], minlength=classes)
-        said[asked] = counts.argmax()
-        impurity = _gini(counts, np.array(len(rows)))
-        if level == depth or not len(asked) or impurity < 1e-15 or not exists.any():
-            continue
-        cells = np.bincount(((places[rows] + offset) * classes + y[rows, None]).ravel(), minlength=d * bins * classes)
-        left = cells.reshape(d, bins, classes).cumsum(axis=1)[:, :-1]
-        right = counts - left
-        n_left, n_right = left.sum(axis=2), right.sum(axis=2)
-        gain = impurity - n_left / len(rows) * _gini(left, n_left) - n_right / len(rows) * _gini(right, n_right)
-        gain = np.where(exists & (n_left > 0) & (n_right > 0), gain, -np.inf)
-        feature, cut = divmod(int(gain.argmax()), bins - 1)
-        if gain[feature, cut] <= 0:
-            continue
-        down, right_of = places[rows, feature] <= cut, others[asked, feature] > cut
-        todo += [(rows[down], asked[~right_of], level + 1), (rows[~down], asked[right_of], level + 1)]
-    return said
-
-
-def trees_on_splits(
-    table: DataFrame, rows: tuple[pd.Index, np.ndarray, np.ndarray], repeats: int = 1000, test_share: float = 0.2, seed: int = 0, depth: int = 5
-) -> Evaluation:
-    """A tree on every split, in a number of jobs that doesn't depend on ``repeats``; as ``logistic_on_splits``."""
-    keys, x, y = rows
-    splits = repeated_splits(table.select("row_id"), repeats, test_share, seed=seed)
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        at, test = keys.get_indexer(part["row_id"]), (part["role"] == "test").to_numpy()
-        train, asked = np.sort(at[~test]), at[test]
-        said = grown_tree(x[train], y[train], depth, x[asked])
-        return pd.DataFrame({"split": part["split"].iloc[0], "row_id": part["row_id"][test], "actual": y[asked], "predicted": said})
-
-    kind = table.schema["row_id"].dataType.simpleString()
-    tested = splits.select("split", "row_id", "role").groupBy("split").applyInPandas(fit, f"split int, row_id {kind}, actual int, predicted int")
-    return Evaluation(cut_lineage(tested), None, None)
-
-
-class _Pool:
-    """A union of many small tables, written out every few so that its plan stays short."""
-
-    def __init__(self, every: int = 16) -> None:
-        self.every, self.parts, self.written = every, [], []
-
-    def add(self, part: DataFrame) -> None:
-        self.parts.append(part)
-        if len(self.parts) == self.every:
-            self.written.append(cut_lineage(reduce(DataFrame.unionByName, self.parts)))
-            self.parts = []
-
-    def table(self) -> DataFrame | None:
-        every = [*self.written, *self.parts]
-        return reduce(DataFrame.unionByName, every) if every else None
-
-
 def _pairs(predicted: DataFrame, split: int) -> DataFrame:
     return predicted.select(F.lit(split).alias("split"), "row_id", F.col("class").alias("actual"), "predicted")
 
@@ -438,52 +248,18 @@ def accuracy_by_dimension(
     return out
 
 
-def _leading_on_splits(
-    table: DataFrame, rows: tuple[pd.Index, np.ndarray, np.ndarray], sizes: Sequence[int], models: Sequence[str], repeats: int, seed: int
-) -> DataFrame:
-    """(features, model, accuracy) of regressions of two classes and trees, a group of tasks' rows per split and size."""
-    keys, x, y = rows
-    models = list(models)
-    splits = cut_lineage(repeated_splits(table.select("row_id"), repeats, seed=seed))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        at, test = keys.get_indexer(part["row_id"]), (part["role"] == "test").to_numpy()
-        train, asked = np.sort(at[~test]), at[test]
-        size = int(part["features"].iloc[0])
-        seen, other = x[train, :size], x[asked, :size]
-        found = []
-        for name in models:
-            if canonical_name(name) == "DT":
-                said = grown_tree(seen, y[train], 5, other)
-            else:
-                beta = newton_logistic(seen, y[train].astype(float), 0.9 if canonical_name(name) == "RLR" else 1.0)
-                said = (other @ beta[1:] + beta[0] > 0).astype(int)
-            found.append(pd.DataFrame({"features": size, "model": name, "actual": y[asked], "predicted": said}))
-        return pd.concat(found)
-
-    each = splits.withColumn("features", F.explode(F.lit(list(sizes)).cast("array<int>")))
-    said = each.select("split", "features", "row_id", "role").groupBy("split", "features").applyInPandas(
-        fit, "features int, model string, actual int, predicted int"
-    )
-    return cut_lineage(accuracy(said, ["features", "model"])).select("features", "model", "accuracy")
-
-
 def leading_feature_sweep(
     table: DataFrame, sizes: Iterable[int], models: Sequence[str] = ("LR", "DT"), repeats: int = 1, seed: int = 0
 ) -> DataFrame:
-    """(features, model, accuracy) using the first 1..n features for each n."""
-    sizes, grouped = list(sizes), [m for m in models if canonical_name(m) in ("LR", "RLR", "DT")]
-    rows = _small_table(table) if grouped else None
-    pooled = _Pool()
-    if rows is None or rows[2].max() != 1 or len(rows[0]) > UNSAMPLED:
-        grouped = []
-    else:
-        pooled.add(_leading_on_splits(table, rows, sizes, grouped, repeats, seed))
-    for size in sizes:
-        for name in (m for m in models if m not in grouped):
-            said = run_classifier(leading_features(table, size), name, repeats, seed=seed).predictions
-            pooled.add(accuracy(said).select(F.lit(size).alias("features"), F.lit(name).alias("model"), "accuracy"))
-    return pooled.table()
+    """(features, model, accuracy) using the first 1..n features for each n; several sizes at a time."""
+    table = cut_lineage(table.select("row_id", "features", "class"))
+
+    def scored(task: tuple[int, str]) -> DataFrame:
+        size, name = task
+        said = run_classifier(leading_features(table, size), name, repeats, seed=seed).predictions
+        return cut_lineage(accuracy(said).select(F.lit(size).alias("features"), F.lit(name).alias("model"), "accuracy"))
+
+    return reduce(DataFrame.unionByName, fits([(size, name) for size in sizes for name in models], scored))
 
 
 def fold_evaluation(table: DataFrame, folds: DataFrame, subject: str, model: str, n_folds: int, **parameters) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from junctura.functions.vectors import significance
 from junctura.operators.neighbors import neighbour_radius, radius_join
 from junctura.session import cut_lineage
 
+WALKED = 4_000_000  # edges that one task walks; it holds at most as many ids
+ROUNDS = 3  # rounds over all edges before the best ones are walked
+
 
 def neighbourhood_subjects(neighbours: DataFrame, data: DataFrame, subject: str, label: str) -> DataFrame:
     """Each distinct (row_id, subject, label) of a row's neighbours."""
@@ -56,13 +61,38 @@ def candidates(shares: DataFrame, min_significance: float = 0.6, min_subjects: i
     return scored.where((F.col("significance") > min_significance) & (F.col("how_many_subjects") > min_subjects))
 
 
-def select_non_overlapping(candidate_rows: DataFrame, neighbours: DataFrame) -> DataFrame:
+def _walk(edges: DataFrame) -> DataFrame:
+    """(row_id): the rows that the walk over ``edges`` (src, sig, dst) drops, in one task.
+
+    The edges stream by in the order of their sources; only the dropped ids are held.
+    """
+
+    def walk(batches):
+        dropped = set()
+        for batch in batches:
+            fresh = []
+            for src, dst in zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True):
+                if src not in dropped and dst not in dropped:
+                    dropped.add(dst)
+                    fresh.append(dst)
+            yield pd.DataFrame({"row_id": pd.Series(fresh, dtype="int64")})
+
+    ordered = edges.select("src", "sig", "dst").repartition(1).sortWithinPartitions(F.desc("sig"), "src")
+    return ordered.mapInPandas(walk, "row_id bigint")
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return edges.join(gone.select(F.col("row_id").alias("src")), "src", "left_anti").join(gone.select(F.col("row_id").alias("dst")), "dst", "left_anti")
+
+
+def select_non_overlapping(candidate_rows: DataFrame, neighbours: DataFrame, walked: int = WALKED) -> DataFrame:
     """Greedy selection: best first, skipping rows inside the list of a selected row.
 
-    Going through the rows one by one is replaced by rounds over all of them: a row is
-    selected once no undecided better row lists it, which then drops the rows it lists.
-    A row's fate depends on better rows only, so the outcome is that of the walk. Order:
-    significance descending, then row_id.
+    Order: significance descending, then row_id. A row's fate depends on better rows only, so
+    parts can be decided apart from the walk's order. While more than ``walked`` edges between
+    undecided rows are left, ROUNDS rounds go over all of them (a row that no undecided better row
+    lists is selected and drops what it lists), then the best ``walked`` edges are walked in one
+    task, so that long chains don't take a round per link. The last ``walked`` edges are one walk.
     """
     nodes = cut_lineage(candidate_rows.select("row_id", "significance"))
     other = nodes.select(F.col("row_id").alias("dst"), F.col("significance").alias("dst_sig"))
@@ -75,33 +105,31 @@ def select_non_overlapping(candidate_rows: DataFrame, neighbours: DataFrame) ->
         .join(nodes, "row_id")
         .join(other, "dst")
         .where(better)
-        .select(F.col("row_id").alias("src"), "dst")
+        .select(F.col("row_id").cast("long").alias("src"), F.col("significance").alias("sig"), F.col("dst").cast("long").alias("dst"))
     )
-    rounds = None
-    while True:
-        undecided = nodes.select("row_id")
-        if rounds is not None:
-            undecided = undecided.join(rounds, "row_id", "left_anti")
-        fresh = undecided.join(edges.select(F.col("dst").alias("row_id")), "row_id", "left_anti")
-        dropped = (
-            edges.join(fresh.select(F.col("row_id").alias("src")), "src", "left_semi")
-            .select(F.col("dst").alias("row_id"))
-            .distinct()
-        )
-        decided = cut_lineage(
-            fresh.withColumn("selected", F.lit(True)).unionByName(dropped.withColumn("selected", F.lit(False)))
-        )
-        if decided.isEmpty():
-            break
-        rounds = decided if rounds is None else rounds.unionByName(decided)
-        edges = cut_lineage(
-            edges.join(decided.select(F.col("row_id").alias("src")), "src", "left_anti").join(
-                decided.select(F.col("row_id").alias("dst")), "dst", "left_anti"
-            )
-        )
-    if rounds is None:
+    gone = []
+    while (left := edges.count()) > walked:
+        for _ in range(ROUNDS):
+            fresh = edges.select("src").join(edges.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
+            dropped = cut_lineage(edges.join(fresh, "src", "left_semi").select(F.col("dst").alias("row_id")).distinct())
+            gone.append(dropped)
+            edges = cut_lineage(_without(edges.join(fresh, "src", "left_anti"), dropped))
+        left = edges.count()
+        if left > walked:
+            first = cut_lineage(edges.orderBy(F.desc("sig"), "src", "dst").limit(walked))
+            last = first.agg(F.min(F.struct("sig", (-F.col("src")).alias("at"))).alias("last")).first()["last"]
+            decided = F.struct("sig", (-F.col("src")).alias("at")) >= F.struct(F.lit(last["sig"]), F.lit(last["at"]))
+            lost = cut_lineage(_walk(first))
+            # the last source may have more edges than were walked
+            selected = edges.where(decided).join(lost.select(F.col("row_id").alias("src")), "src", "left_anti")
+            dropped = cut_lineage(lost.unionByName(selected.select(F.col("dst").alias("row_id"))).distinct())
+            gone.append(dropped)
+            edges = cut_lineage(_without(edges.where(~decided), dropped))
+    if left:
+        gone.append(cut_lineage(_walk(edges)))
+    if not gone:
         return nodes
-    return nodes.join(rounds.where("selected"), "row_id", "left_semi")
+    return nodes.join(reduce(DataFrame.unionByName, gone), "row_id", "left_anti")
 
 
 def threshold_sweep(candidate_rows: DataFrame, selected: DataFrame, thresholds: Sequence[float]) -> DataFrame:

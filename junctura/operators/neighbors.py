@@ -1,11 +1,13 @@
 """Exact nearest neighbours and radius joins over vectors.
 
 No pair of rows ever becomes a DataFrame row unless it is part of an answer. Vectors are
-assigned to the nearest of a bounded number of pivots (Voronoi cells). The triangle
-inequality then says which rows can matter to which cell, only those are sent there, and
-every cell is cut into blocks of bounded size that are compared inside Arrow tasks. This
-follows the published pivot-based kNN join of Lu, Shen, Chen and Ooi (VLDB 2012). Pruning
-depends on the data; the answer does not.
+assigned to the nearest of a bounded number of pivots (Voronoi cells). The search has two phases:
+a query meets the rows of its own cell first, which gives it a k-th distance of its own; it goes
+on only to those other cells that can hold a row within that distance, by the triangle inequality
+and by how far it is from the plane halfway between the two pivots, and takes the distance along.
+Every cell is cut into blocks of bounded size that are compared inside Arrow tasks. This follows
+published pivot-based kNN joins (Lu, Shen, Chen and Ooi, VLDB 2012). Pruning depends on the data;
+the answer does not.
 
 Copies of one vector are looked up once: the neighbour list of a distinct vector serves
 all its rows, and only the k lowest ids among copies can ever be neighbours.
@@ -14,7 +16,6 @@ all its rows, and only the k lowest ids among copies can ever be neighbours.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,21 +31,10 @@ BLOCK_ROWS = 16384  # most rows of one side in one task's group
 TILE_ROWS = 1024  # rows of a block multiplied at a time, unless that is too much for TILE_BYTES
 TILE_BYTES = 64 * 1024 * 1024  # a matrix of distances, or of the vectors of compared pairs, in a task
 NEAR = "array<struct<dist:double,neighbor:bigint>>"
+FITTED = 1024  # rows on which the usual distance of a k-th neighbour is estimated
 BROADCAST_BYTES = 64 * 1024 * 1024  # a feature list up to this size is sent to every task
 
 
-@dataclass(frozen=True)
-class Cells:
-    """Pivots, and for each cell how far its query rows reach (``reach``)."""
-
-    pivots: np.ndarray
-    reach: np.ndarray
-
-    @property
-    def count(self) -> int:
-        return len(self.pivots)
-
-
 def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squared, slack = rough_squared_distances(vectors, pivots)
     return np.sqrt(squared + slack[:, None])
@@ -100,21 +90,32 @@ def _reach(assigned: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, reach
 
 
-def _bound_kth(cells: Cells, data: DataFrame, k: int) -> np.ndarray:
-    """For each cell a distance within which every query of it has at least k data rows."""
-    order = Window.partitionBy("cell").orderBy("pd")
-    closest = (
-        data.select("cell", "pd").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).collect()
-    )
-    of = np.array([row["cell"] for row in closest], dtype=np.int64)
-    pd_ = np.array([row["pd"] for row in closest])
-    if len(pd_) < k:
-        return np.full(cells.count, np.inf)
-    bound = np.empty(cells.count)
-    for i in range(cells.count):
-        between = _pivot_distances(cells.pivots[i : i + 1], cells.pivots)[0]
-        bound[i] = np.partition(between[of] + pd_, k - 1)[k - 1]
-    return cells.reach + bound
+def _other_cells(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, reach: np.ndarray) -> DataFrame:
+    """Send each query (cell, pd, bound) to every other cell that may hold a row within its ``bound``.
+
+    A row of cell i is at least |query, pivot i| - reach[i] away. It is also beyond the plane halfway
+    between pivot i and the query's own, whose distance follows from the query's distances to both.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, sizes, reach))
+
+    def send(batches):
+        points, held, far = shared.value
+        for batch in batches:
+            tile = _tile_rows(len(points))
+            for at in range(0, len(batch), tile):
+                part = batch.iloc[at : at + tile]
+                squared, slack = rough_squared_distances(stack(part["vec"]), points)
+                own, bound = part["cell"].to_numpy(), part["bound"].to_numpy()
+                homes, home = np.unique(own, return_inverse=True)
+                between = _pivot_distances(points[homes], points)[home]
+                gap = squared - part["pd"].to_numpy()[:, None] ** 2 - 4 * slack[:, None]
+                plane = np.divide(gap, 2 * between, out=np.zeros_like(gap), where=between > 0)
+                least = np.maximum(plane, np.sqrt(np.maximum(squared - slack[:, None], 0.0)) - far[None, :])
+                row, cell = np.nonzero((least <= bound[:, None] * (1 + 1e-9)) & (held > 0) & (np.arange(len(points)) != own[:, None]))
+                for run in _row_runs(row, len(points[0])):
+                    yield part.iloc[row[run]][["gid", "vec", "bound"]].assign(cell=cell[run].astype(np.int32))
+
+    return queries.mapInPandas(send, "gid bigint, vec array<double>, bound double, cell int")
 
 
 def _blocks(rows: np.ndarray, parallelism: int) -> np.ndarray:
@@ -161,8 +162,9 @@ def _nearest_in_block(k: int):
     """Compare a block of queries with a block of data: the k nearest ids of each query."""
 
     def compare(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"gid": [], "neighbor": [], "dist": []})
         if queries.empty or data.empty:
-            return pd.DataFrame({"gid": [], "neighbor": [], "dist": []})
+            return nothing
         b = stack(data["vec"])
         ids = data["ids"].to_numpy()
         copies = np.array([len(i) for i in ids])
@@ -187,13 +189,14 @@ def _nearest_in_block(k: int):
         for at in range(0, len(queries), tile):
             a = stack(queries["vec"].iloc[at : at + tile])
             squared, slack = rough_squared_distances(a, b)
+            limit = np.full(len(a), np.inf)
             if len(b) > k:
-                kth = np.partition(squared, k - 1, axis=1)[:, k - 1]
-                row, col = np.nonzero(squared <= (kth + 2 * slack)[:, None])
-            else:
-                row, col = (i.ravel() for i in np.indices(squared.shape))
+                limit = np.partition(squared, k - 1, axis=1)[:, k - 1]
+            if "bound" in queries:
+                limit = np.minimum(limit, queries["bound"].to_numpy()[at : at + tile] ** 2 * (1 + 1e-9))
+            row, col = np.nonzero(squared <= (limit + 2 * slack)[:, None])
             found += [ranked(a, at, row[run], col[run]) for run in _row_runs(row, b.shape[1])]
-        return pd.concat(found, ignore_index=True)
+        return pd.concat(found, ignore_index=True) if found else nothing
 
     return compare
 
@@ -210,25 +213,37 @@ def _distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _group_lists(queries: DataFrame, data: DataFrame, k: int, cell_rows: int | None = None) -> DataFrame:
+def _group_lists(queries: DataFrame, data: DataFrame, k: int, cell_rows: int | None = None, pairs: dict | None = None) -> DataFrame:
     """(gid, near): for each distinct query vector its k nearest data rows by (dist, id).
 
-    The rows sent to the cells are made twice, once to be counted, rather than written.
+    ``pairs``, if given, gets the number of compared pairs of each phase: ``own`` and ``other``.
     """
     rows = data.count()
     pivots = _choose_pivots(data, "gid", rows, cell_rows=cell_rows)
     if rows == 0:
         return queries.select("gid", F.lit(None).cast(NEAR).alias("near")).limit(0)
-    if len(pivots) > 1:
-        q = cut_lineage(_assign(queries.select("gid", "vec"), pivots))
-        q_rows, reach = _reach(q, len(pivots))
-        limit = reach + _bound_kth(Cells(pivots, reach), cut_lineage(_assign(data, pivots)), k)
-        sent = _replicate(data, pivots, limit)
-        sizes = _cell_sizes(sent, len(pivots))
-    else:  # one cell holds everything: only the cut into blocks remains
+    if len(pivots) == 1:  # one cell holds everything: only the cut into blocks remains
         q, q_rows = queries.select("gid", "vec", F.lit(0).alias("cell")), np.array([queries.count()])
-        sent, sizes = data.withColumn("cell", F.lit(0)), np.array([rows])
-    return _compare(q, q_rows, sent, sizes, k)
+        if pairs is not None:
+            pairs |= {"own": int(q_rows[0]) * rows, "other": 0}
+        return _compare(q, q_rows, data.withColumn("cell", F.lit(0)), np.array([rows]), k)
+    placed = cut_lineage(_assign(data, pivots))
+    sizes, reach = _reach(placed, len(pivots))
+    placed = placed.drop("pd")
+    q = cut_lineage(_assign(queries.select("gid", "vec"), pivots))
+    q_rows = _cell_sizes(q, len(pivots))
+    own = cut_lineage(_compare(q, q_rows, placed, sizes, k))
+    kth = F.when(F.size("near") >= k, F.element_at("near", k)["dist"])
+    bounded = q.join(own.select("gid", kth.alias("bound")), "gid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    sent = cut_lineage(_other_cells(bounded, pivots, sizes, reach))
+    sent_rows = _cell_sizes(sent, len(pivots))
+    if pairs is not None:
+        pairs |= {"own": int(q_rows @ sizes), "other": int(sent_rows @ sizes)}
+    other = _compare(sent, sent_rows, placed, sizes, k, one_cell_each=False).select(F.col("gid").alias("_gid"), F.col("near").alias("_far"))
+    none = F.array().cast(NEAR)
+    both = own.join(other, F.col("gid") == F.col("_gid"), "full")
+    merged = F.sort_array(F.concat(F.coalesce("near", none), F.coalesce("_far", none)))
+    return both.select(F.coalesce("gid", "_gid").alias("gid"), F.slice(merged, 1, k).alias("near"))
 
 
 def _compare(
@@ -238,7 +253,8 @@ def _compare(
     parallelism = q.sparkSession.sparkContext.defaultParallelism
     q_blocks, d_blocks = _blocks(q_rows, parallelism), _blocks(sizes, parallelism)
     block = ["cell", "qb", "db"]
-    left = _spread(q.select("gid", "vec", "cell"), "gid", q_blocks, d_blocks, "qb", "db").groupBy(*block)
+    asked = [c for c in ("gid", "vec", "cell", "bound") if c in q.columns]
+    left = _spread(q.select(*asked), "gid", q_blocks, d_blocks, "qb", "db").groupBy(*block)
     right = _spread(sent, "gid", d_blocks, q_blocks, "db", "qb").groupBy(*block)
     found = left.cogroup(right).applyInPandas(_nearest_in_block(k), "gid bigint, neighbor bigint, dist double")
     if d_blocks.max() > 1 or not one_cell_each:
@@ -336,6 +352,115 @@ def knn_approximate(
     return _with_itself_first(rows, groups.join(lists, "gid").select("vec", "near"), k)
 
 
+def _sample_radius(groups: DataFrame, k: int, rows: int) -> float:
+    """About how far the k-th neighbour is: the median over FITTED rows among themselves, at the rank their share of the table has."""
+    picked = groups.orderBy(F.xxhash64("gid", F.lit(1)), "gid").limit(FITTED).select("vec").collect()
+    points = np.array([row["vec"] for row in picked], dtype=np.float64)
+    if len(points) < 2:
+        return 1.0
+    near = np.sort(_pivot_distances(points, points), axis=1)
+    rank = min(max(1, math.ceil(k * len(points) / max(rows, 1))), len(points) - 1)
+    return float(np.median(near[:, rank])) or 1.0
+
+
+def knn_hashed(
+    vectors: DataFrame,
+    k: int = 100,
+    row_id: str = "row_id",
+    vec: str = "vec",
+    asked: Column | None = None,
+    tables: int = 6,
+    projections: int = 4,
+    probes: int = 8,
+    width: float = 2.0,
+    seed: int = 0,
+) -> DataFrame:
+    """Approximate k nearest rows from several independent hash tables; the row itself is rank 0.
+
+    A table cuts ``projections`` random directions into steps of ``width`` times the usual distance
+    of a k-th neighbour (estimated on FITTED rows); the steps name a bucket. Every row is stored in
+    its bucket of each table. A row that is ``asked`` (by default all are) is compared with the rows
+    of its own buckets and of the ``probes`` neighbouring ones that it is nearest to: those whose
+    steps differ by one in one or two directions. Buckets of any size are compared whole, block by
+    block. Distances are exact; a list may miss neighbours that share no bucket, or be short.
+    """
+    rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<double>").alias("vec"), (F.lit(True) if asked is None else asked).alias("_asked"))
+    groups = cut_lineage(_distinct_vectors(rows, k + 1))
+    count = groups.count()
+    wanted = rows.where("_asked").select("row_id", "vec")
+    if count == 0:
+        return _with_itself_first(wanted, groups.select("vec", F.lit(None).cast(NEAR).alias("near")), k)
+    size = len(groups.select("vec").first()["vec"])
+    rng = np.random.default_rng(seed)
+    directions = rng.standard_normal((size, tables * projections))
+    shifts = rng.random(tables * projections)
+    step = width * _sample_radius(groups, k, count)
+    shared = rows.sparkSession.sparkContext.broadcast((directions / step, shifts))
+    moves = [((a, s),) for a in range(projections) for s in (-1, 1)]
+    moves += [((a, s), (b, u)) for a in range(projections) for b in range(a + 1, projections) for s in (-1, 1) for u in (-1, 1)]
+
+    def steps(batch: pd.DataFrame) -> np.ndarray:
+        matrix, shift = shared.value
+        return (stack(batch["vec"]) @ matrix + shift).reshape(len(batch), tables, projections)
+
+    def named(at: np.ndarray) -> list:
+        return [",".join(map(str, x)) for x in at.tolist()]
+
+    def store(batches):
+        for batch in batches:
+            if len(batch):
+                at = np.floor(steps(batch)).astype(np.int64)
+                for table in range(tables):
+                    yield batch.assign(bucket=[f"{table}:{n}" for n in named(at[:, table])])
+
+    def ask(batches):
+        for batch in batches:
+            if len(batch):
+                place = steps(batch)
+                low = np.floor(place)
+                inside = place - low
+                # how far the row is from the border that a move crosses, squared
+                cost = np.stack([sum((inside[..., a] if s < 0 else 1 - inside[..., a]) ** 2 for a, s in move) for move in moves], -1)
+                best = np.argsort(cost, axis=-1, kind="stable")[..., :probes]
+                shift = np.zeros((len(moves), projections))
+                for m, move in enumerate(moves):
+                    for a, s in move:
+                        shift[m, a] = s
+                for table in range(tables):
+                    for probe in range(-1, best.shape[-1]):
+                        at = low[:, table] + (0 if probe < 0 else shift[best[:, table, probe]])
+                        yield batch[["gid", "vec"]].assign(bucket=[f"{table}:{n}" for n in named(at.astype(np.int64))])
+
+    data = groups.mapInPandas(store, "gid bigint, vec array<double>, ids array<bigint>, bucket string")
+    heads = groups.join(wanted.select("vec").distinct(), "vec", "left_semi").select("gid", "vec")
+    lists = _in_buckets(heads.mapInPandas(ask, "gid bigint, vec array<double>, bucket string"), data, k + 1)
+    return _with_itself_first(wanted, groups.join(lists, "gid").select("vec", "near"), k)
+
+
+def _in_buckets(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """(gid, near) from buckets of any number and size: block against block, only where both sides are."""
+    queries, data = cut_lineage(queries), cut_lineage(data)
+    counted = lambda rows, name: rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    sizes = cut_lineage(counted(queries, "q_blocks").join(counted(data, "d_blocks"), "bucket"))
+
+    def spread(rows: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        here = rows.join(sizes, "bucket").withColumn(mine, F.pmod(F.xxhash64("gid"), F.col(own).cast("long")).cast("int"))
+        return here.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("q_blocks", "d_blocks")
+
+    left = spread(queries, "q_blocks", "d_blocks", "qb", "db").groupBy("bucket", "qb", "db")
+    right = spread(data, "d_blocks", "q_blocks", "db", "qb").groupBy("bucket", "qb", "db")
+    found = left.cogroup(right).applyInPandas(_nearest_in_block(k), "gid bigint, neighbor bigint, dist double").distinct()
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("gid").orderBy("dist", "neighbor"))).where(F.col("_r") <= k)
+    return best.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("dist", "neighbor"))).alias("near"))
+
+
+def list_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(row_id, wanted, hit): how many of each exact list's neighbours the found list has; the row itself left out."""
+    mine, theirs = (x.where("rank > 0").select("row_id", "neighbor") for x in (found, exact))
+    hits = theirs.join(mine.distinct().withColumn("_hit", F.lit(1)), ["row_id", "neighbor"], "left")
+    return hits.groupBy("row_id").agg(F.count("*").alias("wanted"), F.count("_hit").alias("hit"))
+
+
 def neighbour_radius(neighbours: DataFrame) -> DataFrame:
     """Distance of the farthest neighbour of every row."""
     return neighbours.groupBy("row_id").agg(F.max("dist").alias("max_distance"))

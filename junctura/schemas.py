@@ -77,16 +77,17 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def require_same_keys(left: DataFrame, right: DataFrame, key: str) -> None:
-    """Raise unless both tables hold exactly the same keys (the 1:1 alignment check)."""
+def unmatched_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, left_rows, right_rows) of the keys that don't stand exactly once on either side; NULL is a key."""
     sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    off = (
-        sides.groupBy(key)
-        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        .where((F.col("l") != 1) | (F.col("r") != 1))
-        .count()
-    )
+    counted = sides.groupBy(key).agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
+    return counted.where((F.col("left_rows") != 1) | (F.col("right_rows") != 1))
+
+
+def require_same_keys(left: DataFrame, right: DataFrame, key: str) -> None:
+    """Raise unless both tables hold exactly the same keys (the 1:1 alignment check)."""
+    off = unmatched_keys(left, right, key).count()
     if off:
         raise SchemaMismatch(f"{off} value(s) of {key!r} are not on both sides exactly once")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import Column, DataFrame
@@ -113,11 +114,39 @@ def wide_feature_table(table: DataFrame, subject: str, features: Sequence | None
 
 
 def write_feature_table(table: DataFrame, source: str, folder: str, subject: str, mode: str = "error") -> str:
+    """The wide table in the order of its subjects: part files, and the rows in them, are sorted."""
     path = feature_table_path(source, folder)
-    write_csv(wide_feature_table(table, subject), path, mode=mode)
+    write_csv(wide_feature_table(table, subject).orderBy(subject), path, mode=mode)
     return path
 
 
+def write_grouped_tsv(df: DataFrame, folder: str, group: str, suffix: str = "_collapsed.tab", rows_per_file: int = 1_000_000) -> list[str]:
+    """Tab-separated files named by group, <group><suffix>, or <group>.<k><suffix> where one file isn't enough.
+
+    Spark writes part files under a folder per group; they are then renamed, which moves no data.
+    Returns the groups written.
+    """
+    spark = df.sparkSession
+    parts = f"{folder}/_parts"
+    df.write.option("maxRecordsPerFile", rows_per_file).options(header=True, sep="\t").partitionBy(group).csv(parts)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(parts)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    groups = []
+    for place in files.listStatus(root):
+        name = place.getPath().getName()
+        if not place.isDirectory() or "=" not in name:
+            continue
+        value = unquote(name.partition("=")[2])
+        found = sorted((f.getPath() for f in files.listStatus(place.getPath()) if f.getPath().getName().startswith("part-")), key=lambda path: path.getName())
+        for k, path in enumerate(found):
+            numbered = value if len(found) == 1 else f"{value}.{k}"
+            files.rename(path, jvm.org.apache.hadoop.fs.Path(folder, numbered + suffix))
+        groups.append(value)
+    files.delete(root, True)
+    return groups
+
+
 def write_labelled(table: DataFrame, source: str, mode: str = "error") -> str:
     path = labelled_path(source)
     write_csv(table, path, mode=mode)

@@ -79,6 +79,41 @@ def test_join_of_two_tables(spark, small_blocks):
     assert got == expected
 
 
+def test_a_query_goes_only_where_its_own_bound_reaches(spark, small_blocks):
+    """Of well separated groups nearly no pair across groups is compared, and the lists are exact."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6)) + rng.integers(0, 8, size=(400, 1)) * 40
+    rows = table(spark, x).selectExpr("row_id as gid", "vec", "array(row_id) as ids").cache()
+    pairs = {}
+    got = N._group_lists(rows, rows, 6, pairs=pairs).collect()
+    expected, _ = brute_self(x, 5)
+    assert {r.gid: [n.neighbor for n in r.near] for r in got} == expected
+    assert pairs["own"] + pairs["other"] < 400 * 400 / 3
+
+
+def test_rows_whose_own_cell_is_too_small(spark, small_blocks):
+    """More neighbours than a cell has rows: every other cell is asked."""
+    x = clustered(6, 90)
+    expected, _ = brute_self(x, 70)
+    assert lists(N.knn_self(table(spark, x), 70)) == expected
+
+
+def test_hashed_lists(spark, small_blocks):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16)) * 0.4 + rng.normal(size=(30, 16))[rng.integers(0, 30, 300)] * 2
+    x[:100] = x[0]  # a third of all rows in one bucket
+    expected, d = brute_self(x, 5)
+    got = N.knn_hashed(table(spark, x), 5)
+    for r in got.collect():
+        assert math.isclose(r.dist, d[r.row_id, r.neighbor], abs_tol=1e-9)
+    exact = N.knn_self(table(spark, x), 5)
+    counted = N.list_recall(got, exact).agg(F.sum("hit"), F.sum("wanted")).first()
+    assert counted[0] >= 0.95 * counted[1] and counted[1] == 1500
+    asked = N.knn_hashed(table(spark, x), 5, asked=F.col("row_id") % 50 == 0)
+    assert {r.row_id for r in asked.collect()} == set(range(0, 300, 50))
+    assert N.knn_hashed(table(spark, x).limit(0), 5).count() == 0
+
+
 def test_approximate_lists(spark, small_blocks):
     x = clustered(5, 120)
     expected, d = brute_self(x, 5)
@@ -156,8 +191,25 @@ def test_candidate_limits_are_strict(spark):
     assert [r.row_id for r in H.candidates(shares, 0.6, 10).collect()] == [2]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_greedy_equals_the_walk(spark, seed):
+def jobs(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_chain_takes_few_jobs(spark):
+    """20,000 candidates of one significance, each listing the next: every other one is selected."""
+    n = 20_000
+    found = spark.range(n).selectExpr("id as row_id", "0.7D as significance")
+    near = spark.range(n).selectExpr("id as row_id", "id + 1 as neighbor")
+    chosen, count = jobs(spark, "chain", lambda: sorted(r.row_id for r in H.select_non_overlapping(found, near).collect()))
+    assert chosen == list(range(0, n, 2)) and count <= 30
+
+
+@pytest.mark.parametrize("walked", [H.WALKED, 40, 7])
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_equals_the_walk(spark, seed, walked):
     rng = np.random.default_rng(seed)
     n = 150
     significance = np.round(rng.uniform(0.6, 0.9, n), 2)  # many ties
@@ -171,7 +223,7 @@ def test_greedy_equals_the_walk(spark, seed):
                 owner[j] = i
     found = spark.createDataFrame([(i, float(significance[i])) for i in range(n)], "row_id long, significance double")
     table_ = neighbour_table(spark, near).dropDuplicates(["row_id", "neighbor"])
-    got = H.select_non_overlapping(found, table_)
+    got = H.select_non_overlapping(found, table_, walked)
     assert {r.row_id for r in got.collect()} == chosen
     assert {r.row_id: r.feature for r in H.feature_owner(got, table_).collect()} == owner
 
