@@ -4,8 +4,9 @@ Arrivals (digest, identifier, content locator) stream into a state that never ex
 per digest with the largest identifier, its locator and the number of arrivals. The state lies on
 disk, in RocksDB with its snapshots in the shared folder, so that it may outgrow memory, outlives
 an executor and can go on with later arrivals. Equal digests only name candidates: the text of
-every document that hit an entry is compared in full with the text of the entry's document, and
-the documents of a digest under which texts differ are grouped anew by their texts.
+every document that hit an entry is fetched by its locator, the file and the row in it, and
+compared in full with the text at the entry's locator; the documents of a digest under which
+texts differ are grouped anew by their texts.
 """
 
 from __future__ import annotations
@@ -45,21 +46,29 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _locator(docs: DataFrame) -> Column:
-    """The file a row was read from; empty where rows come from several tables, as after a join."""
+LOCATOR = "struct<path:string,row:bigint>"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``locator``: the file a row was read from and its place there.
+
+    NULL where rows don't come straight from Parquet files, as after a join: such rows are found by
+    their doc_id and digest.
+    """
     try:
-        docs.select(F.input_file_name())
+        found = docs.select("doc_id", "text", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")).alias("locator"))
+        found.schema  # names are resolved here
+        return found
     except AnalysisException:
-        return F.lit("")
-    return F.input_file_name()
+        return docs.select("doc_id", "text", F.lit(None).cast(LOCATOR).alias("locator"))
 
 
 def arrivals(docs: DataFrame, digest=sha256) -> DataFrame:
-    """(doc_id, digest, locator, rows) of each document, the locator naming the file it is in, where known.
+    """(doc_id, digest, locator, rows) of each document; of repeated rows the last locator.
 
     Rows with the same doc_id and the same normalised text are one document.
     """
-    found = docs.select("doc_id", digest(ascii_lower(F.col("text"))).alias("digest"), _locator(docs).alias("locator"))
+    found = located(docs).select("doc_id", digest(ascii_lower(F.col("text"))).alias("digest"), "locator")
     return found.groupBy("doc_id", "digest").agg(F.max("locator").alias("locator"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -82,18 +91,28 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def _compared(docs: DataFrame, verdicts: DataFrame, digest) -> DataFrame:
-    """(doc_id, digest, same) of all documents in groups: whether their text is the kept one's."""
-    hits = verdicts.where("documents > 1").select("doc_id", F.col("digest").alias("_d"), "keep_id", "documents")
-    texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("body"))
-    # texts are read again only for hits; an id may stand at several texts, so the digest decides
-    joined = texts.join(hits.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).where(digest(F.col("body")) == F.col("_d"))
-    found = stored(joined.select("doc_id", "body", F.col("_d").alias("digest"), "keep_id", "documents").dropDuplicates(["doc_id", "digest"]), "hits")
+    """(doc_id, digest, body, same) of all documents in groups: whether their text is the kept one's."""
+    own = ["doc_id", "locator", "digest", "keep_id", "keep_locator", "documents"]
+    hits = verdicts.where("documents > 1").select(*[F.col(c).alias(f"_{c}") for c in own])
+    texts = located(docs).select("doc_id", "locator", ascii_lower(F.col("text")).alias("body"))
+    if _has_places(verdicts):
+        # only rows that hit an entry are fetched, each from its place
+        there = (F.col("locator.path") == F.col("_locator.path")) & (F.col("locator.row") == F.col("_locator.row"))
+        found = texts.join(hits, there)
+    else:  # an id may stand at several texts, so the digest decides
+        found = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).where(digest(F.col("body")) == F.col("_digest")).dropDuplicates(["_doc_id", "_digest"])
+    found = stored(found.select("body", *[F.col(f"_{c}").alias(c) for c in own]), "hits")
     parts = F.ceil(F.col("documents") / PER_KEEPER).cast("int")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("locator").eqNullSafe(F.col("keep_locator"))
+    kept = found.where(keeper).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     rows = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts.cast("long")).cast("int"))
     return rows.join(kept, ["digest", "part"]).select("doc_id", "digest", "body", (F.col("body") == F.col("kept_body")).alias("same"))
 
 
+def _has_places(verdicts: DataFrame) -> bool:
+    return verdicts.where("locator IS NOT NULL").limit(1).count() > 0
+
+
 def exact_groups(docs: DataFrame, digest=sha256, per_batch: int = 256 << 30) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -103,7 +122,7 @@ def exact_groups(docs: DataFrame, digest=sha256, per_batch: int = 256 << 30) ->
     returned once. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, digest string, locator string, rows long"
+    schema = f"doc_id long, digest string, locator {LOCATOR}, rows long"
     folder, checkpoint = new_path(spark, "arrivals"), new_path(spark, "state")
     arrivals(docs, digest).select(F.col("doc_id").cast("long"), F.col("digest").cast("string"), "locator", "rows").write.parquet(folder)
     keep_state(spark, folder, schema, checkpoint, per_batch)
@@ -131,7 +150,12 @@ def exact(docs: DataFrame) -> DataFrame:
 
 
 def exact_filter(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each different text, the one with the largest doc_id."""
+    """One row of ``docs`` for each different text, the one with the largest doc_id.
+
+    NULL and empty texts are one text; of rows without a doc_id one stays if no other has their
+    text; rows repeated with id and text stay once. All columns are kept, whatever their names,
+    but names beginning with ``_x_`` or ``_metadata``. An empty table gives an empty result.
+    """
     kept = stored(exact_groups(docs).where("kept"), "kept").select(F.col("doc_id").alias("_x_id"), F.col("digest").alias("_x_digest"), F.col("group_size").alias("_x_size"))
     own = docs.withColumn("_x_own", sha256(ascii_lower(F.col("text"))))
     rows = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_x_id")) & (F.col("_x_own") == F.col("_x_digest")))

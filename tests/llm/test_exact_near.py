@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm import bagminhash as near
 from junctura.llm.components import components
-from junctura.llm.exact import arrivals, exact, exact_filter, exact_groups, keep_state, read_state
+from junctura.llm.exact import LOCATOR, _compared, arrivals, exact, exact_filter, exact_groups, keep_state, located, read_state
 from junctura.llm.scratch import new_path
 
 
@@ -44,7 +44,7 @@ def test_filter_and_columns(documents):
 def test_state_goes_on_with_later_arrivals(spark, documents):
     """A second run reads only new files, and finds hits on digests of the first."""
     folder, checkpoint = new_path(spark, "arrivals"), new_path(spark, "state")
-    schema = "doc_id long, digest string, locator string, rows long"
+    schema = f"doc_id long, digest string, locator {LOCATOR}, rows long"
     for part in ([(1, "a", "s"), (2, "b", "s")], [(3, "A", "s"), (4, "c", "s")], [(0, "b", "s")]):
         arrivals(documents(part)).write.mode("append").parquet(folder)
         keep_state(spark, folder, schema, checkpoint, 1)
@@ -52,6 +52,31 @@ def test_state_goes_on_with_later_arrivals(spark, documents):
     assert got == [(2, 2, 2), (3, 2, 2), (4, 1, 1)]
 
 
+@pytest.mark.parametrize("digest", [None, lambda text: F.substring(F.md5(text), 1, 1)], ids=["sha256", "colliding"])
+def test_texts_are_fetched_from_their_places(spark, documents, digest):
+    """Two files, an id that stands in both with one text, and another with two texts."""
+    folder = new_path(spark, "docs")
+    first, second = ROWS[:8] + [(50, "one", "s")], ROWS[8:] + [(2, "aBC", "s"), (50, "TWO", "s"), (51, "two", "s")]
+    for part in (first, second):
+        documents(part).coalesce(1).write.mode("append").parquet(folder)
+    docs = spark.read.parquet(folder)
+    places = located(docs).select("locator").distinct().collect()
+    assert len(places) == len(first) + len(second) and len({p.locator.path for p in places}) == 2
+    check_groups(first + second, (exact_groups(docs) if digest is None else exact_groups(docs, digest)).collect())
+
+
+def test_hits_come_from_the_locator_alone(spark, documents):
+    """The text compared is the one at the place that the state names, whatever row its doc_id has elsewhere."""
+    folder = new_path(spark, "docs")
+    documents([(1, "same", "s"), (2, "Same", "s"), (3, "other", "s")]).coalesce(1).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    place = {r.doc_id: r.locator for r in located(docs).collect()}
+    schema = f"doc_id long, digest string, locator {LOCATOR}, keep_id long, keep_locator {LOCATOR}, documents long"
+    verdicts = spark.createDataFrame([(1, "d", place[1], 2, place[2], 2), (2, "d", place[2], 2, place[2], 2), (9, "e", place[3], 9, place[3], 2)], schema)
+    got = {r.doc_id: (r.body, r.same) for r in _compared(docs, verdicts, lambda text: F.lit("never asked")).collect()}
+    assert got == {1: ("same", True), 2: ("same", True), 9: ("other", True)}
+
+
 def bag(text):
     words = "".join(c.lower() if c.isalnum() else " " for c in text or "").split()
     n = min(5, len(words))
@@ -120,6 +145,27 @@ def test_shuffled_paths_agree(documents, monkeypatch):
     assert {r.doc_id: r.class_id for r in near.near_classes(documents(rows)).collect()} == brute_classes(rows)
 
 
+@pytest.mark.parametrize("sent", [near.SENT, 0])
+def test_large_buckets_are_dealt(documents, monkeypatch, sent):
+    """Members of a bucket go by several keys, and meet the same leaders and components."""
+    monkeypatch.setattr(near, "DEALT", 3)
+    monkeypatch.setattr(near, "SENT", sent)
+    base = " ".join(f"w{k}" for k in range(120))
+    rows = [*corpus(), *((3000 + k, f"{base} end{k}", "s") for k in range(60))]
+    assert {r.doc_id: r.class_id for r in near.near_classes(documents(rows)).collect()} == brute_classes(rows)
+
+
+def test_an_id_with_two_texts(documents):
+    """The least of its texts is compared, whatever the order of the rows; both texts find its bucket."""
+    first, second = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, first, "s"), (2, second, "s"), (2, first, "s"), (3, second, "s")]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: r.class_id for r in near.near_classes(documents(order)).collect()}
+        assert got == {1: 1, 2: 1, 3: 2} or got == {1: 1, 2: 1, 3: 1}
+        seen = got if order is rows else seen
+        assert got == seen
+
+
 def test_filter_keeps_one_of_each(documents):
     rows = corpus()
     docs = documents(rows, "class_id")
