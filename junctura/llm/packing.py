@@ -140,6 +140,71 @@ def sequences(pieces: DataFrame, length: int = 2048) -> DataFrame:
     return whole.withColumn("ids", F.when(power, F.col("ids")).otherwise(F.concat("ids", padding)))
 
 
+CHUNKS = "part int, first long, n long, doc_ids array<long>, lengths array<long>, ids binary"
+WHOLE = "sequence_id long, tokens long, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint>>"
+
+
+def chunked(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+    """``encode_documents`` with the rows of some BATCH bytes of ids put together in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # at most about BATCH bytes, or one document
+            lengths = batch.column(3).to_numpy()
+            ids = b"".join(batch.column(4).to_pylist())
+            columns = [batch.column(1)[:1], batch.column(2)[:1], pa.array([int(lengths.sum())]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids], pa.binary())], [f.split()[0] for f in CHUNKS.split(", ")])
+
+    return encode_documents(docs, vocabulary, ranks).mapInArrow(run, CHUNKS)
+
+
+def _windows(chunks: DataFrame, length: int, whole: bool) -> DataFrame:
+    """The windows that lie ``whole`` in one chunk, or the parts of the others: ids, and pieces by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, n, doc_ids, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ends = begin + np.cumsum(np.array(lengths, dtype=np.int64))
+                starts = ends - np.array(lengths, dtype=np.int64)
+                rows = []
+                for window in range(begin // length, (begin + n - 1) // length + 1):
+                    low, high = max(begin, window * length), min(begin + n, (window + 1) * length)
+                    if (high - low == length) != whole:
+                        continue
+                    at = range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high, side="left")))
+                    spans = [(doc_ids[k], max(low, int(starts[k])), min(high, int(ends[k])), int(starts[k])) for k in at]
+                    pieces = [{"doc_id": d, "start": a - s, "length": b - a, "offset": a - window * length} for d, a, b, s in spans]
+                    rows.append((window, high - low, ids[4 * (low - begin) : 4 * (high - begin)], pieces))
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("sequence_id", "tokens", "ids", "pieces"), r, strict=True)) for r in rows], schema=_ARROW)
+
+    return chunks.select("begin", "n", "doc_ids", "lengths", "ids").mapInArrow(run, WHOLE)
+
+
+_PIECE = pa.struct([(name, pa.int64()) for name in ("doc_id", "start", "length", "offset")])
+_ARROW = pa.schema([("sequence_id", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("pieces", pa.list_(_PIECE))])
+
+
+def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+    """(sequence_id, tokens, ids, pieces): what ``pack`` cuts, put together to sequences of ids.
+
+    ``pieces`` names the documents in each sequence in order; ``start`` is the piece's first id
+    among its document's, ``offset`` its place in the sequence. Only the windows that cross the
+    border of a chunk, some one in a thousand, are shuffled. The last sequence is padded with zeros
+    to ``length`` unless its length is a power of two. Rows count as in ``pack``: NULL and empty
+    texts are an END alone, repeated rows are placed each; other columns are not read; an empty
+    table gives no sequences.
+    """
+    placed_chunks = placed(stored(chunked(docs, vocabulary, ranks), "chunks"))
+    whole, parts = (_windows(placed_chunks, length, x) for x in (True, False))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("pieces")[0]["offset"].alias("at"), "ids", "pieces")))
+    joined = parts.groupBy("sequence_id").agg(F.sum("tokens").alias("tokens"), ordered.alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda out, x: F.concat(out, x["ids"]))
+    padding = F.unhex(F.repeat(F.lit("00000000"), (length - F.col("tokens")).cast("int")))
+    padded = F.when(F.bit_count("tokens") == 1, ids).otherwise(F.concat(ids, padding))
+    crossing = joined.select("sequence_id", "tokens", padded.alias("ids"), F.flatten(F.transform("parts", lambda x: x["pieces"])).alias("pieces"))
+    return whole.unionByName(crossing)
+
+
 def packing(docs: DataFrame, length: int = 2048) -> DataFrame:
     """``pack`` with the CRC-32 of each piece's ids in their place."""
     pieces = pack(docs, length)

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from junctura.llm.lines import line_dedup, spread_lines, without_spread_lines
-from junctura.llm.packing import encoders, pack, packing, sequences
+from junctura.llm import packing as P
+from junctura.llm.packing import encoders, pack, packed_sequences, packing, sequences
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 ENCODE = encoders()
@@ -55,6 +56,35 @@ def test_pieces(documents, length):
     assert total == sum(len(ids(t)) for _, t, _ in rows)
 
 
+@pytest.mark.parametrize("batch", [64, 8 << 20])
+@pytest.mark.parametrize("length", [8, 2048])
+def test_packed_sequences_hold_every_id(documents, monkeypatch, length, batch):
+    """The ids read back through the pieces are each document's, in chunks of a few ids or of all."""
+    monkeypatch.setattr(P, "BATCH", batch)
+    rng = np.random.default_rng(6)
+    texts = [None, "", "word " * 700] + [" ".join(rng.choice(["alpha", "béta", "12", "?", "漢字"], n)) for n in rng.integers(0, 60, 30)]
+    rows = [(k, t, "s") for k, t in enumerate(texts)] + [(5, texts[5], "s")]
+    got = sorted(packed_sequences(documents(rows, "ids pieces").repartition(4), length).collect())
+    total = sum(len(ids(t)) for _, t, _ in rows)
+    assert [r.sequence_id for r in got] == list(range(-(-total // length))) and sum(r.tokens for r in got) == total
+    back = {}
+    for r in got:
+        values = np.frombuffer(r.ids, "<u4")
+        power = r.tokens & (r.tokens - 1) == 0
+        assert len(values) == (r.tokens if power else length) and not values[r.tokens :].any()
+        assert [p.offset for p in r.pieces] == np.cumsum([0, *[p.length for p in r.pieces]])[:-1].tolist() and sum(p.length for p in r.pieces) == r.tokens
+        for p in r.pieces:
+            back.setdefault((p.doc_id, p.start), []).append(values[p.offset : p.offset + p.length].tolist())
+    for k, text in enumerate(texts):
+        want = ids(text)
+        found = sorted((start, part) for (doc, start), parts in back.items() if doc == k for part in parts)
+        if k != 5:  # 5 stands twice, cut in two ways
+            assert sum((part for _, part in found), []) == want
+        else:
+            assert all(part == want[start : start + len(part)] for start, part in found) and sum(len(part) for _, part in found) == 2 * len(want)
+    assert packed_sequences(documents([]), length).count() == 0
+
+
 def test_sequences(documents):
     docs = documents([(1, "one two three four five", "s"), (2, None, "s"), (3, "six", "s")])
     out = sorted(sequences(pack(docs.coalesce(1), 4), 4).collect())
