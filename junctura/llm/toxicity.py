@@ -29,7 +29,9 @@ FITTED = 8000
 #: Word beginnings of these lengths may enter the lexicon, beside whole words up to LONGEST.
 PREFIXES = range(4, 9)
 LONGEST = 24
-MAX_TERMS, MAX_EXCEPTIONS = 5000, 5000
+#: All terms and exceptions that pass the limits below are taken. They come to the driver and to
+#: every task; more than this raise ValueError.
+MOST_TERMS = 1_000_000
 #: A term is in this share of the toxic documents at least, its odds are e^LEAST_WEIGHT at least,
 #: and the likelihood ratio against equal shares in both classes is LEAST_RATIO at least.
 LEAST_SHARE, LEAST_WEIGHT, LEAST_RATIO = 0.002, 2.5, 12.0
@@ -125,7 +127,14 @@ def hits(automaton, text: str) -> list[tuple[int, float]]:
             spared.append((end - length, end))
         elif length > best.get(start, (0, 0.0))[0]:
             best[start] = (length, weight)
-    return [(at, w) for at, (_, w) in sorted(best.items()) if not any(a <= at < b for a, b in spared)]
+    counted, reach = [], -1  # exceptions by their start: ``reach`` is the furthest end of those begun so far
+    spared.sort(reverse=True)
+    for at, (_, w) in sorted(best.items()):
+        while spared and spared[-1][0] <= at:
+            reach = max(reach, spared.pop()[1])
+        if at >= reach:
+            counted.append((at, w))
+    return counted
 
 
 def measures(found: list[tuple[int, float]], words: int) -> tuple[float, float]:
@@ -199,7 +208,7 @@ def _chosen_terms(rows: list, documents: list[set[str]], n_toxic: int, n_clean:
     inside: set[str] = set()
     least = max(3, math.ceil(LEAST_SHARE * n_toxic))
     for strength, _, term, weight in known:
-        if strength < LEAST_RATIO or weight < LEAST_WEIGHT or len(chosen) == MAX_TERMS:
+        if strength < LEAST_RATIO or weight < LEAST_WEIGHT:
             continue
         if term in inside or any(term[:n] in chosen for n in range(1, len(term))):
             continue
@@ -224,6 +233,14 @@ def _terms_within(texts: DataFrame, known: set[str]) -> list[set[str]]:
     return [set(r.terms) for r in texts.select("text").mapInArrow(run, "terms array<string>").collect()]
 
 
+def _bounded(terms: DataFrame) -> list:
+    """The rows of ``terms`` on the driver; more than MOST_TERMS raise ValueError."""
+    rows = terms.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms pass the limits")
+    return rows
+
+
 def _contexts(automaton, text: str) -> set[str]:
     """The words around each hit: the whole word, with the one before it and with the one after it."""
     found = set()
@@ -263,7 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = FITTED, exceptions: I
         return Lexicon({}, {}, (-50.0, 0.0, 0.0))
     counts = _counts(texts, lambda text: beginnings(text.split()))
     frequent = counts.where((F.col("toxic") >= max(3, math.ceil(LEAST_SHARE * n_toxic))) & (F.col("toxic") * (n_clean + 1) > 8 * F.col("clean") * (n_toxic + 1)))
-    rows = frequent.orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS).collect()
+    rows = _bounded(frequent)
     documents = _terms_within(texts.where("toxic = 1"), {r.term for r in rows})
     lexicon = Lexicon(_chosen_terms(rows, documents, n_toxic, n_clean), dict.fromkeys(folded(x).strip() for x in exceptions), (0.0, 0.0, 0.0))
 
@@ -275,8 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = FITTED, exceptions: I
         return _contexts(around[0], text)
 
     spared = _counts(texts, contexts).where((F.col("clean") >= 3) & (F.col("clean") * (n_toxic + 1) > 5 * F.col("toxic") * (n_clean + 1)))
-    found = spared.orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS).collect()
-    lexicon.exceptions |= dict.fromkeys(r.term for r in found if r.term not in lexicon.weights)
+    lexicon.exceptions |= dict.fromkeys(sorted(r.term for r in _bounded(spared) if r.term not in lexicon.weights))
     sample = scored(texts, lexicon, measured=True).select("toxic", "x", "y").toPandas()  # at most 2 * limit rows
     y = sample["toxic"].to_numpy(float)
     everyone = {r.toxic: r["count"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
@@ -314,6 +330,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
     Labels of documents whose crc32(doc_id as text) is divisible by ``folds`` are not learned from.
+    NULL and empty texts score as texts without hits; a NULL doc_id is not held out. Repeated rows
+    score alike, each for itself; labels that repeat a doc_id count once, as toxic if any is. Other
+    columns, also those named like the result's, are not read. An empty ``docs`` gives an empty
+    result, labels without a toxic one scores of 0.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     lexicon = learn(docs, labels.select("doc_id", "toxic").where(~held))

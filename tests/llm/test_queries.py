@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -51,6 +52,31 @@ def test_stages(spark):
         if name != "mix_sources":
             assert out.count() == out.select("doc_id").distinct().count() < docs.count(), name
         docs = out
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
-    assert packed.where("start = 0").count() == docs.count()
-    assert packed.selectExpr("max(offset + length)").first()[0] <= 2048
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).cache()
+    assert packed.selectExpr("explode(pieces) as p").where("p.start = 0").count() == docs.count()
+    assert packed.selectExpr("max(tokens)", "min(tokens)").first()[0] == 2048
+
+
+def text(rng, n):
+    return " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    """run() on NULLs in every column, empty and very long texts, copies, repeated rows and further columns."""
+    rng = np.random.default_rng(1)
+    plain = [text(rng, 80) for _ in range(40)]
+    rows = [(k, t, "en", f"s{k % 3}", len(t), 1.0) for k, t in enumerate(plain)]
+    rows += [(100, plain[3].upper(), None, "s1", None, None), (101, plain[4] + " more", "en", "s2", 5, 2.0), (102, None, None, None, None, None), (103, "", "en", "s0", 0, 0.0)]
+    rows += [(104, text(rng, 120_000), "en", None, 1, 1.0), (None, text(rng, 50), "en", "s1", 1, 1.0), rows[7], rows[7], (105, "w1 " * 500, "en", "s0", 1, 1.0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size double").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {p.doc_id for r in got for p in r.pieces}
+    assert sum(r.tokens for r in got) == sum(p.length for r in got for p in r.pieces) and len(got) == max(r.sequence_id for r in got) + 1
+    assert 100 in kept and 3 not in kept  # of exact copies the largest id stays
+    assert 4 in kept and 101 not in kept  # of near copies the least
+    assert not kept & {102, 103, 105} and 104 in kept and None in kept  # too short, or one repeated word
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -66,6 +66,26 @@ def test_hits_against_brute_force():
         assert [w for _, w in got] == [terms[t] for t in best if t]
 
 
+def test_exceptions_that_nest_and_overlap():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        words = rng.choice(["ab", "abc", "b", "c"], 25).tolist()
+        phrases = {" ".join(rng.choice(["ab", "abc", "b", "c"], int(n)).tolist()) for n in rng.integers(1, 4, 3)}
+        lexicon = tox.Lexicon({"ab": 1.0, "b ": 2.0}, dict.fromkeys(phrases), (0.0, 1.0, 1.0))
+        text = f" {' '.join(words)} "
+        spared = [(at, at + len(p) + 1) for p in phrases for at in range(len(text)) if text.startswith(f" {p} ", at)]
+        places = [k + 1 for k, c in enumerate(text) if c == " " and (text.startswith(" ab", k) or text.startswith(" b ", k))]
+        want_ = [at for at in places if not any(a <= at - 1 and at <= b for a, b in spared)]
+        assert [at for at, _ in tox.hits(lexicon.automaton(), text)] == want_
+
+
+def test_no_limit_on_terms(spark, documents, monkeypatch, labelled):
+    rows, labels = labelled
+    monkeypatch.setattr(tox, "MOST_TERMS", 5)
+    with pytest.raises(ValueError, match="more than 5 terms"):
+        tox.toxicity(documents(rows), spark.createDataFrame(labels, LABEL))
+
+
 def test_folding():
     assert tox.folded("St​upid stup1d $tupid ѕtupid ｓｔｕｐｉｄ 2015 STUPID!!") == " stupid stupid stupid stupid stupid 2015 stupid "
     assert tox.folded("") == "  " and math.isclose(tox.curve_score((0.0, 1.0, 1.0), (0.0, 0.0)), 0.5)
