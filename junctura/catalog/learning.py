@@ -130,6 +130,21 @@ def verified(spark, sf):
     return _round(test.unionByName(found.verification_scores().select(F.lit("verify").alias("role"), "*")), "accuracy", *RATES)
 
 
+def _verified(model, width=None):
+    def run(spark, sf):
+        table = binary_table(spark, sf)
+        if width:
+            table = table.withColumn("features", F.slice("features", 1, width))
+        table = cut_lineage(split_train_test(table, 0.3, seed=9))
+        used, unused = (table.where(F.col("role") == r) for r in ("train", "test"))
+        found = run_classifier(used, model, 1000, verify=unused)
+        test = found.scores().select(F.lit("test").alias("role"), "*")
+        return _round(test.unionByName(found.verification_scores().select(F.lit("verify").alias("role"), "*")), "accuracy", *RATES)
+
+    run.__doc__ = f"{model} on the same thousand splits as ``verified``."
+    return run
+
+
 def two_stage(spark, sf):
     positions, found = two_stage_regression(binary_table(spark, sf), top=20)
     kept = F.lit(len(positions)).alias("features")
@@ -260,6 +275,39 @@ ROLE_SCORES = """SELECT role, round(avg(CASE WHEN actual = predicted THEN 1.0 EL
   round(coalesce(2 * sum(CAST(actual = 1 AND predicted = 1 AS INT)) / nullif(sum(predicted) + sum(actual), 0), 0), 6) AS f1
 FROM said GROUP BY role"""
 
+#: (split, role, row_id, class, vec) of the thousand splits and of the rows that none of them trains with.
+SPLIT_ROWS = (
+    *SPLIT_CELLS[:-1],
+    """placed AS (
+  SELECT split, row_id, class, vec, CASE WHEN r <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS role FROM drawn
+  UNION ALL SELECT CAST(s AS INTEGER), row_id, class, vec, 'verify' FROM unused, range(1000) q(s))""",
+)
+NEIGHBOUR_VOTE = (
+    "far AS (SELECT a.row_id, b.row_id AS neighbor, list_distance(a.vec, b.vec) AS dist FROM rows a JOIN rows b ON a.row_id <> b.row_id)",
+    """near AS (SELECT a.split, a.role, a.row_id, a.class AS actual, b.class AS vote FROM placed a JOIN placed b ON b.split = a.split AND b.role = 'train'
+  JOIN far ON far.row_id = a.row_id AND far.neighbor = b.row_id WHERE a.role <> 'train'
+  QUALIFY row_number() OVER (PARTITION BY a.split, a.role, a.row_id ORDER BY dist, neighbor) <= 3)""",
+    "said AS (SELECT split, role, row_id, any_value(actual) AS actual, CASE WHEN sum(vote) >= 2 THEN 1 ELSE 0 END AS predicted FROM near GROUP BY 1, 2, 3)",
+)
+
+
+def discriminant_sql(pooled: bool) -> tuple[str, ...]:
+    """CTEs to the class said by a discriminant of the first two numbers, its 2 x 2 matrices inverted by hand."""
+    own = "sum((n - 1) * {0}) OVER w / (sum(n) OVER w - count(*) OVER w)" if pooled else "{0}"
+    return (
+        "flat AS (SELECT split, role, row_id, class, vec[1] AS x, vec[2] AS y FROM placed)",
+        """moments AS (SELECT split, class, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy
+  FROM flat WHERE role = 'train' GROUP BY 1, 2)""",
+        f"""spread AS (SELECT split, class, mx, my, ln(n / sum(n) OVER w) AS prior, {own.format('xx')} AS xx, {own.format('yy')} AS yy, {own.format('xy')} AS xy
+  FROM moments WINDOW w AS (PARTITION BY split))""",
+        "ridged AS (SELECT * REPLACE (xx + 1e-9 * (xx + yy) / 2 AS xx, yy + 1e-9 * (xx + yy) / 2 AS yy) FROM spread)",
+        """scores AS (SELECT f.split, f.role, f.row_id, f.class AS actual, m.class AS predicted, prior - 0.5 * ln(xx * yy - xy * xy)
+    - 0.5 * (yy * (x - mx) * (x - mx) - 2 * xy * (x - mx) * (y - my) + xx * (y - my) * (y - my)) / (xx * yy - xy * xy) AS s
+  FROM flat f JOIN ridged m USING (split) WHERE f.role <> 'train')""",
+        "said AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY split, role, row_id ORDER BY s DESC, predicted) = 1)",
+    )
+
+
 VOCABULARY = (t.PROTEINS, t.FRAMES, t.WORDS, "known AS (SELECT word FROM words GROUP BY word HAVING count(*) >= 2)")
 
 QUERIES = {
@@ -336,6 +384,9 @@ SELECT lang, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c"
     "ml_qda": (_predict("QDA", binary_table), None),
     "ml_lda": (_predict("LDA", labelled_table), None),
     "verified_scores": (verified, t.with_ctes(t.VECTORS, t.SUBJECTS, BINARY_ROWS, *SPLIT_CELLS, *bayes_sql("split"), body=ROLE_SCORES)),
+    "verified_neighbours": (_verified("kNN"), t.with_ctes(t.VECTORS, t.SUBJECTS, BINARY_ROWS, *SPLIT_ROWS, *NEIGHBOUR_VOTE, body=ROLE_SCORES)),
+    "verified_lda": (_verified("LDA", 2), t.with_ctes(t.VECTORS, t.SUBJECTS, BINARY_ROWS, *SPLIT_ROWS, *discriminant_sql(True), body=ROLE_SCORES)),
+    "verified_qda": (_verified("QDA", 2), t.with_ctes(t.VECTORS, t.SUBJECTS, BINARY_ROWS, *SPLIT_ROWS, *discriminant_sql(False), body=ROLE_SCORES)),
     "two_stage_regression": (two_stage, None),
     "model_comparison": (compared, None),
     "accuracy_by_dimension": (by_dimension, None),

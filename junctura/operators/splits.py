@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.functions.vectors import stack
@@ -279,7 +279,7 @@ def fits(tasks: list, run: Callable) -> list:
     if not tasks:
         return []
     with ThreadPool(min(FITS, len(tasks))) as pool:
-        return pool.map(inheritable_thread_target(run), tasks)
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(run), tasks)
 
 
 def fitted_on_splits(rows: DataFrame, others: DataFrame | None, estimator, repeats: int, coefficients: bool) -> tuple[DataFrame, DataFrame | None, list]:
