@@ -90,8 +90,8 @@ def ngram_coverage(spark, sf):
     return all_ngrams(spark, 2).join(seen, "Ngram", "left").select("Ngram", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def given_embedding(spark, sf, min_count):
-    corpus = build_corpus(t.proteins(spark, sf), 3, text="JUNC_AA")
+def given_embedding(spark, sf, min_count, n=3):
+    corpus = build_corpus(t.proteins(spark, sf), n, text="JUNC_AA")
     return cut_lineage(t.vocabulary_numbers(vocabulary(corpus, min_count)))
 
 
@@ -137,9 +137,12 @@ def ngram_embedding(spark, sf):
     return _position_rows(joined, "Ngram", "n")
 
 
+LENGTHS = range(3, 9)
+
+
 def embed_many(spark, sf):
-    """One table under two models."""
-    models = [("common", 3, given_embedding(spark, sf, 20)), ("all", 3, given_embedding(spark, sf, 1))]
+    """One table under a model for each n-gram length from 3 to 8."""
+    models = [(f"n{n}", n, given_embedding(spark, sf, 2, n)) for n in LENGTHS]
     found = embed_with_models(t.proteins(spark, sf), models)
     return found.groupBy("model_id").agg(F.count("*").alias("n"), F.sum(F.col("vec")[0]).alias("first"))
 
@@ -356,12 +359,15 @@ LEFT JOIN words w ON w.word = a.l || b.l GROUP BY 1""",
     "embed_many_models": (
         embed_many,
         t.with_ctes(
-            *BASE,
-            CODED,
-            _vector_sql(1, 20),
-            _vector_sql(1, 1).replace("summed AS", "summed_all AS"),
-            body="""SELECT 'common' AS model_id, count(*) AS n, sum(v1) AS first FROM summed
-UNION ALL SELECT 'all', count(*), sum(v1) FROM summed_all""",
+            t.PROTEINS,
+            "lengths AS (SELECT CAST(unnest(range(3, 9)) AS INTEGER) AS size)",
+            "pieces AS (SELECT size, row_id, f AS frame, "
+            "unnest(range(f, length(JUNC_AA) - size + 2, size)) AS start, JUNC_AA FROM proteins, lengths, (VALUES (1), (2), (3)) v(f))",
+            "grams AS (SELECT size, row_id, frame, substr(JUNC_AA, start, size) AS word FROM pieces)",
+            "common AS (SELECT size, word FROM grams GROUP BY size, word HAVING count(*) >= 2)",
+            """whole AS (SELECT g.size, row_id, sum(ascii(g.word) - 64) AS v1 FROM grams g LEFT JOIN common c ON c.size = g.size AND c.word = g.word
+  WHERE frame = 1 GROUP BY g.size, row_id HAVING count(c.word) = count(*))""",
+            body="SELECT 'n' || size AS model_id, count(*) AS n, CAST(sum(v1) AS DOUBLE) AS first FROM whole GROUP BY size",
         ),
     ),
     "unembedded_share": (

@@ -45,6 +45,7 @@ def with_replacement(spark, sf):
 
 
 def stratified(spark, sf):
+    """Ten of each family. The smallest tables have families of fewer than twenty unambiguous reads, which raise."""
     found = unambiguous(add_family(t.reads(spark, sf)))
     return family_sample(found, ("IGHV1", "IGHV3", "IGHV4"), 10).select("row_id", "V_FAMILY", "family_number")
 
@@ -63,7 +64,7 @@ def fold_rows(spark, sf):
 
 def repeats(spark, sf):
     people = _lines(spark, sf).select(F.col("user_id").alias("row_id")).distinct()
-    return repeated_splits(people, 20, 0.2, seed=5).select("split", "row_id", "role")
+    return repeated_splits(people, 1000, 0.2, seed=5).select("split", "row_id", "role")
 
 
 def labelled_rows(spark, sf):
@@ -144,7 +145,7 @@ FROM events JOIN own ON own.user_id = events.user_id, range(5) q(f)""",
         repeats,
         t.with_ctes(
             PEOPLE,
-            "copies AS (SELECT row_id, CAST(s AS INTEGER) AS split FROM people, range(20) q(s))",
+            "copies AS (SELECT row_id, CAST(s AS INTEGER) AS split FROM people, range(1000) q(s))",
             ranked("copies", "('5:' || split)", "split"),
             body="SELECT split, row_id, CASE WHEN r <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS role FROM ranked",
         ),

@@ -25,7 +25,9 @@ def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
-    plain = F.regexp_replace("text", "[^A-Za-z0-9]", "")
+    # the stripped text is worked out once a row: an expression would be repeated in every filter that uses it
+    docs = docs.select("*", F.explode_outer(F.array(F.regexp_replace("text", "[^A-Za-z0-9]", ""))).alias("plain"))
+    plain = F.col("plain")
     number = lambda c, m: F.pmod(F.col(c), F.lit(m)).cast("string")
     first = F.concat(F.lit("IGHV"), number("n_chars", 7), F.lit("-"), number("n_chars", 50), F.lit("*01"))
     second = F.concat(F.lit(",IGHV"), number("doc_id", 7), F.lit("-2*03"))
@@ -34,7 +36,8 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             F.col("doc_id").alias("row_id"),
             F.concat(F.lit("read"), F.col("doc_id").cast("string")).alias("SEQUENCE_ID"),
-            F.when(F.col("lang") == "en", "T").otherwise("F").alias("FUNCTIONAL"),
+            # a comparison without NULL, so that a filter on it reaches the scan as one on lang
+            F.when(F.col("lang").eqNullSafe("en"), "T").otherwise("F").alias("FUNCTIONAL"),
             F.length(plain).cast("int").alias("JUNCTION_LENGTH"),
             "JUNCTION",
             (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).cast("int").alias("CONSCOUNT"),
@@ -77,12 +80,11 @@ TRANSLATED = f"""translated AS (
 
 def proteins(spark: SparkSession, sf: str) -> DataFrame:
     """(row_id, FILENAME, JUNC_AA): every document's amino-acid letters."""
-    ascii_only = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     return documents(spark, sf, "doc_id", "text", "lang", "source").select(
         F.col("doc_id").alias("row_id"),
         F.col("source").alias("FILENAME"),
         "lang",
-        F.regexp_replace(ascii_only, f"[^{ACIDS}]", "").alias("JUNC_AA"),
+        F.upper(F.regexp_replace("text", f"[^{ACIDS}{ACIDS.lower()}]", "")).alias("JUNC_AA"),
     )
 
 

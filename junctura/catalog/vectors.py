@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
 from junctura.catalog import tables as t
@@ -231,6 +234,28 @@ def pca(spark, sf):
     )
 
 
+def pca_rules(spark, sf):
+    """Whether all 64 components are what they are called, held against a correlation matrix of another path.
+
+    ``trace`` and ``squares`` are the sums of the eigenvalues, from the explained shares, and of
+    their squares; the matrix has the same.
+    """
+    rows = t.vectors(spark, sf).select("row_id", "vec")
+    fitted = fit_pca(rows, 64)
+    shares, axes = np.array(fitted.explained), fitted.model.stages[-1].pc.toArray()
+    matrix = Correlation.corr(rows.select(array_to_vector("vec").alias("v")), "v").first()[0].toArray()
+    values = shares * len(matrix)
+    off = np.abs(matrix @ axes - axes * values).max()
+    found = (float(values.sum()), float((values**2).sum()), bool(off < 1e-6), bool(np.abs(axes.T @ axes - np.eye(len(axes))).max() < 1e-9), bool((np.diff(values) <= 1e-9).all()))
+    out = spark.createDataFrame([found], "trace double, squares double, eigenvectors boolean, orthonormal boolean, falling boolean")
+    return _round(out, "trace", "squares")
+
+
+def pca_explained(spark, sf):
+    """The share of the variance that each of 64 components explains, and of all so far."""
+    return _round(fit_pca(t.vectors(spark, sf).select("row_id", "vec"), 64).explained_table(spark), "share", "cumulative")
+
+
 def pca_norm(spark, sf):
     """Length of every row over all components: a rotation keeps that of the standardised row."""
     rows = t.vectors(spark, sf).select("row_id", "vec")
@@ -470,6 +495,17 @@ QUALIFY row_number() OVER (PARTITION BY v.row_id ORDER BY list_distance(v.vec, c
         ),
     ),
     "pca": (pca, None),
+    "pca_explained": (pca_explained, None),
+    "pca_rules": (
+        pca_rules,
+        t.with_ctes(
+            t.VECTORS,
+            "cells AS (SELECT row_id, p, vec[p + 1] AS x FROM vectors, range(64) q(p))",
+            "matrix AS (SELECT a.p AS i, b.p AS j, corr(a.x, b.x) AS r FROM cells a JOIN cells b USING (row_id) GROUP BY 1, 2)",
+            body="""SELECT round(sum(r) FILTER (i = j), 6) AS trace, round(sum(r * r), 6) AS squares, true AS eigenvectors, true AS orthonormal, true AS falling
+FROM matrix""",
+        ),
+    ),
     "pca_norm": (
         pca_norm,
         t.with_ctes(

@@ -25,15 +25,19 @@ from junctura.session import cut_lineage
 # fixed values: the models compared with each other, and those compared over dimensions
 MODELS = ("kNN", "LSVM", "RBF_SVM", "DT", "RF", "ADA", "NB")
 DIMENSION_MODELS = (("DT", {"max_depth": None}), ("kNN", {"k": 5}))
+#: Columns a matrix may have; their names are a table on the driver.
+MOST_COLUMNS = 100_000
 COEFFICIENTS = "split int, class int, position int, coef double"
 def feature_matrix(table: DataFrame, subject: str, features: Sequence | None = None) -> tuple[DataFrame, list]:
     """Long (subject, feature, freq) as (subject, features array); absent cells are 0.
 
     Returns the matrix and the order of its columns. Pass ``features`` to give a second
-    table the columns of the first.
+    table the columns of the first. More features than MOST_COLUMNS raise ValueError.
     """
     if features is None:
-        rows = table.where(F.col("feature").isNotNull()).select("feature").distinct().orderBy("feature").collect()
+        rows = table.where(F.col("feature").isNotNull()).select("feature").distinct().orderBy("feature").limit(MOST_COLUMNS + 1).collect()
+        if len(rows) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} features")
         features = [row[0] for row in rows]
     order = table.sparkSession.createDataFrame(
         [(f, i) for i, f in enumerate(features)], f"feature {table.schema['feature'].dataType.simpleString()}, _at int"

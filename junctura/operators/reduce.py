@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +27,11 @@ class Reduction:
     model: PipelineModel
     explained: list[float]
 
+    def explained_table(self, spark: SparkSession) -> DataFrame:
+        """(component, share, cumulative): how much of the variance each component explains, from 0."""
+        so_far = accumulate(self.explained)
+        return spark.createDataFrame(list(zip(range(len(self.explained)), self.explained, so_far, strict=True)), "component int, share double, cumulative double")
+
     def transform(self, vectors: DataFrame, dims: int | None = None, vec: str = "vec") -> DataFrame:
         """Replace ``vec`` by its components; ``dims`` keeps the leading ones only."""
         out = self.model.transform(vectors.withColumn("_raw", array_to_vector(vec)))

@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
+from junctura.catalog import all_queries, all_sql
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -33,6 +34,7 @@ def tidy(table: pd.DataFrame) -> pd.DataFrame:
 
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 100
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -47,6 +49,13 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_read_filters_reach_the_scan(spark):
+    """The language filter is pushed down, and the stripped text is worked out once a row."""
+    plan = QUERIES["reads_filter"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters: [") :].split("]")[0]
+    assert "lang" in pushed and plan.count("regexp_replace(text") == 1
+
+
 def test_entry(spark):
     result = entry_module.entry(spark)
     assert result.columns == ["FILENAME", "feature", "n", "freq"] and result.count() > 0
