@@ -27,6 +27,10 @@ REVISIT_FROM = 1000
 ARCHIVE_BYTES, RANGE_BYTES = 256 << 20, 16 << 20
 #: Revisits up to this many (some 100 bytes each) are sent to every task.
 SENT_REVISITS = 200_000
+#: Tables of more jumps than this (24 bytes each) meet in merge joins, whatever the planner thinks of their size.
+SENT_JUMPS = 500_000
+#: Tasks that read archives, for each core; a task reads several byte ranges where there are more.
+WAVES = 64
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ARCHIVES = "path string, bytes long, records long"
@@ -154,7 +158,13 @@ def candidates(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                 if ats:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(ats), pa.string()), pa.array(ats, pa.int64()), pa.array(nexts, pa.int64())], ["path", "at", "next"])
 
-    return ranges.repartition("path", "start").mapInArrow(run, "path string, at long, next long")
+    return ranges.repartition(_tasks(archives.agg(F.sum("bytes")), range_bytes), "path", "start").mapInArrow(run, "path string, at long, next long")
+
+
+def _tasks(total: DataFrame, range_bytes: int) -> int:
+    """As many tasks as there are ranges in so many bytes. A stated number isn't merged at run time,
+    when only the small rows that name the ranges are seen."""
+    return min(max(1, -(-(total.first()[0] or 0) // range_bytes)), WAVES * total.sparkSession.sparkContext.defaultParallelism)
 
 
 def reachable(found: DataFrame, archives: DataFrame) -> DataFrame:
@@ -165,16 +175,18 @@ def reachable(found: DataFrame, archives: DataFrame) -> DataFrame:
     """
     files = stored(archives.select("path", "bytes", F.xxhash64("path").alias("file")), "files")
     found = stored(found.join(files, "path").select("file", "at", "next"), "candidates")
+    large = found.count() > SENT_JUMPS
+    met = lambda rows: rows.hint("merge") if large else rows
     here = found.select(F.col("file").alias("_file"), F.col("at").alias("_at"))
-    jumps = stored(found.join(here, (F.col("file") == F.col("_file")) & (F.col("next") == F.col("_at"))).select("file", "at", F.col("next").alias("to")), "jumps")
+    jumps = stored(found.join(met(here), (F.col("file") == F.col("_file")) & (F.col("next") == F.col("_at"))).select("file", "at", F.col("next").alias("to")), "jumps")
     reached = stored(found.where("at = 0").select("file", "at"), "reached")
     while jumps.limit(1).count():
         step = jumps.select(F.col("file").alias("_file"), F.col("at").alias("_at"), "to")
-        further = reached.join(step, (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at"))).select("file", F.col("to").alias("at"))
+        further = reached.join(met(step), (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at"))).select("file", F.col("to").alias("at"))
         reached = stored(reached.unionByName(further), "reached")
-        twice = jumps.withColumnRenamed("to", "_mid").join(step, (F.col("file") == F.col("_file")) & (F.col("_mid") == F.col("_at")))
+        twice = jumps.withColumnRenamed("to", "_mid").join(met(step), (F.col("file") == F.col("_file")) & (F.col("_mid") == F.col("_at")))
         jumps = stored(twice.select("file", "at", "to"), "jumps")
-    chain = stored(found.join(reached, ["file", "at"], "left_semi"), "chain")
+    chain = stored(found.join(met(reached), ["file", "at"], "left_semi"), "chain")
     ends = chain.groupBy("file").agg(F.max("next").alias("end"))
     broken = files.join(ends, "file", "left").where((F.col("bytes") > 0) & ~F.col("end").eqNullSafe(F.col("bytes"))).select("path").take(3)
     if broken:
@@ -211,7 +223,8 @@ def read_records(chain: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             file.close()
 
     part = F.floor(F.col("at") / range_bytes)
-    placed = chain.withColumn("part", part).repartition("path", "part").sortWithinPartitions("path", "at")
+    tasks = _tasks(chain.agg(F.sum(F.col("next") - F.col("at"))), range_bytes)
+    placed = chain.withColumn("part", part).repartition(tasks, "path", "part").sortWithinPartitions("path", "at")
     return placed.select("path", "at", "next").mapInArrow(run, RECORDS)
 
 

@@ -110,3 +110,22 @@ def test_false_headers_are_candidates_but_not_reached(spark):
     cut = archives.withColumn("bytes", F.col("bytes") - 1)
     with pytest.raises(ValueError, match="last byte"):
         warc.reachable(found, cut)
+
+
+def test_archives_are_read_in_as_many_tasks_as_ranges(spark):
+    """The rows that name ranges and records are small; what counts is the bytes behind them."""
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 1000) for k in range(200)], PAGE).repartition(2)
+    archives = warc.write_archives(warc.with_refers(pages), new_path(spark, "warc"), 1 << 18)
+    span = 1 << 15
+    ranges = -(-archives.agg(F.sum("bytes")).first()[0] // span)
+    found = warc.candidates(archives, span)
+    chain = warc.reachable(found, archives)
+    assert found.rdd.getNumPartitions() == warc.read_records(chain, span).rdd.getNumPartitions() == ranges > 10
+    assert warc.read_records(chain, span).count() == 200
+
+
+def test_large_jump_tables_meet_in_merge_joins(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SENT_JUMPS", 3)
+    rows = [(k, "u", f"page {k}") for k in range(40)]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, PAGE)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want(rows)
