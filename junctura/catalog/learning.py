@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from junctura.catalog import tables as t
 from junctura.catalog.sampling import ranked
-from junctura.operators.classify import make_classifier
+from junctura.operators.classify import RandomFourierSVM, make_classifier
 from junctura.operators.corpus import build_corpus
 from junctura.operators.embedding import embedding_table, sequence_vectors, train_embedding
 from junctura.operators.evaluate import (
@@ -145,6 +145,12 @@ def _verified(model, width=None):
     return run
 
 
+def kernel_error(spark, sf):
+    """Whether the features of the RBF machine give its kernel to two hundredths on average, and on how many pairs."""
+    components, error, rows = RandomFourierSVM().chosen(binary_table(spark, sf))
+    return spark.createDataFrame([(rows * (rows - 1), components >= 200, error <= 0.02)], "pairs long, features boolean, close boolean")
+
+
 def two_stage(spark, sf):
     positions, found = two_stage_regression(binary_table(spark, sf), top=20)
     kept = F.lit(len(positions)).alias("features")
@@ -379,6 +385,10 @@ SELECT lang, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c"
     "ml_random_forest": (_predict("RF", binary_table), None),
     "ml_linear_svm": (_predict("LSVM", binary_table), None),
     "ml_rbf_svm": (_predict("RBF_SVM", binary_table), None),
+    "rbf_kernel_error": (
+        kernel_error,
+        "WITH n AS (SELECT least(256, count(*)) AS k FROM embeddings) SELECT CAST(k * (k - 1) AS BIGINT) AS pairs, true AS features, true AS close FROM n",
+    ),
     "ml_neural_net": (_predict("MLP", binary_table), None),
     "ml_adaboost": (_predict("ADA", binary_table), None),
     "ml_qda": (_predict("QDA", binary_table), None),

@@ -300,3 +300,16 @@ def test_registered_embedding_is_trained_whole(monkeypatch):
     monkeypatch.setattr(learning, "train_embedding", lambda corpus, **k: seen.update(k))
     learning._model(None, "")
     assert seen.get("iterations", 5) == 5
+
+
+def test_kernel_features_are_added_until_they_are_close(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 5)) * 0.5
+    table = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "row_id long, features array<double>, class int")
+    loose, tight = K.RandomFourierSVM(max_error=1.0), K.RandomFourierSVM(max_error=0.01)
+    assert loose.chosen(table)[0] == 200
+    components, error, rows = tight.chosen(table)
+    assert components > 200 and error <= 0.01 and rows == 120
+    z = tight.mapped(x, tight.directions(5, components))
+    true = np.exp(-2.0 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.abs(z @ z.T - true).mean() < 0.011
