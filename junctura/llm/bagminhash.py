@@ -40,6 +40,8 @@ MEMBERS = 64
 #: Ids or pairs up to this many (16 to 24 bytes each) are sent to the texts; more meet them in a shuffle.
 SENT = 2_000_000
 BLOCK = 2048
+#: Members of a bucket that go by one key; larger buckets are dealt over several keys (bucket, salt).
+DEALT = 512
 SIGNATURES = "doc_id long, digest binary, bands array<long>"
 GOLD, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -219,16 +221,18 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def _rest_pairs(rest: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs worth verifying in buckets that span components.
 
-    ``rest``: (bucket, doc_id, root, inner); members that are not ``inner`` meet all members of
+    ``rest``: (bucket, salt, salts, doc_id, root, inner); members that are not ``inner`` meet all members of
     another component, a block of signatures against a block at a time. A pair is emitted in the
     least bucket that it shares.
     """
     least = (threshold - MARGIN) * FINE_SLOTS
     blocks = rest.groupBy("bucket").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"), F.ceil(F.sum((~F.col("inner")).cast("int")) / BLOCK).cast("int").alias("outer")
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"),
+        F.ceil(F.sum((~F.col("inner")).cast("int")) / BLOCK).cast("int").alias("outer"),
+        F.max("salts").alias("salts"),
     )
     shared = rest.groupBy("doc_id").agg(F.collect_set("bucket").alias("shared"))  # at most BANDS each
-    rows = rest.join(blocks, "bucket").join(sketches, "doc_id").join(shared, "doc_id")
+    rows = rest.drop("salts").join(_every_salt(blocks), DEAL).join(sketches, "doc_id").join(shared, "doc_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n).cast("long")).cast("int")
     data = rows.select("bucket", own("all").alias("at"), every("outer").alias("by"), F.lit(0).alias("role"), "doc_id", "root", "inner", "sketch", "shared")
@@ -271,30 +275,65 @@ def _rest_pairs(rest: DataFrame, sketches: DataFrame, threshold: float) -> DataF
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+DEAL = ["bucket", "salt"]
+
+
+def _shared(bands: DataFrame) -> DataFrame:
+    """(bucket, salt, salts, doc_id, n) of the buckets with several members, n of them.
+
+    Members of a large bucket are dealt over ``salts`` keys. The large buckets, at most one per
+    DEALT rows, are sent to the members while they are few.
+    """
+    sizes = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / DEALT).cast("int")), "sizes")
+    large = stored(sizes.where("salts > 1").select(F.col("bucket").alias("_bucket"), F.col("salts").alias("_salts")), "large")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_salts").cast("long")), F.lit(0)).cast("int").alias("salt")
+    dealt = bands.join(_sent(large, large.count()), F.col("bucket") == F.col("_bucket"), "left").select("bucket", salt, "doc_id")
+    return stored(dealt.join(_every_salt(sizes), DEAL), "shared")
+
+
+def _every_salt(rows: DataFrame) -> DataFrame:
+    """A row per bucket (with ``salts``) as a row for each of its keys."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
 def _spanning(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, doc_id, root) of the buckets whose members have several roots."""
+    """(bucket, salt, salts, doc_id, root) of the buckets whose members have several roots."""
     rooted = buckets.join(roots.select(F.col("node").alias("_node"), "root"), F.col("doc_id") == F.col("_node"), "left")
-    rooted = rooted.select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    return stored(rooted.join(several, "bucket"), "spanning")
+    rooted = rooted.select(*DEAL, "salts", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("salts").alias("salts")).where("x <> y")
+    return stored(rooted.drop("salts").join(_every_salt(several).select(*DEAL, "salts"), DEAL), "spanning")
+
+
+def _one_text(texts: DataFrame) -> DataFrame:
+    """A row per doc_id. Texts of ids that stand once, nearly all, are not shuffled."""
+    ids = stored(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
+    size = ids.count()
+    if not size:
+        return texts
+    again = _sent(ids, size)
+    once = texts.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    least = texts.join(again, F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return once.unionByName(least)
 
 
 def near_links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root): components of different texts; ``signatures`` has one row per different text."""
     bands = stored(signatures.select("doc_id", F.explode("bands").alias("bucket")).distinct(), "bands")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(bands.join(shared, "bucket"), "shared")
+    shared = _shared(bands)
     central = shared.groupBy("doc_id").agg(F.sum("n").alias("popularity"))
-    buckets = stored(shared.join(central, "doc_id").select("bucket", "doc_id", "popularity"), "buckets")
+    buckets = stored(shared.join(central, "doc_id").select(*DEAL, "salts", "doc_id", "popularity"), "buckets")
     candidates = stored(buckets.select("doc_id").distinct(), "candidates")
-    texts = stored(docs.select("doc_id", "text").join(_sent(candidates, candidates.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # rows that repeat a doc_id with other texts: the least text speaks for the id, whichever task reads it
+    texts = docs.select("doc_id", "text").join(_sent(candidates, candidates.count()), "doc_id", "left_semi")
+    texts = stored(_one_text(texts), "texts")
     place = F.struct("popularity", -F.col("doc_id"))
-    leader = buckets.groupBy("bucket").agg((-F.max(place)["col2"]).alias("a"))
-    star = buckets.join(leader, "bucket").where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
+    leader = buckets.groupBy("bucket").agg((-F.max(place)["col2"]).alias("a"), F.max("salts").alias("salts"))
+    star = buckets.drop("salts").join(_every_salt(leader), DEAL).where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
     links = stored(verified(stored(star, "pairs"), texts, threshold), "links")
     spanning = _spanning(buckets, components(links))
-    largest = spanning.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
-    rest = stored(spanning.join(largest, "bucket").select("bucket", "doc_id", "root", (F.col("root") == F.col("top")).alias("inner")), "rest")
+    counted = spanning.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"))
+    largest = counted.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("salts").alias("salts"))
+    rest = stored(spanning.drop("salts").join(_every_salt(largest), DEAL).select(*DEAL, "salts", "doc_id", "root", (F.col("root") == F.col("top")).alias("inner")), "rest")
     sketches = stored(fine_sketches(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")), "sketches")
     pairs = stored(_rest_pairs(rest, sketches, threshold), "pairs")
     return components(stored(links.unionByName(verified(pairs, texts, threshold)), "links"))
