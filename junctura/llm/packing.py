@@ -140,21 +140,41 @@ def sequences(pieces: DataFrame, length: int = 2048) -> DataFrame:
     return whole.withColumn("ids", F.when(power, F.col("ids")).otherwise(F.concat("ids", padding)))
 
 
+#: Bytes of ids in a chunk; windows that lie whole in one are put together where they are.
+CHUNK = 1 << 20
 CHUNKS = "part int, first long, n long, doc_ids array<long>, lengths array<long>, ids binary"
 WHOLE = "sequence_id long, tokens long, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint>>"
 
 
 def chunked(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
-    """``encode_documents`` with the rows of some BATCH bytes of ids put together in one."""
+    """The ids of ``encode_documents`` with those of several documents, some CHUNK bytes, in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # at most about BATCH bytes, or one document
-            lengths = batch.column(3).to_numpy()
-            ids = b"".join(batch.column(4).to_pylist())
-            columns = [batch.column(1)[:1], batch.column(2)[:1], pa.array([int(lengths.sum())]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids], pa.binary())], [f.split()[0] for f in CHUNKS.split(", ")])
+        encode = encoders(vocabulary, ranks)
+        part, place, size = TaskContext.get().partitionId(), 0, 0
+        doc_ids, lengths, held = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            n = sum(lengths)
+            row = [[part], [place - n], [n], [doc_ids], [lengths], [b"".join(held)]]
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], [f.split()[0] for f in CHUNKS.split(", ")])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = np.array([*encode(text.as_py() or ""), END], dtype="<u4")
+                doc_ids.append(doc_id.as_py())
+                lengths.append(len(found))
+                held.append(found.tobytes())
+                place += len(found)
+                size += 4 * len(found)
+                if size >= CHUNK:
+                    yield flush()
+                    doc_ids, lengths, held, size = [], [], [], 0
+        if lengths:
+            yield flush()
 
-    return encode_documents(docs, vocabulary, ranks).mapInArrow(run, CHUNKS)
+    return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
 
 
 def _windows(chunks: DataFrame, length: int, whole: bool) -> DataFrame:
@@ -162,7 +182,7 @@ def _windows(chunks: DataFrame, length: int, whole: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, n, doc_ids, lengths, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for begin, n, doc_ids, lengths, ids in (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows)):
                 ends = begin + np.cumsum(np.array(lengths, dtype=np.int64))
                 starts = ends - np.array(lengths, dtype=np.int64)
                 rows = []
@@ -189,7 +209,7 @@ def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCA
 
     ``pieces`` names the documents in each sequence in order; ``start`` is the piece's first id
     among its document's, ``offset`` its place in the sequence. Only the windows that cross the
-    border of a chunk, some one in a thousand, are shuffled. The last sequence is padded with zeros
+    border of a chunk, some one in a hundred, are shuffled. The last sequence is padded with zeros
     to ``length`` unless its length is a power of two. Rows count as in ``pack``: NULL and empty
     texts are an END alone, repeated rows are placed each; other columns are not read; an empty
     table gives no sequences.

@@ -56,11 +56,11 @@ def test_pieces(documents, length):
     assert total == sum(len(ids(t)) for _, t, _ in rows)
 
 
-@pytest.mark.parametrize("batch", [64, 8 << 20])
+@pytest.mark.parametrize("chunk", [64, 1 << 20])
 @pytest.mark.parametrize("length", [8, 2048])
-def test_packed_sequences_hold_every_id(documents, monkeypatch, length, batch):
+def test_packed_sequences_hold_every_id(documents, monkeypatch, length, chunk):
     """The ids read back through the pieces are each document's, in chunks of a few ids or of all."""
-    monkeypatch.setattr(P, "BATCH", batch)
+    monkeypatch.setattr(P, "CHUNK", chunk)
     rng = np.random.default_rng(6)
     texts = [None, "", "word " * 700] + [" ".join(rng.choice(["alpha", "béta", "12", "?", "漢字"], n)) for n in rng.integers(0, 60, 30)]
     rows = [(k, t, "s") for k, t in enumerate(texts)] + [(5, texts[5], "s")]
