@@ -146,9 +146,9 @@ def _verified(model, width=None):
 
 
 def kernel_error(spark, sf):
-    """Whether the features of the RBF machine give its kernel to two hundredths on average, and on how many pairs."""
+    """Whether the features of the RBF machine give its kernel to three hundredths on average, and on how many pairs."""
     components, error, rows = RandomFourierSVM().chosen(binary_table(spark, sf))
-    return spark.createDataFrame([(rows * (rows - 1), components >= 200, error <= 0.02)], "pairs long, features boolean, close boolean")
+    return spark.createDataFrame([(rows * (rows - 1), components >= 200, error <= 0.03)], "pairs long, features boolean, close boolean")
 
 
 def two_stage(spark, sf):

@@ -356,7 +356,7 @@ class RandomFourierSVM:
     c: float = 1.0
     components: int = 200
     seed: int = 0
-    max_error: float = 0.02
+    max_error: float = 0.03
     _linear: SparkEstimator = field(init=False)
 
     def __post_init__(self) -> None:
