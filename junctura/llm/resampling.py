@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +115,11 @@ def _ranked(rows: DataFrame, share: int, least_words: int) -> DataFrame:
     """
     able = F.col("n_words") >= least_words
     cuts = rows.where(able).approxQuantile("score", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    at = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    placed = rows.withColumn("able", able).withColumn("range", F.when(able, F.size(F.filter(at, lambda c: c > F.col("score")))))
-    placed = stored(placed, "placed")
+    # scores are whole numbers far below 2^53, so they are exact as doubles
+    edges = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    placed = rows.withColumn("able", able).withColumn("at", F.col("score").cast("double"))
+    placed = Bucketizer(splits=edges, inputCol="at", outputCol="low").transform(placed)
+    placed = stored(placed.withColumn("range", F.when(able, (len(edges) - F.col("low")).cast("int"))).drop("at", "low"), "placed")
     sizes = placed.where("able").groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
     running = F.sum("rows").over(Window.orderBy("range"))
     every = F.sum("rows").over(Window.partitionBy())
