@@ -27,8 +27,9 @@ BUCKETS = 10_000
 #: Documents with fewer words are scored, but never drawn.
 LEAST_WORDS = 20
 SHARE, SEED = 10, 2024
-#: Ranges that the order of the scores is cut into; only the ranges' sizes meet in one place.
-RANGES = 400
+#: The order of the scores is cut into ranges of about RANGE_ROWS documents, at least RANGES of them; only the
+#: ranges' sizes meet in one place.
+RANGES, RANGE_ROWS = 400, 1_000_000
 #: Lower case for A-Z, a blank for every other ASCII byte that is not a letter or a digit.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Keys of the words hashed by a task that it keeps.
@@ -114,9 +115,11 @@ def _ranked(rows: DataFrame, share: int, least_words: int) -> DataFrame:
     few, as each document has noise of its own, copies too.
     """
     able = F.col("n_words") >= least_words
-    cuts = rows.where(able).approxQuantile("score", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)
+    ranges = max(RANGES, rows.where(able).count() // RANGE_ROWS)
+    cuts = rows.where(able).approxQuantile("score", [k / ranges for k in range(1, ranges)], 0.5 / ranges)
     # scores are whole numbers far below 2^53, so they are exact as doubles
-    edges = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    # Bucketizer asks for an inner edge; without a document to draw there is none
+    edges = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     placed = rows.withColumn("able", able).withColumn("at", F.col("score").cast("double"))
     placed = Bucketizer(splits=edges, inputCol="at", outputCol="low").transform(placed)
     placed = stored(placed.withColumn("range", F.when(able, (len(edges) - F.col("low")).cast("int"))).drop("at", "low"), "placed")
@@ -124,7 +127,7 @@ def _ranked(rows: DataFrame, share: int, least_words: int) -> DataFrame:
     running = F.sum("rows").over(Window.orderBy("range"))
     every = F.sum("rows").over(Window.partitionBy())
     ahead = sizes.select(F.col("range").alias("_range"), (running - F.col("rows")).alias("ahead"), F.floor(every * share / 100).alias("drawn"))
-    # ranges are at most RANGES rows
+    # a row per million documents, 400 at least
     near = placed.where("able").join(F.broadcast(ahead), F.col("range") == F.col("_range"))
     order = Window.partitionBy("range").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "n_features", "n_words")
     place = F.col("ahead") + F.row_number().over(order)
