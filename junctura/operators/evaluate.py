@@ -6,8 +6,6 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ from junctura.operators.classify import NearestNeighbours, canonical_name, make_
 from junctura.operators.metrics import accuracy, binary_scores, class_report, coefficient_sums, confusion_matrix, top_coefficients
 from junctura.operators.reduce import PCA_SIZES, min_max_scale, pca_sweep
 from junctura.operators.ranking import shuffled_rank
-from junctura.operators.sampling import repeated_splits, split_train_test
-from junctura.operators.splits import discriminants_on_splits, fits, fitted_on_splits, held_out, logistic_models, logistic_said, neighbours_on_splits, on_all
+from junctura.operators.sampling import split_train_test
+from junctura.operators.splits import bayes_models, bayes_said, discriminants_on_splits, fits, fitted_on_splits, held_out, logistic_models, logistic_said, neighbours_on_splits, on_all
 from junctura.schemas import SCORES
 from junctura.session import cut_lineage
 
@@ -117,10 +115,11 @@ def run_classifier(
     models take a Spark ML run per split, several at a time over one stored table.
     """
     name = canonical_name(model)
-    if name == "NB" and not parameters:
-        return bayes_on_splits(table, repeats, test_share, verify, seed)
     rows = held_out(table, repeats, test_share, seed)
     others = None if verify is None else on_all(verify, repeats)
+    if name == "NB" and not parameters:
+        models = bayes_models(rows, repeats)
+        return Evaluation(bayes_said(rows, models), None if others is None else bayes_said(others, models), None)
     if name in ("LDA", "QDA") and not parameters:
         return Evaluation(*discriminants_on_splits(rows, others, name == "LDA"), None)
     if name == "kNN" and set(parameters) <= {"k"}:
@@ -135,42 +134,6 @@ def run_classifier(
     return Evaluation(tested, checked, table.sparkSession.createDataFrame(coefs, COEFFICIENTS) if linear else None)
 
 
-def bayes_on_splits(
-    table: DataFrame, repeats: int = 1000, test_share: float = 0.2, verify: DataFrame | None = None, seed: int = 0
-) -> Evaluation:
-    """Gaussian naive Bayes on every split at once, in a number of jobs that doesn't depend on ``repeats``.
-
-    Only keys and roles are written per split. Features meet them in a join whose rows are added
-    up by (split, class) before they are shuffled; the models are a row per split and class.
-    """
-    rows = table.select("row_id", "features", "class")
-    splits = cut_lineage(repeated_splits(rows.select("row_id"), repeats, test_share, seed=seed))
-    placed = splits.join(rows, "row_id")
-    vector = array_to_vector("features")
-    train = placed.where(F.col("role") == "train")
-    moments = [vector_to_array(Summarizer.mean(vector)).alias("mean"), vector_to_array(Summarizer.variance(vector)).alias("var"), F.count("*").alias("n")]
-    spread = train.groupBy("split").agg(vector_to_array(Summarizer.variance(vector)).alias("var"), F.count("*").alias("rows"))
-    widest = spread.select("split", "rows", (1e-9 * F.array_max("var") * (F.col("rows") - 1) / F.col("rows")).alias("least"))
-    by_class = train.groupBy("split", "class").agg(*moments).join(widest, "split")
-    variance = F.transform("var", lambda v: v * (F.col("n") - 1) / F.col("n") + F.col("least"))
-    models = by_class.select("split", F.col("class").alias("_class"), "mean", variance.alias("var"), F.log(F.col("n") / F.col("rows")).alias("prior"))
-    models = cut_lineage(models.withColumn("constant", F.col("prior") - 0.5 * F.aggregate("var", F.lit(0.0), lambda t, v: t + F.log(v))))
-
-    def predicted(sample: DataFrame) -> DataFrame:
-        off = F.zip_with(F.zip_with("features", "mean", lambda x, m: (x - m) * (x - m)), "var", lambda q, v: q / v)
-        score = F.col("constant") - 0.5 * F.aggregate(off, F.lit(0.0), lambda t, v: t + v)
-        scored = sample.join(models, "split").select("split", "row_id", "class", "_class", score.alias("score"))
-        best = F.max_by("_class", F.struct("score", -F.col("_class")))
-        return scored.groupBy("split", "row_id").agg(F.first("class").alias("actual"), best.cast("int").alias("predicted"))
-
-    tested = predicted(placed.where(F.col("role") == "test"))
-    checked = None
-    if verify is not None:
-        every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("split")
-        checked = predicted(verify.select("row_id", "features", "class", every))
-    return Evaluation(tested, checked, None)
-
-
 def _pairs(predicted: DataFrame, split: int) -> DataFrame:
     return predicted.select(F.lit(split).alias("split"), "row_id", F.col("class").alias("actual"), "predicted")
 
@@ -263,7 +226,7 @@ def leading_feature_sweep(
         said = run_classifier(leading_features(table, size), name, repeats, seed=seed).predictions
         return cut_lineage(accuracy(said).select(F.lit(size).alias("features"), F.lit(name).alias("model"), "accuracy"))
 
-    return reduce(DataFrame.unionByName, fits([(size, name) for size in sizes for name in models], scored))
+    return reduce(DataFrame.unionByName, fits(table.sparkSession, [(size, name) for size in sizes for name in models], scored))
 
 
 def fold_evaluation(table: DataFrame, folds: DataFrame, subject: str, model: str, n_folds: int, **parameters) -> DataFrame:

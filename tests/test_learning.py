@@ -241,6 +241,20 @@ def test_neighbours_on_splits(spark, monkeypatch):
     assert told(short) == told(tested)
 
 
+def test_bayes_on_splits_stores_no_copy_of_a_row(spark, monkeypatch):
+    table = three_classes(spark)
+    train, verify = table.where("row_id < 70"), table.where("row_id >= 70")
+    tested, checked, _ = one_by_one(train, "NB", 3, verify)
+    stored = []
+    monkeypatch.setattr(S, "CURVATURE_BYTES", 300)
+    monkeypatch.setattr(S, "SAID_ROWS", 5)
+    for module in (S, E):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: stored.append(df.count()) or df)
+    grouped = E.run_classifier(train, "NB", 3, verify=verify)
+    assert told(grouped.predictions) == told(tested) and told(grouped.verification) == told(checked)
+    assert max(stored) == 70
+
+
 @pytest.mark.parametrize("model", ["LDA", "kNN", "LR"])
 def test_jobs_do_not_grow_with_the_splits(spark, two, model):
     def jobs(repeats):
