@@ -71,6 +71,34 @@ def test_exact_in_many_cells_with_copies(spark, small_blocks, seed):
     assert lists(N.knn_self(table(spark, x).repartition(5), 6)) == expected
 
 
+def evenly(n=400, d=8):
+    return np.random.default_rng(5).normal(size=(n, d))
+
+
+def test_a_query_goes_once_to_a_block_of_cells(spark, monkeypatch):
+    """On vectors that no pivot tells apart, a query is sent to fewer places than there are cells."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 150)
+    sent, spread = [], N._compare
+    monkeypatch.setattr(N, "_compare", lambda q, *rest, **kw: sent.append(q.count()) or spread(q, *rest, **kw))
+    x = evenly()
+    expected, _ = brute_self(x, 6)
+    assert lists(N.knn_self(table(spark, x).repartition(5), 6, cell_rows=8)) == expected
+    assert sent[0] == 400 and sent[1] <= 3 * 400  # by cells some fifty times
+
+
+def test_rows_meet_the_pivots_a_tile_at_a_time(spark, monkeypatch):
+    most, measured = N.TILE_BYTES // 8, N._pivot_distances
+
+    def watched(a, b):
+        assert len(a) * len(b) <= most
+        return measured(a, b)
+
+    monkeypatch.setattr(N, "_pivot_distances", watched)
+    x = evenly(9000, 4)
+    got = N._assign(table(spark, x).coalesce(1), x[:400]).select("row_id", "cell").toPandas().set_index("row_id").cell
+    assert (got.sort_index().to_numpy() == ((x[:, None] - x[None, :400]) ** 2).sum(-1).argmin(1)).all()
+
+
 def test_join_of_two_tables(spark, small_blocks):
     a, b = clustered(2, 60), clustered(3, 150)
     d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
