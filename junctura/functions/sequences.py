@@ -9,7 +9,9 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,28 +62,50 @@ def ngram_frames(text: Column, n: int) -> Column:
     return F.array(*[ngrams(text, n, frame) for frame in (1, 2, 3)])
 
 
+def cut_texts(keys: pa.Array, values: pa.Array, lo: int, hi: int, seed: int = 0) -> pa.ListArray:
+    """The pieces of each text of a batch. No piece becomes a Python text: they are places in the texts' own bytes."""
+
+    def starts(key: int, length: int) -> list[int]:
+        """Where each piece but the first starts, in characters."""
+        rng = random.Random(f"{seed}:{key}")
+        out, at, size = [], 0, rng.randint(lo, hi)
+        while length - at - lo > size:
+            at += size
+            out.append(at)
+            size = rng.randint(lo, hi)
+        return out
+
+    none = values.is_null().to_numpy(zero_copy_only=False)
+    texts = pa.concat_arrays([values.fill_null("").cast(pa.large_string())])
+    data = texts.buffers()[2] or pa.py_buffer(b"")
+    places = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]).astype(np.int64)
+    first = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset] if len(texts) else 0
+    letters = np.frombuffer(data, np.uint8) if data.size else np.empty(0, np.uint8)
+    ends, counts = [np.zeros(1, np.int64)], np.zeros(len(texts), np.int64)
+    for k, key in enumerate(keys.to_pylist()):
+        if none[k]:
+            continue
+        body = letters[first + places[k] : first + places[k + 1]]
+        head = np.flatnonzero((body & 0xC0) != 0x80)  # the first byte of each character
+        ends.append(places[k] + np.append(head[starts(key, len(head))], len(body)))
+        counts[k] = len(ends[-1])
+    flat = first + np.concatenate(ends).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(flat) - 1, [None, pa.py_buffer(flat), data])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(none, False))
+    return pa.ListArray.from_arrays(offsets, pieces.cast(pa.string()))
+
+
 def random_ngrams(text: Column, lo: int, hi: int, row_id: Column, seed: int = 0) -> Column:
     """Cut a text into pieces of random length lo..hi; the last piece takes the rest.
 
     Each cut depends on what is left after the one before, so this runs as an Arrow
-    function; the generator is seeded by (seed, row_id), never by the partition.
+    function on whole batches; the generator is seeded by (seed, row_id), never by the partition.
     """
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def one(key: int, value: str | None) -> list[str] | None:
-            if value is None:
-                return None
-            rng = random.Random(f"{seed}:{key}")
-            out, at, size = [], 0, rng.randint(lo, hi)
-            while len(value) - at - lo > size:
-                out.append(value[at : at + size])
-                at += size
-                size = rng.randint(lo, hi)
-            return [*out, value[at:]]
-
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, values in batches:
-            yield pd.Series([one(k, v) for k, v in zip(keys, values)])
+            yield cut_texts(keys, values, lo, hi, seed)
 
     return cut(row_id, text)
 

@@ -1,4 +1,8 @@
+import random
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +71,33 @@ def test_trim(spark, a, b, out):
     assert one(spark, "CARD*", S.trim_ends(F.col("s"), a, b)) == out
 
 
+def test_random_pieces_of_a_batch_are_places_in_its_texts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ACDEäß€\U0001f600\n") for _ in range(rng.choice([0, 2, 9, 4000]))) for _ in range(300)]
+    texts[7] = texts[20] = None
+
+    def one(key, value):
+        if value is None:
+            return None
+        draw = random.Random(f"1:{key}")
+        out, at, size = [], 0, draw.randint(3, 8)
+        while len(value) - at - 3 > size:
+            out.append(value[at : at + size])
+            at += size
+            size = draw.randint(3, 8)
+        return [*out, value[at:]]
+
+    batch = pa.array(texts)
+    want = [one(k, v) for k, v in enumerate(texts)]
+    tracemalloc.start()
+    got = S.cut_texts(pa.array(range(300)), batch, 3, 8, 1)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want and used < 5 * batch.nbytes
+    assert S.cut_texts(pa.array(range(200))[5:30], batch[5:30], 3, 8, 1).to_pylist() == want[5:30]
+    assert S.cut_texts(pa.array([0, 1]), pa.array(["", None]), 3, 8).to_pylist() == [[""], None]
+
+
 def test_random_ngrams(spark):
     rows = spark.createDataFrame([(i, "AGAMQSASMRDSRGPDPVSRATHNWFDP") for i in range(40)], "id long, s string")
     cut = [r[0] for r in rows.select(S.random_ngrams(F.col("s"), 3, 8, F.col("id"), 1)).collect()]
