@@ -340,6 +340,8 @@ class AdaBoostModel:
 #: Rows on whose pairs the error of an approximated kernel is measured, the first by a hash of their id.
 KERNEL_ROWS = 256
 MOST_FEATURES = 1 << 14
+#: Mapped features that a task holds and sends at once.
+LIFTED_BYTES = 8 * 1024 * 1024
 
 
 @dataclass
@@ -392,13 +394,19 @@ class RandomFourierSVM:
         return components, error if len(sample) else 0.0, len(sample)
 
     def lift(self, df: DataFrame, d: int, components: int) -> DataFrame:
+        """``df`` with the features mapped, LIFTED_BYTES of them at a time."""
         directions = self.directions(d, components)
+        low = max(1, LIFTED_BYTES // (8 * components))
 
-        @F.pandas_udf("array<double>")
-        def waves(features: pd.Series) -> pd.Series:
-            return pd.Series(list(self.mapped(stack(features), directions)))
+        def waves(batches):
+            for batch in batches:
+                for at in range(0, len(batch), low):
+                    part = batch.iloc[at : at + low]
+                    yield part.assign(features=list(self.mapped(stack(part["features"]), directions)))
 
-        return df.withColumn("features", waves("features"))
+        wide = [F.col(c).cast("array<double>").alias(c) if c == "features" else F.col(c) for c in df.columns]
+        rows = df.select(*wide)
+        return rows.mapInPandas(waves, rows.schema)
 
     def fit(self, train: DataFrame) -> RandomFourierModel:
         d, components = _shape(train)[1], self.chosen(train)[0]

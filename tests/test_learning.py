@@ -241,6 +241,22 @@ def test_neighbours_on_splits(spark, monkeypatch):
     assert told(short) == told(tested)
 
 
+def test_mapped_features_are_made_a_few_rows_at_a_time(spark, monkeypatch):
+    kernel = K.RandomFourierSVM()
+    x = np.random.default_rng(1).normal(size=(50, 3))
+    table = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "row_id long, features array<double>, class int").coalesce(1)
+    monkeypatch.setattr(K, "LIFTED_BYTES", 8 * 200 * 7)
+    mapped = kernel.mapped
+
+    def watched(rows, directions):
+        assert len(rows) <= 7
+        return mapped(rows, directions)
+
+    monkeypatch.setattr(kernel, "mapped", watched, raising=False)
+    got = {r.row_id: r.features for r in kernel.lift(table, 3, 200).collect()}
+    assert np.allclose([got[i] for i in range(50)], mapped(x, kernel.directions(3, 200)))
+
+
 def test_bayes_on_splits_stores_no_copy_of_a_row(spark, monkeypatch):
     table = three_classes(spark)
     train, verify = table.where("row_id < 70"), table.where("row_id >= 70")
