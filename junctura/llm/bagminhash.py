@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 #: a similarity of 0.8, and pairs are verified down to four times that.
 FINE_SLOTS, MARGIN = 512, 0.071
 #: Shingles signed at once in a task.
-SIGNED = 400_000
+SIGNED = 100_000
 MEMBERS = 64
 #: Ids or pairs up to this many (16 to 24 bytes each) are sent to the texts; more meet them in a shuffle.
 SENT = 2_000_000

@@ -205,3 +205,17 @@ def test_components(spark):
         parent[high] = low
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in pairs if a != b for x in (a, b)}
+
+
+def test_shingles_signed_at_once_take_little_memory():
+    import tracemalloc
+
+    from junctura.llm import bagminhash
+
+    rng = np.random.default_rng(0)
+    bags = [bagminhash.counted(rng.integers(0, 2**62, 900)) for _ in range(bagminhash.SIGNED // 900)]
+    tracemalloc.start()
+    bagminhash.signed(bags)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 32_000_000
