@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions import sequences as S
 from junctura.operators import corpus as C
-from junctura.operators import families, reads
+from junctura.operators import embedding, families, reads
 from junctura.operators.embedding import ngram_table, sequence_vectors
 
 
@@ -205,3 +206,31 @@ def test_repeated_ngrams(spark):
     properties = spark.createDataFrame([("ACD", 1), ("ACD", 2), ("CCC", 3)], "Ngram string, n int")
     got = sorted((r.n, r.vec) for r in ngram_table(properties, table).collect())
     assert got == [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [0.0, 0.0])]
+
+
+def test_blocks_of_sequences_ask_for_each_word_once(spark, monkeypatch):
+    table = spark.createDataFrame([("ACD", [0.5, 3.0]), ("CCC", [2.0, 0.25])], "word string, vector array<double>")
+    rows = spark.createDataFrame([(None, "ACDCCC" * 30)] + [(k, "ACD" * (k % 5)) for k in range(60)], "row_id long, JUNC_AA string")
+    expected = {r.row_id: r.vec for r in sequence_vectors(rows, table, on_unknown="zero").collect()}
+    monkeypatch.setattr(embedding, "BLOCK_BYTES", 2048)
+    found = sequence_vectors(rows, table, on_unknown="zero", broadcast_bytes=0)
+    assert {r.row_id: r.vec for r in found.collect()} == expected
+    # no n-gram carries its sequence's key, or a digest of it, through a shuffle
+    assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_models_leave_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in found if "shuffle_" in f}
+
+    table = spark.createDataFrame([("ACD", [1.0])] * 1, "word string, vector array<double>")
+    rows = spark.createDataFrame([(k, "ACD" * 3) for k in range(20)], "row_id long, JUNC_AA string").repartition(3, "row_id")
+    before = files()
+    found = embedding.embed_with_models(rows, (("m%d" % k, 3, table) for k in range(2)))
+    for _ in range(50):
+        left = {f for f in files() - before if f.endswith(".data")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and found.count() == 40
