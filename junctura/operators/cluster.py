@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -18,6 +21,8 @@ from junctura.session import cut_lineage
 MIN_SPLIT = 10  # a cluster is split only if it has more rows than this
 STARTS = 10  # runs from different first centres, of which the cheapest is kept
 MAX_CENTER_BYTES = 256 * 1024 * 1024  # most bytes of centres: clusters x starts x dimensions x 8
+DRAWN = pa.schema([("parent", pa.int32()), ("start", pa.int32()), ("time", pa.float64()), ("id", pa.int64()), ("vec", pa.list_(pa.float64()))])
+SUMS = pa.schema([("parent", pa.int32()), ("start", pa.int32()), ("sub", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
 
 def kmeans(vectors: DataFrame, n: int = 20, seed: int = 0, iterations: int = 300, starts: int = STARTS) -> DataFrame:
@@ -66,6 +71,17 @@ def _draws(ids: np.ndarray, salt: str) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53) + 2.0**-54
 
 
+def _by_parent(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(parent, places in the batch, vectors) of a batch's parents; no vector becomes an object of its own."""
+    if not batch.num_rows:
+        return
+    parent = batch.column("parent").to_numpy()
+    x = batch.column("vec").flatten().to_numpy().reshape(len(parent), -1)
+    order = np.argsort(parent, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(parent[order])) + 1):
+        yield int(parent[at[0]]), at, x[at]
+
+
 def _seeded(large: DataFrame, split: list[int], n: int, seed: str, starts: int) -> dict[tuple[int, int], np.ndarray]:
     """First centres per (parent, start), one more a pass: a row is drawn in proportion to its squared
     distance from the centres so far. The row whose exponential time at that rate is over first is
@@ -78,24 +94,25 @@ def _seeded(large: DataFrame, split: list[int], n: int, seed: str, starts: int)
         def draw(batches, shared=shared, number=number):
             best: dict[tuple[int, int], tuple] = {}
             for batch in batches:
-                for parent, part in batch.groupby("parent"):
-                    x, ids = stack(part["vec"]), part["row_id"].to_numpy()
+                all_ids = batch.column("row_id").to_numpy()
+                for parent, at, x in _by_parent(batch):
+                    ids = all_ids[at]
                     for start in range(starts):
-                        known = shared.value[int(parent), start]
+                        known = shared.value[parent, start]
                         if len(known) < number:  # no row was left to draw in an earlier pass
                             continue
                         rate = pair_least(x, known) if number else np.ones(len(x))
                         time = np.full(len(x), np.inf)
                         np.divide(-np.log(_draws(ids, f"{seed}:{start}:{number}")), rate, out=time, where=rate > 0)
-                        at = np.lexsort((ids, time))[0]
-                        if np.isfinite(time[at]):
-                            found = (float(time[at]), int(ids[at]), x[at])
-                            key = (int(parent), start)
+                        first = np.lexsort((ids, time))[0]
+                        if np.isfinite(time[first]):
+                            found = (float(time[first]), int(ids[first]), x[first].tolist())
+                            key = (parent, start)
                             best[key] = min(best.get(key, found), found, key=lambda f: f[:2])
             if best:
-                yield pd.DataFrame([(p, s, *f) for (p, s), f in best.items()], columns=["parent", "start", "time", "id", "vec"])
+                yield pa.RecordBatch.from_pylist([dict(zip(DRAWN.names, (*key, *f), strict=True)) for key, f in best.items()], schema=DRAWN)
 
-        found = large.select("parent", "row_id", "vec").mapInPandas(draw, "parent int, start int, time double, id bigint, vec array<double>")
+        found = large.select("parent", "row_id", "vec").mapInArrow(draw, "parent int, start int, time double, id bigint, vec array<double>")
         first = found.groupBy("parent", "start").agg(F.min_by("vec", F.struct("time", "id")).alias("vec"))
         centers = dict(centers)
         for row in first.collect():  # one row per parent and start
@@ -131,16 +148,19 @@ def _split_all(rows: DataFrame, n: int, seed: str, iterations: int, min_split: i
     active, cost = set(centers), dict.fromkeys(centers, np.inf)
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast({key: centers[key] for key in active})
-        partial = large.select("parent", "vec").mapInPandas(_center_sums(shared, starts), "parent int, start int, sub int, sums array<double>")
-        totals = partial.groupBy("parent", "start", "sub").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        # rows of parents whose starts have all come to rest stay where they are
+        moving = large.where(F.col("parent").isin(sorted({parent for parent, _ in active}))).select("parent", "vec")
+        partial = moving.mapInArrow(_center_sums(shared, starts), "parent int, start int, sub int, sums array<double>")
+        totals = partial.groupBy("parent", "start", "sub").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).toArrow()
         moved, shift = {key: centers[key].copy() for key in active}, dict.fromkeys(active, 0.0)
         spent = dict.fromkeys(active, 0.0)
-        for row in totals.collect():  # one row per centre; a centre without rows keeps its place
-            key, sums = (row["parent"], row["start"]), np.array(row["sums"])
-            mean = sums[2:] / sums[0]
-            shift[key] = max(shift[key], float(((mean - centers[key][row["sub"]]) ** 2).sum()))
+        numbers = pc.list_flatten(totals["sums"]).to_numpy().reshape(len(totals), 2 + width)
+        # one row per centre; a centre without rows keeps its place
+        for parent, start, sub, sums in zip(*(totals[c].to_pylist() for c in ("parent", "start", "sub")), numbers, strict=True):
+            key, mean = (parent, start), sums[2:] / sums[0]
+            shift[key] = max(shift[key], float(((mean - centers[key][sub]) ** 2).sum()))
             spent[key] += sums[1]
-            moved[key][row["sub"]] = mean
+            moved[key][sub] = mean
         centers, cost = centers | moved, cost | spent
         active = {key for key in active if shift[key] > 1e-8}
         shared.destroy()
@@ -168,24 +188,23 @@ def _center_sums(shared, starts: int):
     """Per task and start: row count, cost and vector sum of every centre, as one array [n, cost, sum...]."""
 
     def run(batches):
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for parent, part in batch.groupby("parent"):
-                x = stack(part["vec"])
+            for parent, _, x in _by_parent(batch):
                 for start in range(starts):
-                    centers = shared.value.get((int(parent), start))
+                    centers = shared.value.get((parent, start))
                     if centers is None:  # has come to rest
                         continue
                     squared = rough_squared_distances(x, centers)[0]
                     sub = squared.argmin(axis=1)
                     least = squared[np.arange(len(x)), sub]
-                    for one in np.unique(sub):
-                        mine = sub == one
-                        add = np.concatenate([[mine.sum(), least[mine].sum()], x[mine].sum(axis=0)])
-                        key = (int(parent), start, int(one))
-                        sums[key] = sums[key] + add if key in sums else add
-        if sums:
-            yield pd.DataFrame([(*key, v) for key, v in sums.items()], columns=["parent", "start", "sub", "sums"])
+                    mine = (sub[:, None] == np.arange(len(centers))).astype(np.float64)
+                    add = np.column_stack([mine.sum(axis=0), mine.T @ least, mine.T @ x])
+                    key = (parent, start)
+                    sums[key] = sums[key] + add if key in sums else add
+        rows = [(*key, sub, v) for key, found in sums.items() for sub, v in enumerate(found) if v[0]]
+        if rows:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=SUMS.names), schema=SUMS, preserve_index=False)
 
     return run
 

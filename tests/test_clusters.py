@@ -197,3 +197,12 @@ def test_mean_distance_keeps_rows_without_value_or_group(spark):
     rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "a", None), (4, None, 2.0)], "row_id long, cluster string, v double")
     got = {r.row_id: r.mean_distance for r in S.mean_distance(rows, "v", ["cluster"]).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: None, 4: None}
+
+
+def test_vectors_of_a_batch_by_parent():
+    import pyarrow as pa
+
+    whole = pa.record_batch({"parent": pa.array([9, 2, 0, 2, 1], pa.int32()), "vec": pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [7.0, 8.0]])})
+    found = [(p, at.tolist(), x.tolist()) for p, at, x in C._by_parent(whole.slice(1))]
+    assert found == [(0, [1], [[3.0, 4.0]]), (1, [3], [[7.0, 8.0]]), (2, [0, 2], [[1.0, 2.0], [5.0, 6.0]])]
+    assert not list(C._by_parent(whole.slice(0, 0)))
