@@ -8,13 +8,16 @@ length then cut the stream; a document over a boundary yields one piece on eithe
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.llm.scratch import stored
@@ -22,6 +25,8 @@ from junctura.llm.scratch import stored
 END = 1
 #: Vocabulary files, resolved on the executors: the tokenizer's own and the same one as ranks.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Texts that the encoding workers get at once.
+TEXTS = 500
 #: Bytes of encoded rows handed on at once.
 BATCH = 8 << 20
 ENCODED = "doc_id long, part int, first long, n long, ids binary"
@@ -52,6 +57,27 @@ def encoders(vocabulary: str = VOCABULARY, ranks: str = RANKS):
     return encode
 
 
+@contextmanager
+def texts_at_once(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
+    """Jobs inside send their Python workers at most ``rows`` texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker, which Spark uses again, have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """(doc_id, part, first, n, ids) of each row: its ids and END, and its offset in its partition.
 
@@ -60,6 +86,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode = encoders(vocabulary, ranks)
         part, place = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
@@ -125,7 +152,9 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, rank
     repeated ones too; every id lies in one piece; all sequences but the last are full. An empty
     table gives no pieces.
     """
-    return cut(placed(stored(encode_documents(docs, vocabulary, ranks), "encoded")), length)
+    with texts_at_once(docs.sparkSession):
+        encoded = stored(encode_documents(docs, vocabulary, ranks), "encoded")
+    return cut(placed(encoded), length)
 
 
 def sequences(pieces: DataFrame, length: int = 2048) -> DataFrame:
@@ -150,6 +179,7 @@ def chunked(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -
     """The ids of ``encode_documents`` with those of several documents, some CHUNK bytes, in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode = encoders(vocabulary, ranks)
         part, place, size = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held = [], [], []
@@ -214,7 +244,9 @@ def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCA
     texts are an END alone, repeated rows are placed each; other columns are not read; an empty
     table gives no sequences.
     """
-    placed_chunks = placed(stored(chunked(docs, vocabulary, ranks), "chunks"))
+    with texts_at_once(docs.sparkSession):
+        chunks = stored(chunked(docs, vocabulary, ranks), "chunks")
+    placed_chunks = placed(chunks)
     whole, parts = (_windows(placed_chunks, length, x) for x in (True, False))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("pieces")[0]["offset"].alias("at"), "ids", "pieces")))
     joined = parts.groupBy("sequence_id").agg(F.sum("tokens").alias("tokens"), ordered.alias("parts"))

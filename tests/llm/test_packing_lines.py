@@ -125,3 +125,12 @@ def test_lines_against_brute_force(documents, sites):
 
 def test_no_lines(documents):
     assert line_dedup(documents([])).count() == 0 and spread_lines(documents([(1, None, None)])).count() == 0
+
+
+def test_encoders_get_few_texts_at_once(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, real = spark.conf.get(key), P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: seen.append(spark.conf.get(key)) or real(df, name))
+    docs = spark.createDataFrame([(k, "some words " * k) for k in range(20)], "doc_id long, text string")
+    assert P.packed_sequences(docs).count() and P.pack(docs).count()
+    assert seen == [str(P.TEXTS)] * 2 and spark.conf.get(key) == before
