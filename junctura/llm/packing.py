@@ -17,7 +17,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.llm.scratch import stored
@@ -203,35 +203,35 @@ def chunked(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -
                     doc_ids, lengths, held, size = [], [], [], 0
         if lengths:
             yield flush()
+        # an idle worker holds neither the tables of ids nor what the last batch took
+        del encode, flush, doc_ids, lengths, held
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
 
 
 def _windows(chunks: DataFrame, length: int, whole: bool) -> DataFrame:
-    """The windows that lie ``whole`` in one chunk, or the parts of the others: ids, and pieces by document."""
+    """The windows that lie ``whole`` in one chunk, or the parts of the others: ids, and pieces by document.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, n, doc_ids, lengths, ids in (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows)):
-                ends = begin + np.cumsum(np.array(lengths, dtype=np.int64))
-                starts = ends - np.array(lengths, dtype=np.int64)
-                rows = []
-                for window in range(begin // length, (begin + n - 1) // length + 1):
-                    low, high = max(begin, window * length), min(begin + n, (window + 1) * length)
-                    if (high - low == length) != whole:
-                        continue
-                    at = range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high, side="left")))
-                    spans = [(doc_ids[k], max(low, int(starts[k])), min(high, int(ends[k])), int(starts[k])) for k in at]
-                    pieces = [{"doc_id": d, "start": a - s, "length": b - a, "offset": a - window * length} for d, a, b, s in spans]
-                    rows.append((window, high - low, ids[4 * (low - begin) : 4 * (high - begin)], pieces))
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("sequence_id", "tokens", "ids", "pieces"), r, strict=True)) for r in rows], schema=_ARROW)
-
-    return chunks.select("begin", "n", "doc_ids", "lengths", "ids").mapInArrow(run, WHOLE)
-
-
-_PIECE = pa.struct([(name, pa.int64()) for name in ("doc_id", "start", "length", "offset")])
-_ARROW = pa.schema([("sequence_id", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("pieces", pa.list_(_PIECE))])
+    Chunks go to the workers as rows, a few MB at a time: an Arrow batch, whose rows are counted
+    and not their bytes, would hold all chunks of a task.
+    """
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple]:
+        for begin, n, doc_ids, lengths, ids in rows:
+            sizes = np.array(lengths, dtype=np.int64)
+            ends = begin + np.cumsum(sizes)
+            starts = ends - sizes
+            for window in range(begin // length, (begin + n - 1) // length + 1):
+                low, high = max(begin, window * length), min(begin + n, (window + 1) * length)
+                if (high - low == length) != whole:
+                    continue
+                at = range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high, side="left")))
+                spans = [(doc_ids[k], max(low, int(starts[k])), min(high, int(ends[k])), int(starts[k])) for k in at]
+                yield window, high - low, ids[4 * (low - begin) : 4 * (high - begin)], [(d, a - s, b - a, a - window * length) for d, a, b, s in spans]
+
+    rows = chunks.select("begin", "n", "doc_ids", "lengths", "ids").rdd.mapPartitions(run)
+    return chunks.sparkSession.createDataFrame(rows, WHOLE, verifySchema=False)
 
 
 def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:

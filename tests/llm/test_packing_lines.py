@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from junctura.llm.lines import line_dedup, spread_lines, without_spread_lines
@@ -85,6 +86,14 @@ def test_packed_sequences_hold_every_id(documents, monkeypatch, length, chunk):
     assert packed_sequences(documents([]), length).count() == 0
 
 
+def test_windows_get_chunks_row_by_row(documents):
+    """No Arrow batch of chunks, 1 MB each, reaches a worker."""
+    docs = documents([(k, "alpha beta " * 40, "s") for k in range(20)])
+    chunks = P.chunked(docs).withColumn("begin", F.col("first"))
+    plan = P._windows(chunks, 64, True)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "ExistingRDD" in plan
+
+
 def test_sequences(documents):
     docs = documents([(1, "one two three four five", "s"), (2, None, "s"), (3, "six", "s")])
     out = sorted(sequences(pack(docs.coalesce(1), 4), 4).collect())
