@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions.vectors import dense_vector
-from junctura.operators.classify import NearestNeighbours, canonical_name, make_classifier
+from junctura.operators.classify import NearestNeighbours, canonical_name, make_classifier, tree_depth
 from junctura.operators.metrics import accuracy, binary_scores, class_report, coefficient_sums, confusion_matrix, top_coefficients
 from junctura.operators.reduce import PCA_SIZES, min_max_scale, pca_sweep
 from junctura.operators.ranking import shuffled_rank
 from junctura.operators.sampling import split_train_test
-from junctura.operators.splits import bayes_models, bayes_said, discriminants_on_splits, fits, fitted_on_splits, held_out, logistic_models, logistic_said, neighbours_on_splits, on_all
+from junctura.operators.splits import FITS, TREE_ROWS, bayes_models, bayes_said, discriminants_on_splits, fits, fitted_on_splits, held_out, logistic_models, logistic_said, neighbours_on_splits, on_all, tree_models, tree_said
 from junctura.schemas import SCORES
 from junctura.session import cut_lineage
 
@@ -110,9 +110,10 @@ def run_classifier(
 ) -> Evaluation:
     """Fit on ``repeats`` random splits of (row_id, features, class) and pool the predictions.
 
-    The splits are drawn in one job. Naive Bayes, discriminants, nearest neighbours and logistic
-    regression of two classes take all splits in the same jobs, however many there are. The other
-    models take a Spark ML run per split, several at a time over one stored table.
+    The splits are drawn in one job. Naive Bayes, discriminants, nearest neighbours, logistic
+    regression of two classes and, up to TREE_ROWS rows, decision trees take all splits in the same
+    jobs, however many there are. The other models take a Spark ML run per split, several at a time
+    over one stored table.
     """
     name = canonical_name(model)
     rows = held_out(table, repeats, test_share, seed)
@@ -124,6 +125,11 @@ def run_classifier(
         return Evaluation(*discriminants_on_splits(rows, others, name == "LDA"), None)
     if name == "kNN" and set(parameters) <= {"k"}:
         return Evaluation(*neighbours_on_splits(rows, others, parameters.get("k", NearestNeighbours.k), test_share), None)
+    if name == "DT" and set(parameters) <= {"max_depth"} and repeats > FITS:
+        depth = tree_depth(parameters.get("max_depth", 5))
+        if depth > 0 and 0 < rows.count() <= TREE_ROWS:
+            models = tree_models(rows, repeats, depth)
+            return Evaluation(tree_said(rows, models), None if others is None else tree_said(others, models), None)
     linear = name in ("LR", "RLR")
     if linear and set(parameters) <= {"c"} and (rows.agg(F.max("class")).first()[0] or 0) <= 1:
         models = logistic_models(rows, repeats, parameters.get("c", 0.9 if name == "RLR" else 1.0))

@@ -295,6 +295,38 @@ def test_trees_run_split_by_split(two):
     assert found.count() == 18 * 16 and M.binary_scores(found, 1).first().accuracy > 0.7
 
 
+@pytest.mark.parametrize("curvature, depth", [(1 << 26, 5), (9_000, 2)])
+def test_trees_on_splits_are_sparks(spark, monkeypatch, curvature, depth):
+    """Ties, values that only some splits train with, three classes; more values than bins in the second column."""
+    monkeypatch.setattr(S, "CURVATURE_BYTES", curvature)
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 110)
+    x = np.column_stack([rng.integers(0, 9, 110) + 2.0 * y, rng.normal(size=110) + y, np.zeros(110), rng.integers(0, 4, 110) / 3])
+    table = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))], "row_id long, features array<double>, class int")
+    train, verify = table.where("row_id < 80"), table.where("row_id >= 80")
+    tested, checked, _ = one_by_one(train, "DT", 10, verify, max_depth=depth)
+    monkeypatch.setattr(E, "make_classifier", None)
+    grouped = E.run_classifier(train, "DT", 10, verify=verify, max_depth=depth)
+    assert told(grouped.predictions) == told(tested) and told(grouped.verification) == told(checked)
+
+
+@pytest.mark.parametrize("model", ["DT", "RLR"])
+def test_few_rows_of_many_columns_on_splits(spark, monkeypatch, model):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((20, 60)) < 0.4, rng.random((20, 60)), 0.0)
+    table = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "row_id long, features array<double>, class int").cache()
+    tested, _, coefs = one_by_one(table, model, 12)
+    widths = []
+    newton = S._newton
+    monkeypatch.setattr(S, "_newton", lambda rows, width, *rest: widths.append(width) or newton(rows, width, *rest))
+    grouped = E.run_classifier(table, model, 12)
+    assert told(grouped.predictions) == told(tested)
+    if model == "RLR":
+        assert widths == [21]
+        mine = {(r.split, r["class"], r.position): r.coef for r in grouped.coefficients.collect()}
+        assert mine.keys() == {c[:3] for c in coefs} and all(abs(mine[c[:3]] - c[3]) < 1e-3 for c in coefs)
+
+
 def test_two_stage(two):
     positions, found = E.two_stage_regression(two, repeats=2, top=2)
     assert sorted(positions) == [0, 1]  # the two informative ones
