@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,15 +225,38 @@ def accuracy_by_dimension(
 def leading_feature_sweep(
     table: DataFrame, sizes: Iterable[int], models: Sequence[str] = ("LR", "DT"), repeats: int = 1, seed: int = 0
 ) -> DataFrame:
-    """(features, model, accuracy) using the first 1..n features for each n; several sizes at a time."""
-    table = cut_lineage(table.select("row_id", "features", "class"))
+    """(features, model, accuracy) using the first 1..n features for each n.
+
+    All sizes share their splits. Decision trees and logistic regression of two classes take all
+    sizes in the same jobs, each a split that looks at its leading columns only; of the other
+    models several sizes run at a time.
+    """
+    table, sizes = cut_lineage(table.select("row_id", "features", "class")), list(sizes)
+    n, top = table.agg(F.count("*"), F.max("class")).first()
+
+    def together(name: str) -> bool:
+        return n > 0 and (canonical_name(name) == "DT" or (canonical_name(name) in ("LR", "RLR") and top <= 1))
 
     def scored(task: tuple[int, str]) -> DataFrame:
         size, name = task
         said = run_classifier(leading_features(table, size), name, repeats, seed=seed).predictions
         return cut_lineage(accuracy(said).select(F.lit(size).alias("features"), F.lit(name).alias("model"), "accuracy"))
 
-    return reduce(DataFrame.unionByName, fits(table.sparkSession, [(size, name) for size in sizes for name in models], scored))
+    out = []
+    if sizes and any(together(name) for name in models):
+        spread = F.transform(F.sequence(F.lit(0), F.lit(len(sizes) - 1)), lambda i: F.transform("tests", lambda t: i * repeats + t))
+        rows = cut_lineage(held_out(table, repeats, 0.2, seed).withColumn("tests", F.flatten(spread)))
+        columns, count = np.repeat(sizes, repeats), len(sizes) * repeats
+        size = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.floor(F.col("split") / repeats).cast("int") + 1)
+        for name in filter(together, models):
+            if canonical_name(name) == "DT":
+                said = tree_said(rows, tree_models(rows, count, tree_depth(5), columns))
+            else:
+                said = logistic_said(rows, logistic_models(rows, count, 0.9 if canonical_name(name) == "RLR" else 1.0, columns))
+            said = accuracy(said.withColumn("features", size), ["features"])
+            out.append(cut_lineage(said.select("features", F.lit(name).alias("model"), "accuracy")))
+    out += fits(table.sparkSession, [(size, name) for size in sizes for name in models if not together(name)], scored)
+    return reduce(DataFrame.unionByName, out)
 
 
 def fold_evaluation(table: DataFrame, folds: DataFrame, subject: str, model: str, n_folds: int, **parameters) -> DataFrame:

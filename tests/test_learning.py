@@ -353,6 +353,23 @@ def test_leading_features_of_several_models(two):
     assert len(got) == 6 and min(got.values()) > 0.5
 
 
+def test_leading_features_take_all_sizes_at_once(spark, monkeypatch):
+    """The accuracies of a run per size and model, without one; thresholds of a table beyond TREE_ROWS too."""
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 2, 60)
+    x = rng.normal(size=(60, 4)) + 0.6 * y[:, None]
+    table = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))], "row_id long, features array<double>, class int").cache()
+    want = {
+        (size, name): M.accuracy(one_by_one(E.leading_features(table, size), name, 2)[0]).first().accuracy
+        for size in (1, 3) for name in ("LR", "DT")
+    }
+    monkeypatch.setattr(E, "run_classifier", None)
+    got = {(r.features, r.model): r.accuracy for r in E.leading_feature_sweep(table, (1, 3), ("LR", "DT"), repeats=2).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    monkeypatch.setattr(S, "TREE_ROWS", 30)
+    assert all(r.accuracy > 0.4 for r in E.leading_feature_sweep(table, (1, 3), ("DT",), repeats=2).collect())
+
+
 def test_registered_embedding_is_trained_whole(monkeypatch):
     from junctura.catalog import learning
 
