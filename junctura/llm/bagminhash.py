@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.llm.components import components
-from junctura.llm.scratch import stored
+from junctura.llm.scratch import give_back, rows_at_once, stored
 
 BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
@@ -142,6 +142,7 @@ def sign(docs: DataFrame) -> DataFrame:
             if without:
                 empty = [pa.nulls(len(without), t) for t in (pa.binary(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(without, pa.int64()), *empty], ["doc_id", "digest", "bands"])
+        give_back()
 
     return docs.select("doc_id", token_hashes(F.col("text")).alias("tokens")).mapInArrow(run, SIGNATURES)
 
@@ -329,12 +330,14 @@ def near_links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESH
     place = F.struct("popularity", -F.col("doc_id"))
     leader = buckets.groupBy("bucket").agg((-F.max(place)["col2"]).alias("a"), F.max("salts").alias("salts"))
     star = buckets.drop("salts").join(_every_salt(leader), DEAL).where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
-    links = stored(verified(stored(star, "pairs"), texts, threshold), "links")
+    with rows_at_once(texts.sparkSession):
+        links = stored(verified(stored(star, "pairs"), texts, threshold), "links")
     spanning = _spanning(buckets, components(links))
     counted = spanning.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"))
     largest = counted.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("salts").alias("salts"))
     rest = stored(spanning.drop("salts").join(_every_salt(largest), DEAL).select(*DEAL, "salts", "doc_id", "root", (F.col("root") == F.col("top")).alias("inner")), "rest")
-    sketches = stored(fine_sketches(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")), "sketches")
+    with rows_at_once(texts.sparkSession):
+        sketches = stored(fine_sketches(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")), "sketches")
     pairs = stored(_rest_pairs(rest, sketches, threshold), "pairs")
     return components(stored(links.unionByName(verified(pairs, texts, threshold)), "links"))
 
@@ -347,7 +350,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows with the same doc_id are one document; rows without a doc_id are left out, as nothing
     could name them. An empty table gives an empty result.
     """
-    signatures = stored(sign(docs.where("doc_id IS NOT NULL")), "signatures")
+    with rows_at_once(docs.sparkSession):
+        signatures = stored(sign(docs.where("doc_id IS NOT NULL")), "signatures")
     first = stored(signatures.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first")), "first")
     each = stored(signatures.select("doc_id", F.col("digest").alias("_digest")).join(first, F.col("_digest") == F.col("digest"), "left").select("doc_id", F.coalesce("first", "doc_id").alias("first")), "each")
     heads = signatures.join(first.select(F.col("first").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])

@@ -8,25 +8,20 @@ length then cut the stream; a document over a boundary yields one piece on eithe
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.llm.scratch import stored
+from junctura.llm.scratch import give_back, rows_at_once, stored
 
 END = 1
 #: Vocabulary files, resolved on the executors: the tokenizer's own and the same one as ranks.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Texts that the encoding workers get at once.
-TEXTS = 500
 #: Bytes of encoded rows handed on at once.
 BATCH = 8 << 20
 ENCODED = "doc_id long, part int, first long, n long, ids binary"
@@ -57,27 +52,6 @@ def encoders(vocabulary: str = VOCABULARY, ranks: str = RANKS):
     return encode
 
 
-@contextmanager
-def texts_at_once(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
-    """Jobs inside send their Python workers at most ``rows`` texts at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def give_back() -> None:
-    """Return to the system what earlier tasks of this worker, which Spark uses again, have freed."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
-
-
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """(doc_id, part, first, n, ids) of each row: its ids and END, and its offset in its partition.
 
@@ -152,7 +126,7 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, rank
     repeated ones too; every id lies in one piece; all sequences but the last are full. An empty
     table gives no pieces.
     """
-    with texts_at_once(docs.sparkSession):
+    with rows_at_once(docs.sparkSession):
         encoded = stored(encode_documents(docs, vocabulary, ranks), "encoded")
     return cut(placed(encoded), length)
 
@@ -171,6 +145,8 @@ def sequences(pieces: DataFrame, length: int = 2048) -> DataFrame:
 
 #: Bytes of ids in a chunk; windows that lie whole in one are put together where they are.
 CHUNK = 1 << 20
+#: Chunks that a worker gets at once.
+CHUNKS_AT_ONCE = 8
 CHUNKS = "part int, first long, n long, doc_ids array<long>, lengths array<long>, ids binary"
 WHOLE = "sequence_id long, tokens long, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint>>"
 
@@ -211,27 +187,30 @@ def chunked(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -
 
 
 def _windows(chunks: DataFrame, length: int, whole: bool) -> DataFrame:
-    """The windows that lie ``whole`` in one chunk, or the parts of the others: ids, and pieces by document.
+    """The windows that lie ``whole`` in one chunk, or the parts of the others: ids, and pieces by document."""
 
-    Chunks go to the workers as rows, a few MB at a time: an Arrow batch, whose rows are counted
-    and not their bytes, would hold all chunks of a task.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, n, doc_ids, lengths, ids in (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows)):
+                ends = begin + np.cumsum(np.array(lengths, dtype=np.int64))
+                starts = ends - np.array(lengths, dtype=np.int64)
+                rows = []
+                for window in range(begin // length, (begin + n - 1) // length + 1):
+                    low, high = max(begin, window * length), min(begin + n, (window + 1) * length)
+                    if (high - low == length) != whole:
+                        continue
+                    at = range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high, side="left")))
+                    spans = [(doc_ids[k], max(low, int(starts[k])), min(high, int(ends[k])), int(starts[k])) for k in at]
+                    pieces = [{"doc_id": d, "start": a - s, "length": b - a, "offset": a - window * length} for d, a, b, s in spans]
+                    rows.append((window, high - low, ids[4 * (low - begin) : 4 * (high - begin)], pieces))
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("sequence_id", "tokens", "ids", "pieces"), r, strict=True)) for r in rows], schema=_ARROW)
+
+    return chunks.select("begin", "n", "doc_ids", "lengths", "ids").mapInArrow(run, WHOLE)
 
-    def run(rows: Iterator[Row]) -> Iterator[tuple]:
-        for begin, n, doc_ids, lengths, ids in rows:
-            sizes = np.array(lengths, dtype=np.int64)
-            ends = begin + np.cumsum(sizes)
-            starts = ends - sizes
-            for window in range(begin // length, (begin + n - 1) // length + 1):
-                low, high = max(begin, window * length), min(begin + n, (window + 1) * length)
-                if (high - low == length) != whole:
-                    continue
-                at = range(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high, side="left")))
-                spans = [(doc_ids[k], max(low, int(starts[k])), min(high, int(ends[k])), int(starts[k])) for k in at]
-                yield window, high - low, ids[4 * (low - begin) : 4 * (high - begin)], [(d, a - s, b - a, a - window * length) for d, a, b, s in spans]
 
-    rows = chunks.select("begin", "n", "doc_ids", "lengths", "ids").rdd.mapPartitions(run)
-    return chunks.sparkSession.createDataFrame(rows, WHOLE, verifySchema=False)
+_PIECE = pa.struct([(name, pa.int64()) for name in ("doc_id", "start", "length", "offset")])
+_ARROW = pa.schema([("sequence_id", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("pieces", pa.list_(_PIECE))])
 
 
 def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
@@ -244,7 +223,7 @@ def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCA
     texts are an END alone, repeated rows are placed each; other columns are not read; an empty
     table gives no sequences.
     """
-    with texts_at_once(docs.sparkSession):
+    with rows_at_once(docs.sparkSession):
         chunks = stored(chunked(docs, vocabulary, ranks), "chunks")
     placed_chunks = placed(chunks)
     whole, parts = (_windows(placed_chunks, length, x) for x in (True, False))
@@ -254,7 +233,8 @@ def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCA
     padding = F.unhex(F.repeat(F.lit("00000000"), (length - F.col("tokens")).cast("int")))
     padded = F.when(F.bit_count("tokens") == 1, ids).otherwise(F.concat(ids, padding))
     crossing = joined.select("sequence_id", "tokens", padded.alias("ids"), F.flatten(F.transform("parts", lambda x: x["pieces"])).alias("pieces"))
-    return whole.unionByName(crossing)
+    with rows_at_once(docs.sparkSession, CHUNKS_AT_ONCE):
+        return stored(whole.unionByName(crossing), "sequences")
 
 
 def packing(docs: DataFrame, length: int = 2048) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,3 +42,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Texts, or what is made of one, that Python workers get at once.
+TEXTS = 500
+
+
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
+    """Jobs inside read Parquet row by row and send their Python workers at most ``rows`` rows at once.
+
+    Else a batch of either is 4,096 or 10,000 rows, of long ones tens of MB for each task.
+    """
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.parquet.enableVectorizedReader": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker, which Spark uses again, have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -6,7 +6,6 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from junctura.llm.lines import line_dedup, spread_lines, without_spread_lines
@@ -86,12 +85,18 @@ def test_packed_sequences_hold_every_id(documents, monkeypatch, length, chunk):
     assert packed_sequences(documents([]), length).count() == 0
 
 
-def test_windows_get_chunks_row_by_row(documents):
-    """No Arrow batch of chunks, 1 MB each, reaches a worker."""
-    docs = documents([(k, "alpha beta " * 40, "s") for k in range(20)])
-    chunks = P.chunked(docs).withColumn("begin", F.col("first"))
-    plan = P._windows(chunks, 64, True)._jdf.queryExecution().toString()
-    assert "MapInArrow" not in plan and "ExistingRDD" in plan
+def test_jobs_on_long_rows_send_few_at_once(documents, monkeypatch):
+    """Chunks of 1 MB, texts and shingles: an Arrow batch of 10,000 rows, or all of a task, would be tens of MB."""
+    from junctura.llm import bagminhash as B
+
+    docs, sent = documents([(k, "alpha beta gamma " * 40 + str(k), "s") for k in range(20)]), {}
+    read = lambda: (int(docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), docs.sparkSession.conf.get("spark.sql.parquet.enableVectorizedReader"))
+    before = read()
+    for module in (P, B):
+        monkeypatch.setattr(module, "stored", lambda df, name, real=module.stored: sent.update({name: read()}) or real(df, name))
+    assert packed_sequences(docs, 64).count() > 20 and B.near_classes(docs, 0.8).count() == 20
+    assert sent["sequences"] == (8, "false") and sent["chunks"] == sent["signatures"] == sent["sketches"] == (500, "false")
+    assert read() == before
 
 
 def test_sequences(documents):
