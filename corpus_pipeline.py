@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from junctura.llm.bagminhash import near_filter
 from junctura.llm.exact import exact_filter
 from junctura.llm.mixing import mixed_documents
-from junctura.llm.packing import packed_sequences
+from junctura.llm.packing import CHUNKS_AT_ONCE, packed_sequences
 from junctura.llm.quality import quality_filter
-from junctura.llm.scratch import stored
+from junctura.llm.scratch import rows_at_once, stored
 
 
 # Every stage takes NULLs in any column, empty and very long texts, ties, repeated rows, empty tables
@@ -39,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(sequence_id, tokens, ids, pieces): sequences of 2048 ids and the documents in them; NULL texts are empty."""
-    return packed_sequences(docs)
+    with rows_at_once(spark, CHUNKS_AT_ONCE):
+        return stored(packed_sequences(docs), "sequences")
 
 
 STAGES = [

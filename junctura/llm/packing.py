@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.llm.scratch import give_back, rows_at_once, stored
+from junctura.llm.scratch import TEXTS, give_back, rows_at_once, stored
 
 END = 1
 #: Vocabulary files, resolved on the executors: the tokenizer's own and the same one as ranks.
@@ -39,13 +39,15 @@ def encoders(vocabulary: str = VOCABULARY, ranks: str = RANKS):
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    whole = None  # some 40 MB that most tasks never need
     with open(public_tokenizers.path(ranks), "rb") as file:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        nonlocal whole
         if UNUSUAL.search(text):
+            whole = whole or Tokenizer.from_file(public_tokenizers.path(vocabulary))
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -126,7 +128,7 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, rank
     repeated ones too; every id lies in one piece; all sequences but the last are full. An empty
     table gives no pieces.
     """
-    with rows_at_once(docs.sparkSession):
+    with rows_at_once(docs.sparkSession, TEXTS):
         encoded = stored(encode_documents(docs, vocabulary, ranks), "encoded")
     return cut(placed(encoded), length)
 
@@ -145,7 +147,7 @@ def sequences(pieces: DataFrame, length: int = 2048) -> DataFrame:
 
 #: Bytes of ids in a chunk; windows that lie whole in one are put together where they are.
 CHUNK = 1 << 20
-#: Chunks that a worker gets at once.
+#: Chunks that a worker is to get at once, where the sequences are written under ``rows_at_once``.
 CHUNKS_AT_ONCE = 8
 CHUNKS = "part int, first long, n long, doc_ids array<long>, lengths array<long>, ids binary"
 WHOLE = "sequence_id long, tokens long, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint>>"
@@ -223,7 +225,7 @@ def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCA
     texts are an END alone, repeated rows are placed each; other columns are not read; an empty
     table gives no sequences.
     """
-    with rows_at_once(docs.sparkSession):
+    with rows_at_once(docs.sparkSession, TEXTS):
         chunks = stored(chunked(docs, vocabulary, ranks), "chunks")
     placed_chunks = placed(chunks)
     whole, parts = (_windows(placed_chunks, length, x) for x in (True, False))
@@ -233,8 +235,7 @@ def packed_sequences(docs: DataFrame, length: int = 2048, vocabulary: str = VOCA
     padding = F.unhex(F.repeat(F.lit("00000000"), (length - F.col("tokens")).cast("int")))
     padded = F.when(F.bit_count("tokens") == 1, ids).otherwise(F.concat(ids, padding))
     crossing = joined.select("sequence_id", "tokens", padded.alias("ids"), F.flatten(F.transform("parts", lambda x: x["pieces"])).alias("pieces"))
-    with rows_at_once(docs.sparkSession, CHUNKS_AT_ONCE):
-        return stored(whole.unionByName(crossing), "sequences")
+    return whole.unionByName(crossing)
 
 
 def packing(docs: DataFrame, length: int = 2048) -> DataFrame:

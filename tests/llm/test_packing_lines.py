@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -92,9 +93,9 @@ def test_jobs_on_long_rows_send_few_at_once(documents, monkeypatch):
     docs, sent = documents([(k, "alpha beta gamma " * 40 + str(k), "s") for k in range(20)]), {}
     read = lambda: (int(docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), docs.sparkSession.conf.get("spark.sql.parquet.enableVectorizedReader"))
     before = read()
-    for module in (P, B):
+    for module in (P, B, corpus_pipeline):
         monkeypatch.setattr(module, "stored", lambda df, name, real=module.stored: sent.update({name: read()}) or real(df, name))
-    assert packed_sequences(docs, 64).count() > 20 and B.near_classes(docs, 0.8).count() == 20
+    assert corpus_pipeline.pack_sequences(docs.sparkSession, docs, "").count() and B.near_classes(docs, 0.8).count() == 20
     assert sent["sequences"] == (8, "false") and sent["chunks"] == sent["signatures"] == sent["sketches"] == (500, "false")
     assert read() == before
 
