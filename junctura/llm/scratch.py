@@ -52,17 +52,23 @@ TEXTS = 500
 def rows_at_once(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
     """Jobs inside read Parquet row by row and send their Python workers at most ``rows`` rows at once.
 
-    Else a batch of either is 4,096 or 10,000 rows, of long ones tens of MB for each task.
+    Else a batch of either is 4,096 or 10,000 rows, of long ones tens of MB for each task. What they write has
+    pages of 1 MB, or a row: else a page's size is looked at after 100 rows first, and so many of 1 MB are
+    compressed, and later read, at once and outside the heap.
     """
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.parquet.enableVectorizedReader": "false"}
-    before = {key: spark.conf.get(key) for key in wanted}
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.parquet.enableVectorizedReader": "false",
+        "parquet.page.size.row.check.min": "1",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def give_back() -> None:

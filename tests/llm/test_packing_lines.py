@@ -149,3 +149,21 @@ def test_encoders_get_few_texts_at_once(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "some words " * k) for k in range(20)], "doc_id long, text string")
     assert P.packed_sequences(docs).count() and P.pack(docs).count()
     assert seen == [str(P.TEXTS)] * 2 and spark.conf.get(key) == before
+
+
+def test_chunks_are_written_as_small_pages(documents, monkeypatch):
+    """Else all chunks of a task, tens of MB, would be compressed and read as one page."""
+    seen = {}
+    store = P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: seen.setdefault(name, store(df, name)))
+    words = np.random.default_rng(7).choice(["one", "two", "three", "four"], (6, 270_000))
+    got = packed_sequences(documents([(i, " ".join(row), "a") for i, row in enumerate(words)]).coalesce(1))
+    files = seen["chunks"].inputFiles()
+    assert got.agg({"tokens": "sum"}).first()[0] == 6 * 270_001 and len(files) == 1
+    parquet, hadoop = got.sparkSession._jvm.org.apache.parquet.hadoop, got.sparkSession._jvm.org.apache.hadoop
+    file = parquet.util.HadoopInputFile.fromPath(hadoop.fs.Path(files[0]), hadoop.conf.Configuration())
+    reader = parquet.ParquetFileReader.open(file)
+    blocks = [(b.getRowCount(), c) for b in reader.getFooter().getBlocks() for c in b.getColumns() if c.getPath().toDotString() == "ids"]
+    found = [(rows, reader.readOffsetIndex(c).getPageCount()) for rows, c in blocks]
+    reader.close()
+    assert sum(rows for rows, _ in found) == 6 and all(2 * pages >= rows for rows, pages in found)
