@@ -21,7 +21,7 @@ from junctura.operators.neighborhoods import (
     radius_feature_table,
     select_non_overlapping,
 )
-from junctura.operators.neighbors import knn_self
+from junctura.operators.neighbors import knn_folds, knn_self
 from junctura.operators.reads import preprocess_reads, unique_reads
 from junctura.operators.reduce import fit_pca
 from junctura.operators.sampling import subject_folds
@@ -90,9 +90,10 @@ def fit_proximity(
     min_subjects: int = 10,
     subject: str = "FILENAME",
     label: str = "labels",
+    neighbours: DataFrame | None = None,
 ) -> Proximity:
-    """Neighbours, label shares, greedy selection and the feature list."""
-    neighbours = cut_lineage(knn_self(vectors, k))
+    """Neighbours (``knn_self`` unless given), label shares, greedy selection and the feature list."""
+    neighbours = cut_lineage(knn_self(vectors, k) if neighbours is None else neighbours)
     shares = cut_lineage(label_share(neighbours, data, label_value, subject, label))
     selected = select_non_overlapping(candidates(shares, min_significance, min_subjects), neighbours)
     return Proximity(neighbours, shares, selected, cut_lineage(feature_list(selected, neighbours, vectors)))
@@ -111,16 +112,21 @@ def proximity_folds(
     folds: int = 5,
     subject: str = "FILENAME",
     seed: int = 0,
+    k: int = 100,
     **settings,
 ) -> DataFrame:
-    """Feature tables of train and test subjects of every fold, features learned on train only."""
+    """Feature tables of train and test subjects of every fold, features learned on train only.
+
+    The neighbours within the training rows of all folds come from one search.
+    """
     fold_of = cut_lineage(subject_folds(data, subject, folds, seed))
+    numbered = data.join(fold_of, subject).select("row_id", "fold")
     out = None
-    for number in range(folds):
+    for number, neighbours in enumerate(knn_folds(vectors, numbered, k, folds)):
         roles = fold_of.select(subject, F.when(F.col("fold") == number, "test").otherwise("train").alias("role"))
         placed = cut_lineage(data.join(roles, subject))
         train = placed.where(F.col("role") == "train")
-        fitted = fit_proximity(vectors.join(train, "row_id", "left_semi"), train, label_value, subject=subject, **settings)
+        fitted = fit_proximity(vectors.join(train, "row_id", "left_semi"), train, label_value, k, subject=subject, neighbours=neighbours, **settings)
         for role in ("train", "test"):
             rows = placed.where(F.col("role") == role)
             table = radius_feature_table(vectors.join(rows, "row_id", "left_semi"), rows, fitted.features, subject)

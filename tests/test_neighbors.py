@@ -268,3 +268,21 @@ def test_radius_feature_table_keeps_empty_subjects(spark):
     got = {r.FILENAME: (r.feature, r.n, r.freq) for r in H.radius_feature_table(vectors, data, features).collect()}
     assert got == {"A": (9, 1, 1.0), "B": (None, 0, None)}
     assert H.multiple_hits(N.radius_join(vectors, features)).first().asDict() == {"rows_hit": 1, "rows_hit_many": 0}
+
+
+def test_lists_of_all_folds_come_from_one_search(spark, monkeypatch):
+    """The lists are those of a search within each fold's training rows, also where a fold holds a row's whole surroundings."""
+    rng = np.random.default_rng(11)
+    points = np.vstack([rng.normal(size=(60, 3)), np.repeat(rng.normal(size=(4, 3)), 5, axis=0), 0.01 * rng.normal(size=(60, 3)) + 9])
+    fold = [*rng.integers(0, 3, 80).tolist(), *[0] * 58, 1, 2]
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "row_id long, vec array<double>")
+    folds = spark.createDataFrame(list(enumerate(fold)), "row_id long, fold int")
+    searched = []
+    monkeypatch.setattr(N, "knn_self", lambda rows, k, real=N.knn_self: searched.append(k) or real(rows, k))
+    found = N.knn_folds(vectors, folds, 4, 3)
+    assert len(searched) == 1 and len(found) == 3
+    monkeypatch.undo()
+    for number, lists in enumerate(found):
+        train = vectors.join(folds.where(f"fold <> {number}"), "row_id", "left_semi")
+        want = {(r.row_id, r.rank): (r.neighbor, round(r.dist, 9)) for r in N.knn_self(train, 4).collect()}
+        assert {(r.row_id, r.rank): (r.neighbor, round(r.dist, 9)) for r in lists.collect()} == want
