@@ -197,9 +197,11 @@ def owner_feature_table(owners: DataFrame, data: DataFrame, subject: str = "FILE
     return subject_frequencies(counts, data, subject)
 
 
-def radius_feature_table(vectors: DataFrame, data: DataFrame, features: DataFrame, subject: str = "FILENAME") -> DataFrame:
-    """Feature table of any rows, seen or unseen: share of each subject's hits per feature."""
-    hits = radius_join(vectors, features)
+def radius_feature_table(
+    vectors: DataFrame, data: DataFrame, features: DataFrame, subject: str = "FILENAME", lists: DataFrame | None = None
+) -> DataFrame:
+    """Feature table of any rows, seen or unseen: share of each subject's hits per feature; ``lists`` as for ``radius_join``."""
+    hits = radius_join(vectors, features, lists=lists)
     counts = hits.join(data.select("row_id", subject), "row_id").groupBy(subject, "feature").agg(F.count("*").alias("n"))
     return subject_frequencies(counts, data, subject)
 

@@ -21,7 +21,7 @@ from junctura.operators.neighborhoods import (
     radius_feature_table,
     select_non_overlapping,
 )
-from junctura.operators.neighbors import knn_folds, knn_self
+from junctura.operators.neighbors import fold_lists, knn_folds, knn_self
 from junctura.operators.reads import preprocess_reads, unique_reads
 from junctura.operators.reduce import fit_pca
 from junctura.operators.sampling import subject_folds
@@ -117,21 +117,24 @@ def proximity_folds(
 ) -> DataFrame:
     """Feature tables of train and test subjects of every fold, features learned on train only.
 
-    The neighbours within the training rows of all folds come from one search.
+    The neighbours within the training rows of all folds come from one search, as do the rows within a
+    feature's radius wherever no row's key stands twice.
     """
     fold_of = cut_lineage(subject_folds(data, subject, folds, seed))
     numbered = data.join(fold_of, subject).select("row_id", "fold")
+    lists = fold_lists(vectors, numbered, k, folds)
+    twice = not vectors.groupBy("row_id").count().where("count > 1").isEmpty() or not numbered.groupBy("row_id").count().where("count > 1").isEmpty()
     out = None
-    for number, neighbours in enumerate(knn_folds(vectors, numbered, k, folds)):
+    for number, neighbours in enumerate(knn_folds(vectors, numbered, k, folds, lists)):
         roles = fold_of.select(subject, F.when(F.col("fold") == number, "test").otherwise("train").alias("role"))
         placed = cut_lineage(data.join(roles, subject))
         train = placed.where(F.col("role") == "train")
         fitted = fit_proximity(vectors.join(train, "row_id", "left_semi"), train, label_value, k, subject=subject, neighbours=neighbours, **settings)
-        for role in ("train", "test"):
-            rows = placed.where(F.col("role") == role)
-            table = radius_feature_table(vectors.join(rows, "row_id", "left_semi"), rows, fitted.features, subject)
-            part = table.select(F.lit(number).alias("fold"), F.lit(role).alias("role"), "*")
-            out = part if out is None else out.unionByName(part)
+        # one pass over all vectors: a subject's counts are its own, and its fold tells its role
+        rows = vectors.join(placed, "row_id", "left_semi")
+        table = radius_feature_table(rows, placed, fitted.features, subject, None if twice else lists)
+        part = table.join(roles, subject).select(F.lit(number).alias("fold"), "role", *table.columns)
+        out = part if out is None else out.unionByName(part)
     return out
 
 

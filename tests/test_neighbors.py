@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,42 @@ def test_lists_of_all_folds_come_from_one_search(spark, monkeypatch):
         train = vectors.join(folds.where(f"fold <> {number}"), "row_id", "left_semi")
         want = {(r.row_id, r.rank): (r.neighbor, round(r.dist, 9)) for r in N.knn_self(train, 4).collect()}
         assert {(r.row_id, r.rank): (r.neighbor, round(r.dist, 9)) for r in lists.collect()} == want
+
+
+def _brute(a, b, k):
+    dist = np.sqrt(((a[:, None, :] - b[None]) ** 2).sum(axis=2))
+    return [[(j, dist[i, j]) for j in np.lexsort((np.arange(len(b)), dist[i]))[:k]] for i in range(len(a))]
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e4), (1e-18, 0.0), (1e20, 0.0), (1e150, 0.0)])
+def test_rough_comparison_in_single_precision_loses_no_neighbour(monkeypatch, scale, offset):
+    """Few pairs are measured exactly, and the lists are those of all pairs, ties by id included."""
+    monkeypatch.setattr(N, "SLICE_ROWS", 64)
+    rng = np.random.default_rng(5)
+    b = rng.integers(-3, 4, (400, 6)) * scale + offset  # whole numbers: many ties
+    a = b[:90]
+    measured = []
+    monkeypatch.setattr(N, "pair_distances", lambda x, y, run=N.pair_distances: measured.append(len(x)) or run(x, y))
+    queries, data = pd.DataFrame({"gid": range(90), "vec": list(a)}), pd.DataFrame({"vec": list(b), "ids": [[i] for i in range(400)]})
+    found = N._nearest_in_block(7)(queries, data).sort_values(["gid", "dist", "neighbor"])
+    assert [g["neighbor"].tolist() for _, g in found.groupby("gid")] == [[j for j, _ in row] for row in _brute(a, b, 7)]
+    assert sum(measured) < 90 * 400 / 2
+    limit = np.array([row[4][1] for row in _brute(b, b, 5)])
+    hits = pd.concat(N._hits(queries.rename(columns={"gid": "row_id"}), np.arange(400), b, limit, "row_id"))
+    wanted = {(i, j) for i in range(90) for j in range(400) if N.pair_distances(a[i : i + 1], b[j : j + 1])[0] <= limit[j]}
+    assert set(zip(hits["row_id"], hits["feature"])) == wanted and len(hits) == len(wanted)
+
+
+def test_folds_take_radius_hits_from_the_lists_of_their_search(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.integers(0, 5, 3)]) for i in range(300)], "row_id long, vec array<double>")
+    lists = N.knn_self(vectors, 40).cache()
+    # some reach less far than their list, some to its end or beyond it
+    features = N.neighbour_radius(lists.where("rank <= 6 + row_id % 40")).join(vectors, "row_id").selectExpr("row_id feature_index", "max_distance", "vec center")
+    seen = vectors.where("row_id % 3 > 0")
+    plain = N.radius_join(seen, features)
+    met = []
+    monkeypatch.setattr(N, "radius_join", lambda v, f, *x, run=N.radius_join, **y: met.append(f.count()) or run(v, f, *x, **y))
+    found = N.radius_join(seen, features, lists=lists)
+    assert found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
+    assert met[0] == 300 and 0 < met[1] < 200
