@@ -98,7 +98,12 @@ def tree_depth(max_depth: int | None) -> int:
     return max_depth
 
 
-def decision_tree(max_depth: int | None = 5) -> SparkEstimator:
+def decision_tree(max_depth: int | None = 5) -> object:
+    """A tree without a limit of its own has about as many nodes as rows, too many for Spark ML's passes."""
+    if max_depth is None:
+        from junctura.operators.trees import DeepTree  # built on the splits, which are built on this module
+
+        return DeepTree(tree_depth(None))
     return SparkEstimator(lambda n, d, k: DecisionTreeClassifier(maxDepth=tree_depth(max_depth), seed=0, **COLUMNS))
 
 

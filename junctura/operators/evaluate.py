@@ -180,10 +180,11 @@ def compare_models(
     test_share: float = 0.25,
     seed: int = 0,
     scale: bool = True,
+    roles: Sequence[str] = ("train", "test"),
 ) -> DataFrame:
     """(model, role, actual, predicted, row_id): several models on one min-max scaled split.
 
-    A model is a name, or a name and its parameters.
+    A model is a name, or a name and its parameters; ``roles`` are those whose rows are predicted.
     """
     split = cut_lineage(split_train_test(table.select("row_id", "features", "class"), test_share, seed=seed))
     train, test = (split.where(F.col("role") == r).drop("role") for r in ("train", "test"))
@@ -193,8 +194,8 @@ def compare_models(
     for model in models:
         name, parameters = (model, {}) if isinstance(model, str) else model
         fitted = make_classifier(name, **parameters).fit(train)
-        for role, rows in (("train", train), ("test", test)):
-            part = fitted.transform(rows).select(
+        for role in roles:
+            part = fitted.transform({"train": train, "test": test}[role]).select(
                 F.lit(name).alias("model"), F.lit(role).alias("role"), "row_id", F.col("class").alias("actual"), "predicted"
             )
             out = part if out is None else out.unionByName(part)
@@ -210,16 +211,16 @@ def accuracy_by_dimension(
 ) -> DataFrame:
     """(dims, model, accuracy) on PCA-reduced (row_id, vec, class); one PCA serves all sizes.
 
-    The tree has no depth limit of its own, five neighbours vote.
+    The tree has no depth limit of its own, five neighbours vote. Several sizes run at a time.
     """
     swept = cut_lineage(pca_sweep(vectors, dims))
-    out = None
-    for size in sorted(set(dims)):
+
+    def scored(size: int) -> DataFrame:
         table = swept.where(F.col("dims") == size).select("row_id", F.col("vec").alias("features"), "class")
-        said = compare_models(table, models, test_share, seed).where(F.col("role") == "test")
-        part = accuracy(said, ["model"]).select(F.lit(size).alias("dims"), "model", "accuracy")
-        out = part if out is None else out.unionByName(part)
-    return out
+        said = compare_models(table, models, test_share, seed, roles=("test",))
+        return cut_lineage(accuracy(said, ["model"]).select(F.lit(size).alias("dims"), "model", "accuracy"))
+
+    return reduce(DataFrame.unionByName, fits(vectors.sparkSession, sorted(set(dims)), scored))
 
 
 def leading_feature_sweep(

@@ -401,3 +401,33 @@ def test_kernel_features_are_added_until_they_are_close(spark):
     z = tight.mapped(x, tight.directions(5, components))
     true = np.exp(-2.0 * ((x[:, None] - x[None]) ** 2).sum(-1))
     assert np.abs(z @ z.T - true).mean() < 0.011
+
+
+@pytest.mark.parametrize("local", [16_384, 60])
+def test_deep_tree_is_sparks_own(spark, monkeypatch, local):
+    """Ten noisy classes, a copied value in one column: nearly a node per row, grown in few jobs."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from junctura.operators import trees
+
+    monkeypatch.setattr(trees, "LOCAL_ROWS", local)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 4))
+    x[:, 0] = np.round(x[:, 0])
+    rows = [(i, [float(v) for v in x[i]], int(rng.integers(0, 10) * (rng.random() < 0.7))) for i in range(900)]
+    table = spark.createDataFrame(rows, "row_id long, features array<double>, class int").cache()
+    train = table.where("row_id % 4 > 0")
+    deep = K.make_classifier("DT", max_depth=None).fit(train)
+    own = K.SparkEstimator(lambda n, d, k: DecisionTreeClassifier(maxDepth=K.DEEPEST, seed=0, **K.COLUMNS)).fit(train)
+    assert len(deep.feature) == own.model.numNodes > 500
+    said = [{r.row_id: r.predicted for r in m.transform(table).collect()} for m in (deep, own)]
+    assert said[0] == said[1] and deep.transform(table.limit(0)).count() == 0
+
+
+def test_dimensions_predict_test_rows_only(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(E, "compare_models", lambda *x, run=E.compare_models, **y: asked.append(y.get("roles")) or run(*x, **y))
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=3)], i % 2) for i in range(60)], "row_id long, vec array<double>, class int")
+    found = {(r.dims, r.model) for r in E.accuracy_by_dimension(rows, (2, 3)).collect()}
+    assert found == {(d, m) for d in (2, 3) for m in ("DT", "kNN")} and asked == [("test",)] * 2
