@@ -234,3 +234,20 @@ def test_models_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and found.count() == 40
+
+
+def test_vocabulary_is_counted_once_and_never_python_rows(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame([("ACD", [1.0, 2.0]), ("CCC", [0.5, 4.0])], "word string, vector array<double>").mapInArrow(told, "word string, vector array<double>")
+    rows = spark.createDataFrame([(1, "ACDCCC"), (2, "ACDAAA")], "row_id long, JUNC_AA string")
+    collected = []
+    monkeypatch.setattr(type(table), "collect", lambda self, run=type(table).collect: collected.append(self.columns) or run(self))
+    found = embedding.embed_with_models(rows, [("m", 3, table)])
+    assert seen.value == 2 and ["word", "vector"] not in collected
+    assert [(r.model_id, r.row_id, r.vec) for r in found.collect()] == [("m", 1, [1.5, 6.0])]
